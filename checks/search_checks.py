@@ -22,8 +22,8 @@ J4_SCORES = """SELECT image_id AS id, max(score) AS s FROM wd_tag_images
     "images wd_tags wd_tag_translations wd_tag_images",
     """SELECT row_number() OVER (ORDER BY s DESC, id DESC) AS rank, id, name, width, height
     FROM (SELECT * FROM m JOIN images USING (id) ORDER BY s DESC, id DESC LIMIT 20 OFFSET 5)""",
-    m=J4_SCORES, pos="""SELECT id AS wd_tag_id FROM wd_tags WHERE name ILIKE '%nation 1%' OR name ILIKE '%nation\\_1%' ESCAPE '\\'
-        UNION SELECT tag_id FROM wd_tag_translations WHERE translation ILIKE '%nation 1%'"""))
+    pos="""SELECT id AS wd_tag_id FROM wd_tags WHERE name ILIKE '%nation 1%' OR name ILIKE '%nation\\_1%' ESCAPE '\\'
+        UNION SELECT tag_id FROM wd_tag_translations WHERE translation ILIKE '%nation 1%'""", m=J4_SCORES))
 def j4(t):
     return search.images_by_tag(t.catalog, " nation 1 ", 20, 5)
 
@@ -32,8 +32,8 @@ def j4(t):
     "images wd_tags wd_tag_translations wd_tag_images",
     """SELECT row_number() OVER (ORDER BY s DESC, id DESC) AS rank, id, name, width, height
     FROM (SELECT * FROM m JOIN images USING (id) ORDER BY s DESC, id DESC LIMIT 50)""",
-    m=J4_SCORES, pos="""SELECT id AS wd_tag_id FROM wd_tags WHERE name ILIKE '%asia%'
-        UNION SELECT tag_id FROM wd_tag_translations WHERE translation ILIKE '%asia%'"""))
+    pos="""SELECT id AS wd_tag_id FROM wd_tags WHERE name ILIKE '%asia%'
+        UNION SELECT tag_id FROM wd_tag_translations WHERE translation ILIKE '%asia%'""", m=J4_SCORES))
 def j4_alias(t):
     return search.images_by_tag(t.catalog, "asia", 50)
 

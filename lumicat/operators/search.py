@@ -371,10 +371,15 @@ def _gram_match(queries: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def suggest(cat: Catalog, queries: DataFrame) -> DataFrame:
-    """K6: suggestions for a table of (query_id, mode, q), dispatched by mode."""
-    live = queries.where(tx.should_suggest(c("mode"), c("q"))).withColumn(
-        "raw", tx.trim_unicode(c("q"))
+    """K6: suggestions for a table of (query_id, mode, q), dispatched by mode.
+
+    Popular texts repeat, so each different (mode, text) is answered once and
+    the answers, at most ten rows each, are joined back to the queries.
+    """
+    asked_rows = queries.where(tx.should_suggest(c("mode"), c("q"))).select(
+        "query_id", "mode", tx.trim_unicode(c("q")).alias("text")
     )
+    live = asked_rows.select("mode", "text", c("text").alias("raw")).distinct()
     tags = live.where(c("mode") == "tag")
     spaced = tags.withColumn("form", F.explode(F.array_distinct(F.array(
         c("raw"), F.translate("raw", " ", "_")))))
@@ -396,11 +401,11 @@ def suggest(cat: Catalog, queries: DataFrame) -> DataFrame:
     )
     hits = None
     for asked, offered in sources:
-        part = _gram_match(asked.select("query_id", "mode", "raw"), offered).select(
-            "query_id", "mode", "id", "label", rank.alias("match")
+        part = _gram_match(asked.select("mode", "text", "raw"), offered).select(
+            "mode", "text", "id", "label", rank.alias("match")
         )
         hits = part if hits is None else hits.unionByName(part)
-    best = hits.groupBy("query_id", "mode", "id", "label").agg(F.min("match").alias("match"))
+    best = hits.groupBy("mode", "text", "id", "label").agg(F.min("match").alias("match"))
     titles = c("mode") == "title"
     order = [
         c("match"),
@@ -410,9 +415,7 @@ def suggest(cat: Catalog, queries: DataFrame) -> DataFrame:
     ]
     most = max(SUGGEST_LIMITS.values())
     cap = F.coalesce(*[F.when(c("mode") == m, n) for m, n in SUGGEST_LIMITS.items()])
-    return (
-        top_per_key(best, ["query_id"], order, most)
-        .where(c("rank") <= cap)
-        .select("query_id", "mode", c("rank").cast("bigint").alias("rank"), "id",
-                c("label").alias("name"))
+    answers = top_per_key(best, ["mode", "text"], order, most).where(c("rank") <= cap)
+    return asked_rows.join(answers, ["mode", "text"]).select(
+        "query_id", "mode", c("rank").cast("bigint").alias("rank"), "id", c("label").alias("name")
     )
