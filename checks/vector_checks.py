@@ -49,11 +49,6 @@ def v3(t):
     return show(vectors.knn_by_ids(corpus(t), [7, 340, 425], limit=20, offset=2))
 
 
-@query("v3_knn_without_stored_ids", "SELECT 1::BIGINT AS rank, 1::BIGINT AS id, 1::DOUBLE AS distance FROM embeddings WHERE vec_id < 0")
-def v3_none(t):
-    return vectors.knn_by_ids(corpus(t), [-1], limit=20)
-
-
 @query("a7_mean_vector", """SELECT label, pos, round(avg(x::DOUBLE), 6) AS mean FROM
     (SELECT label, unnest(embedding) AS x, unnest(range(64))::INT AS pos FROM embeddings) GROUP BY ALL""")
 def a7(t):
@@ -62,9 +57,9 @@ def a7(t):
         "mean", F.round("mean", 6) + 0.0)
 
 
-@query("v5_l2_normalize", """SELECT vec_id, round(sqrt(list_sum(list_transform(v, x -> x * x))), 5) AS norm, round(v[1], 5) AS first FROM
-    (SELECT vec_id, list_transform(e, x -> x / greatest(sqrt(list_sum(list_transform(e, y -> y * y))), 1e-12)) AS v FROM
-     (SELECT vec_id, list_transform(embedding::DOUBLE[], x -> x * (vec_id + 1)) AS e FROM embeddings))""")
+@query("v5_l2_normalize", """SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 5) AS norm, round(v[1], 5) AS first FROM
+    (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12)) AS v FROM
+     (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (vec_id + 1)) AS e FROM embeddings))""")
 def v5(t):
     scaled = F.transform("embedding", lambda x: x.cast("double") * (c("vec_id") + 1))
     unit = t.embeddings.select("vec_id", vectors.l2_normalize(scaled).alias("v"))
@@ -74,8 +69,8 @@ def v5(t):
 
 
 @query("v6_pool_queries", """SELECT label, pos, round(avg(x), 5) AS mean FROM (SELECT label, unnest(v) AS x, unnest(range(64))::INT AS pos FROM
-    (SELECT label, list_transform(e, x -> x / sqrt(list_sum(list_transform(e, y -> y * y)))) AS v FROM
-     (SELECT label, list_transform(embedding::DOUBLE[], x -> x * 3) AS e FROM embeddings))) GROUP BY ALL""")
+    (SELECT label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM
+     (SELECT label, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS e FROM embeddings))) GROUP BY ALL""")
 def v6(t):
     scaled = t.embeddings.select("label", F.transform("embedding", lambda x: x * 3).alias("embedding"))
     means = vectors.pool_queries(scaled, "embedding", "label")

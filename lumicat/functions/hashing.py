@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: multipliers and shifts of the splitmix64 finaliser
 MIX_ROUNDS = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
@@ -20,7 +21,7 @@ def mix64_numpy(values: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(MIX_LAST_SHIFT))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def mix64(values: pd.Series) -> pd.Series:
     """The mixed 64 bits, shown as a signed bigint."""
     return pd.Series(mix64_numpy(values.to_numpy("int64").view("uint64")).view("int64"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 I64_MAX = 2**63 - 1
 U128_MAX = 2**128 - 1
@@ -33,7 +34,7 @@ def exact_points(amount: int, decimals: int, price: int | None, rate: int) -> in
     return min(points, I64_MAX)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _points_big(
     amount: pd.Series, decimals: pd.Series, price: pd.Series, rate: pd.Series
 ) -> pd.Series:
@@ -74,23 +75,30 @@ def whole_quotient(dividend: Column, divisor: Column) -> Column:
     return ((dividend - remainder) / divisor).cast(BIG)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hex_to_decimal(text: Column) -> Column:
     """A ``0x`` quantity as decimal(38,0); NULL when malformed or larger."""
-    digits = F.regexp_extract(text, r"^0x\+?([0-9a-fA-F]+)$", 1)
-    bare = F.regexp_replace(digits, "^0+", "")
-    padded = F.lpad(bare, 36, "0")
     base = F.lit(16**12).cast(BIG)
 
-    def limb(start: int) -> Column:
-        return F.conv(F.substring(padded, start, 12), 16, 10).cast(BIG)
+    def number(digits: Column) -> Column:
+        def limb(start: int) -> Column:
+            return F.conv(F.substring(F.lpad(digits, 36, "0"), start, 12), 16, 10).cast(BIG)
+
+        # 31 hex digits stay below 1e38, the sum of three limbs cannot overflow
+        value = ((limb(1) * base).cast(BIG) + limb(13)).cast(BIG)
+        value = ((value * base).cast(BIG) + limb(25)).cast(BIG)
+        return F.when(F.length(digits) <= 31, value)
 
-    # 31 hex digits stay below 1e38, the sum of three limbs cannot overflow
-    value = ((limb(1) * base).cast(BIG) + limb(13)).cast(BIG)
-    value = ((value * base).cast(BIG) + limb(25)).cast(BIG)
-    return F.when((digits != "") & (F.length(bare) <= 31), value)
+    well_formed = text.rlike(r"^0x\+?[0-9a-fA-F]+$")
+    bare = F.when(well_formed, F.regexp_extract(text, r"^0x\+?0*([0-9a-fA-F]*)$", 1))
+    return let(bare, number)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hex_to_digits(text: pd.Series) -> pd.Series:
     """C16 over the whole 128-bit range, as a digit string."""
 
@@ -145,24 +153,36 @@ def day_bucket(epoch: Column) -> Column:
 
 def decode_price(result: Column, now: Column) -> Column:
     """struct(price, error) of a five-word price answer."""
-    body = F.regexp_extract(result, r"^0x([0-9a-fA-F]{320})$", 1)
-    answer, updated = F.substring(body, 65, 64), F.substring(body, 193, 64)
-    price = hex_to_decimal(F.concat(F.lit("0x"), F.substring(answer, 33, 32)))
-    updated_at = hex_to_decimal(F.concat(F.lit("0x"), F.substring(updated, 33, 32)))
-    error = (
-        F.when(~F.startswith(result, F.lit("0x")), "result not 0x-prefixed")
-        .when(body == "", "result is not 0x + 320 hex chars")
-        .when(F.substring(answer, 1, 1) >= "8", "price is negative")
-        .when(F.substring(answer, 1, 32) != "0" * 32, "word exceeds u128")
-        .when(price == 0, "price is zero")
-        .when(
-            (F.substring(updated, 1, 32) != "0" * 32) | updated_at.isNull()
-            | (updated_at > F.lit(2**64 - 1).cast(BIG)),
-            "updatedAt exceeds u64",
+    def words(body: Column) -> Column:
+        def value(start: int) -> Column:  # low half of a word; the high half must be zero
+            return hex_to_decimal(F.concat(F.lit("0x"), F.substring(body, start + 32, 32)))
+
+        return F.struct(
+            body.alias("body"), value(65).alias("price"), value(193).alias("updated"),
+            F.substring(body, 65, 32).alias("price_high"), F.substring(body, 193, 32).alias("updated_high"),
         )
-        .when(now.cast(BIG) - updated_at > MAX_PRICE_AGE, "price is stale")
-    )
-    return F.struct(F.when(error.isNull(), price).alias("price"), error.alias("error"))
+
+    def judged(w: Column) -> Column:
+        zeros, newest = "0" * 32, F.lit(str(2**64 - 1)).cast(BIG)
+        error = (
+            F.when(~F.startswith(result, F.lit("0x")), "result not 0x-prefixed")
+            .when(w["body"] == "", "result is not 0x + 320 hex chars")
+            .when(F.substring(w["price_high"], 1, 1) >= "8", "price is negative")
+            .when(w["price_high"] != zeros, "word exceeds u128")
+            .when(w["price"] == 0, "price is zero")
+            .when(
+                (w["updated_high"] != zeros) | w["updated"].isNull() | (w["updated"] > newest),
+                "updatedAt exceeds u64",
+            )
+            .when(now.cast(BIG) - w["updated"] > MAX_PRICE_AGE, "price is stale")
+        )
+        return F.struct(w["price"].alias("price"), error.alias("error"))
+
+    body = F.regexp_extract(result, r"^0x([0-9a-fA-F]{320})$", 1)
+    done = let(let(body, words), judged)
+    return let(done, lambda r: F.struct(
+        F.when(r["error"].isNull(), r["price"]).alias("price"), r["error"].alias("error")
+    ))
 
 
 def usd_price(points: Column, rate: Column) -> Column:

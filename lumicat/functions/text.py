@@ -101,36 +101,25 @@ ITEM_CAP = 100
 
 
 def parse_items(raw: Column, kinds: tuple[str, ...], mode: str = "reject") -> Column:
-    """``kind:id,kind:id`` to an array of (pos, kind, id), first mention wins.
+    """``kind:id,kind:id`` to an array of different (kind, id), first mention first.
 
     ``reject`` gives NULL for more than 100 different items or 200 pieces;
     ``truncate`` looks at the first 200 pieces and keeps the first 100 items.
     """
     pieces = F.split(raw, ",", -1)
-    looked = pieces if mode == "reject" else F.slice(pieces, 1, 2 * ITEM_CAP)
+    looked = F.slice(pieces, 1, 2 * ITEM_CAP)
 
-    def to_item(piece: Column, pos: Column) -> Column:
+    def to_item(piece: Column) -> Column:
         head = trim_unicode(F.regexp_extract(piece, r"(?s)^([^:]*):", 1))
-        number = trim_unicode(F.regexp_extract(piece, r"(?s)^[^:]*:(.*)$", 1))
-        ident = F.when(number.rlike(r"^[+-]?[0-9]+$"), number).try_cast("bigint")
+        number = F.regexp_extract(piece, rf"(?s)^[^:]*:[{WHITE_SPACE}]*([+-]?[0-9]+)[{WHITE_SPACE}]*$", 1)
         return F.struct(
-            pos.alias("pos"),
-            F.when(head.isin(*kinds), head).alias("kind"),
-            ident.alias("id"),
+            F.when(head.isin(*kinds), head).alias("kind"), number.try_cast("bigint").alias("id")
         )
 
-    parsed = F.filter(
-        F.transform(looked, to_item), lambda x: x["kind"].isNotNull() & x["id"].isNotNull()
-    )
-    first = F.filter(
-        parsed,
-        lambda x, i: F.array_position(
-            F.transform(parsed, lambda y: F.struct(y["kind"], y["id"])),
-            F.struct(x["kind"], x["id"]),
-        )
-        == i + 1,
+    items = F.array_distinct(
+        F.filter(F.transform(looked, to_item), lambda x: x["kind"].isNotNull() & x["id"].isNotNull())
     )
     if mode == "truncate":
-        return F.slice(first, 1, ITEM_CAP)
-    too_many = (F.size(pieces) > 2 * ITEM_CAP) | (F.size(first) > ITEM_CAP)
-    return F.when(~too_many, first)
+        return F.slice(items, 1, ITEM_CAP)
+    fits = F.when(F.size(pieces) <= 2 * ITEM_CAP, items)
+    return F.get(F.filter(F.array(fits), lambda x: F.size(x) <= ITEM_CAP), F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 
@@ -43,7 +44,7 @@ def valid_account(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\A0x[0-9a-f]{40}\z"), F.lit(False))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _decodes_to_32_bytes(text: pd.Series) -> pd.Series:
     def one(value) -> bool:
         if value is None:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumicat.functions.hashing import mix64_numpy
 from lumicat.operators.paging import bounded, check_page, lookup_in_order
@@ -13,7 +14,7 @@ from lumicat.operators.paging import bounded, check_page, lookup_in_order
 c = F.col
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _draw(i: pd.Series, seed: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     bits = [s.to_numpy("int64").view("uint64") for s in (i, seed, low, high)]
     span = bits[3] - bits[2] + np.uint64(1)

@@ -90,6 +90,16 @@ def images_by_tag(cat: Catalog, text: str, limit: int, offset: int = 0) -> DataF
 
 
 # -------------------------------------------------------------------- lookups
+def unnest(df: DataFrame, columns: list[str], ordinal: str | None = None) -> DataFrame:
+    """Parallel arrays to rows; shorter arrays are padded with NULL. The
+    ordinal counts from 1."""
+    rest = [n for n in df.columns if n not in columns]
+    zipped = F.arrays_zip(*columns)
+    rows = df.select(*rest, F.posexplode(zipped).alias("__pos", "__item"))
+    place = [(c("__pos") + 1).alias(ordinal)] if ordinal else []
+    return rows.select(*rest, *place, *[c(f"__item.{n}").alias(n) for n in columns])
+
+
 def post_images(cat: Catalog, post_ids: DataFrame | None = None) -> DataFrame:
     """The images of each post, by id."""
     links = _restrict(cat.post_images, post_ids)

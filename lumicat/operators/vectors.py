@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumicat.operators.paging import bounded, check_page, page, ranked, top_per_key
 
@@ -37,7 +38,7 @@ def l2_normalize(vector: Column) -> Column:
     return F.transform(vector, lambda x: (x / norm).cast("float"))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def to_half(vectors: pd.Series) -> pd.Series:
     """V7: round to half precision, as the vectors are stored."""
     return vectors.map(
@@ -60,8 +61,8 @@ def mean_vector(df: DataFrame, col: str, keys: list[str] | None = None) -> DataF
     Summarizer combines before the shuffle, so one key costs one row per task."""
     present = df.where(c(col).isNotNull()).withColumn("__v", array_to_vector(c(col)))
     mean = vector_to_array(Summarizer.mean(c("__v"))).alias(col)
-    n = F.count(F.lit(1)).alias("n")
-    return present.groupBy(*(keys or [])).agg(mean, n).where(c("n") > 0).drop("n")
+    by = keys or [F.lit(0).alias("__all")]  # a constant key: no row for no input
+    return present.groupBy(*by).agg(mean).drop("__all")
 
 
 def pool_queries(df: DataFrame, col: str, key: str) -> DataFrame:
