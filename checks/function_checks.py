@@ -70,9 +70,9 @@ def c8(t):
     return t.events.select("event_id", text.parse_mode(raw).alias("mode"))
 
 
-@query("c9_parse_items", f"""SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY min(pos)) - 1)::INT AS pos, kind, id FROM (SELECT event_id, unnest(range(4)) AS pos,
+@query("c9_parse_items", f"""SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY pos) - 1)::INT AS pos, kind, id FROM (SELECT event_id, kind, id, min(pos) AS pos FROM (SELECT event_id, unnest(range(4)) AS pos,
       unnest(['post', 'image', 'post', 'bad']) AS kind, unnest([k, event_id % 7, k, 5]) AS id FROM (SELECT event_id, {K} AS k FROM events))
-    WHERE kind <> 'bad' GROUP BY ALL""")
+    WHERE kind <> 'bad' GROUP BY ALL)""")
 def c9(t):
     k = k_of(t).cast("string")
     raw = F.concat(F.lit("post:"), k, F.lit(", image: "), (c("event_id") % 7).cast("string"),

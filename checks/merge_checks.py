@@ -221,8 +221,8 @@ def k8(t):
 
 
 @query("j12_like_previews", with_cte("posts images post_images post_videos", f"""SELECT request_id, pos, kind, id, image_id, name, width, height, title, image_count, video_count FROM
-    (SELECT request_id, kind, id, (row_number() OVER (PARTITION BY request_id ORDER BY min(pos)) - 1)::INT AS pos FROM (SELECT event_id AS request_id, unnest(['post','image','post','image']) AS kind,
-        unnest([k, event_id, event_id % 3000, k * 50]) AS id, unnest(range(4)) AS pos FROM (SELECT event_id, {K} AS k FROM events)) GROUP BY ALL) w
+    (SELECT request_id, kind, id, (row_number() OVER (PARTITION BY request_id ORDER BY pos) - 1)::INT AS pos FROM (SELECT request_id, kind, id, min(pos) AS pos FROM (SELECT event_id AS request_id, unnest(['post','image','post','image']) AS kind,
+        unnest([k, event_id, event_id % 3000, k * 50]) AS id, unnest(range(4)) AS pos FROM (SELECT event_id, {K} AS k FROM events)) GROUP BY ALL)) w
     JOIN (SELECT 'image' AS kind, id, id AS image_id, name, width, height, NULL AS title, NULL::BIGINT AS image_count, NULL::BIGINT AS video_count FROM images
       UNION ALL SELECT 'post', post_id, image_id, name, coalesce(width, 0), coalesce(height, 0), CASE WHEN trim(title) <> '' THEN title END, nullif(image_count, 0), nullif(video_count, 0) FROM pv) USING (kind, id)""",
     pv="""SELECT p.id AS post_id, p.title, c.image_id, i.name, i.width, i.height, coalesce(c.n, 0) AS image_count, coalesce(v.n, 0) AS video_count FROM posts p
