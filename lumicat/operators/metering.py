@@ -18,6 +18,7 @@ from lumicat.functions.money import BIG, day_bucket
 from lumicat.functions.paths import in_free_scope
 from lumicat.operators import account as machine
 from lumicat.operators.policy import PLANS, item_of, parse_document, policy_asof
+from lumicat.sources.snapshots import stage
 
 c = F.col
 OPTIONAL = {
@@ -49,8 +50,8 @@ def prepare(log: DataFrame, revisions: DataFrame) -> DataFrame:
         if name not in log.columns:
             rows = rows.withColumn(name, F.lit(default).cast(kind))
     policies = revisions.withColumn("policy", parse_document(c("document")))
-    known = policy_asof(rows, policies).drop("document", "updated_at")
-    known = known.join(policies.select("revision", "policy"), "revision")
+    known = policy_asof(rows, policies.drop("document").withColumnRenamed("policy", "document"))
+    known = known.withColumnRenamed("document", "policy")
     item = item_of(c("policy"), c("kind"))
     zero = F.lit(0).cast("bigint")
     scope = in_free_scope(c("key"), c("kind"), c("policy.free_media_folders"))
@@ -368,8 +369,9 @@ def meter(log: DataFrame, revisions: DataFrame, accounts: DataFrame | None = Non
 
 def meter_prepared(prepared: DataFrame) -> DataFrame:
     """H6 on a prepared log. The log is read for the summaries and for each way of
-    metering, so a big one is best stored (a table or ``checkpoint()``) first."""
-    rows = prepared.join(_summaries(prepared), "account")
+    metering, so it is stored once in the shared checkpoint folder."""
+    prepared = stage(prepared)
+    rows = prepared.join(stage(_summaries(prepared)), "account")
     solvent = _meter_solvent(rows.where(c("solvent") & (c("op") == "charge")))
     return solvent.unionByName(_meter_rest(rows.where(~c("solvent"))))
 
@@ -418,7 +420,7 @@ def meter_guests(log: DataFrame, revisions: DataFrame) -> DataFrame:
     """H8: guests may use the daily allowance where no login is required. ``op`` is
     ``charge`` or ``check``. Days in which the allowance changed take a small fold
     per (account, day, kind); all others are decided by ranking."""
-    rows = prepare(log, revisions)
+    rows = stage(prepare(log, revisions))
     open_rows = rows.where(~c("login_required"))
     refused = rows.where("login_required").select("account", "event_id", "ts", F.lit(401).alias("status"))
     day = day_bucket(c("ts"))
