@@ -55,7 +55,7 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
 def read_vocabulary(spark: SparkSession, path: str, expected: int) -> list[tuple[str, bool]]:
     """S3: (name, is_character) per model output. The file is a model's fixed list,
     read in file order; another number of rows than the model's is an error."""
-    lines = spark.read.option("wholetext", True).text(path).limit(2).collect()
+    lines = spark.read.text(path, wholetext=True).limit(2).collect()
     if len(lines) != 1:
         raise ValueError("a vocabulary is exactly one file")
     import csv
@@ -97,7 +97,8 @@ def _quoted(text: str) -> str:
 
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "/") -> DataFrame:
-    """(path, length, modified) of all files below a prefix; contents are not read."""
+    """(path, length, modified) of all files below a prefix; contents are not read.
+    Spark's file sources pass over empty files, which no step could use either."""
     rows = _objects(spark, root, prefix)
     return rows.select(c("key").alias("path"), "length", c("modificationTime").alias("modified"))
 
