@@ -192,13 +192,29 @@ def h6_solvent(t):
     return metering.meter(log(t), revisions(t, signup=10**9)).drop("ts")
 
 
-@query("h6_meter")
+# the account machine for charges, one row per step: balance, seen keys, free slots
+H6_FOLD = """,
+    steps AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts, event_id) AS rn FROM priced),
+    run AS (
+      SELECT DISTINCT account, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS price, '' AS source, 200::BIGINT AS balance,
+        MAP {'': 0::BIGINT} AS seen, MAP {'': 0::BIGINT} AS used FROM steps
+      UNION ALL
+      SELECT account, rn, event_id, price, source, CASE WHEN source = 'balance' THEN balance - price ELSE balance END,
+        CASE WHEN source IN ('balance', 'free') THEN map_concat(seen, MAP {key: ts}) ELSE seen END,
+        CASE WHEN source = 'free' THEN map_concat(used, MAP {slot: coalesce(used[slot], 0) + 1}) ELSE used END
+      FROM (SELECT s.account, s.rn, s.event_id, s.price, s.key, s.ts, r.balance, r.seen, r.used, s.kind || (s.ts // 86400) AS slot,
+          CASE WHEN r.seen[s.key] > s.ts - 86400 THEN 'repeat' WHEN s.in_scope AND coalesce(r.used[s.kind || (s.ts // 86400)], 0) < 2 THEN 'free'
+            WHEN r.balance >= s.price THEN 'balance' ELSE 'refused' END AS source
+        FROM run r JOIN steps s ON s.account = r.account AND s.rn = r.rn + 1))
+    SELECT account, event_id, CASE WHEN source = 'refused' THEN 402 ELSE 200 END::INT AS status, source, source = 'balance' AS charged,
+      CASE WHEN source = 'free' THEN 0 ELSE price END::BIGINT AS cost, CASE WHEN source = 'balance' THEN price ELSE 0 END::BIGINT AS deducted FROM run WHERE rn > 0"""
+
+
+@query("h6_meter", "WITH RECURSIVE log AS (" + LOG + "), revs AS (" + REVISIONS + "), priced AS (" + PRICED + ")" + H6_FOLD)
 def h6(t):
-    return metering.meter(log(t), revisions(t))
+    return metering.meter(log(t), revisions(t)).drop("ts")
 
 
-OPS = {"signup": "credit", "purchase": "subscribe"}
-
 
 def full_log(t):
     """Every operation: charges and checks, credits, plans, grants and bans."""
@@ -213,12 +229,80 @@ def full_log(t):
         "days", (c("k") % 5 + 1).cast("int")).withColumn("flag", c("k") % 4 == 0).drop("k")
 
 
-@query("h11_meter_all_operations")
+FULL = f""" full_log AS (SELECT p.*, k, CASE WHEN kind <> 'upload' THEN CASE WHEN event_id % 11 = 0 THEN 'check' ELSE 'charge' END
+      WHEN event_id % 4 = 0 THEN 'credit' WHEN event_id % 4 = 1 THEN 'subscribe' WHEN event_id % 12 = 2 THEN 'unsubscribe'
+      WHEN event_id % 12 = 6 THEN 'grant' WHEN event_id % 12 = 10 THEN 'ban' ELSE 'charge' END AS op,
+      CASE WHEN k % 2 = 0 THEN 'basic' ELSE 'pro' END AS asked, row_number() OVER (PARTITION BY account ORDER BY ts, event_id) AS rn
+    FROM priced p JOIN (SELECT event_id, {K} AS k FROM events) USING (event_id))"""
+
+# every operation, one row per step; aliases build on each other from top to bottom
+H11_FOLD = """,
+    run AS (
+      SELECT DISTINCT account, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS ts, 0 AS status, '' AS source, false AS charged, 0::BIGINT AS cost, 0::BIGINT AS deducted,
+        0::BIGINT AS shown, NULL::BIGINT AS vr, NULL::BIGINT AS sr, 0::BIGINT AS reset,
+        false AS init, 0::BIGINT AS balance, NULL::VARCHAR AS plan, 0::BIGINT AS paid, 0::BIGINT AS period_end, NULL::BIGINT AS win_start, 0::BIGINT AS wv, 0::BIGINT AS ws,
+        false AS banned, 0::BIGINT AS total, MAP {'': 0::BIGINT} AS seen, MAP {'': 0::BIGINT} AS used FROM full_log
+      UNION ALL
+      SELECT account, rn, event_id, ts, status, source, charged, cost, deducted, shown, vr, sr, reset, init2, balance2, plan2, paid2, end2, win2, wv2, ws2, banned2, total2, seen2, used2 FROM (
+       SELECT s.account, s.rn, s.event_id, s.ts,
+        s.op IN ('charge', 'credit') AS starts, s.kind IN ('image', 'similar') AS views,
+        r.balance + CASE WHEN NOT r.init AND s.op IN ('charge', 'credit', 'check') THEN 200 ELSE 0 END AS bal0,
+        r.plan IS NOT NULL AND r.period_end > s.ts AS active, CASE r.plan WHEN 'basic' THEN 3 END AS pv, CASE r.plan WHEN 'basic' THEN 1 WHEN 'pro' THEN 2 END AS ps,
+        CASE WHEN active THEN r.paid * least(r.period_end - s.ts, 2592000) // 2592000 ELSE 0 END AS refund,
+        r.win_start IS NULL OR s.ts >= r.win_start + 18000 AS elapsed, active AND elapsed AS roll,
+        CASE WHEN roll THEN s.ts ELSE r.win_start END AS w0, CASE WHEN roll THEN 0 ELSE r.wv END AS v0, CASE WHEN roll THEN 0 ELSE r.ws END AS s0,
+        s.kind || (s.ts // 86400) AS slot, CASE s.op WHEN 'credit' THEN 'credit ' ELSE 'plan ' END || s.k AS mark, CASE s.asked WHEN 'basic' THEN 50 ELSE 120 END AS asked_price, asked_price - refund AS net,
+        CASE WHEN s.op IN ('charge', 'check', 'subscribe') AND r.banned THEN 'suspended'
+          WHEN s.op IN ('charge', 'check') THEN CASE WHEN r.seen[s.key] > s.ts - 86400 THEN 'repeat'
+            WHEN s.in_scope AND coalesce(r.used[slot], 0) < 2 THEN 'free'
+            WHEN active AND views AND pv IS NULL THEN 'unlimited' WHEN active AND views AND v0 + s.price <= pv THEN 'window'
+            WHEN active AND NOT views AND s0 < ps THEN 'window' WHEN bal0 >= s.price THEN 'balance' ELSE 'refused' END
+          WHEN s.op IN ('credit', 'grant') AND r.seen[mark] IS NOT NULL THEN 'known' WHEN s.op = 'credit' THEN 'credited' WHEN s.op = 'grant' THEN 'granted'
+          WHEN s.op = 'subscribe' THEN CASE WHEN net > 0 AND r.balance < net THEN 'refused' ELSE 'subscribed' END
+          WHEN s.op = 'unsubscribe' THEN 'unsubscribed' WHEN s.k % 4 = 0 THEN 'banned' ELSE 'unbanned' END AS made,
+        CASE WHEN s.op = 'check' AND made IN ('free', 'unlimited', 'window', 'balance') THEN 'allowed' ELSE made END AS source,
+        s.op = 'charge' AND made IN ('free', 'unlimited', 'window', 'balance') AS accepted,
+        v0 + CASE WHEN accepted AND made = 'window' AND views THEN s.price ELSE 0 END AS v1, s0 + CASE WHEN accepted AND made = 'window' AND NOT views THEN 1 ELSE 0 END AS s1,
+        CASE WHEN s.op = 'charge' THEN bal0 - CASE WHEN made = 'balance' THEN s.price ELSE 0 END WHEN made = 'credited' THEN greatest(0, bal0 + s.k * 3 - 60) WHEN s.op = 'credit' THEN bal0
+          WHEN made = 'subscribed' THEN greatest(0, r.balance - net) WHEN made IN ('unsubscribed', 'granted') THEN r.balance + refund ELSE r.balance END AS balance2,
+        r.init OR starts AS init2, CASE WHEN made IN ('subscribed', 'granted') THEN s.asked WHEN made = 'unsubscribed' THEN NULL ELSE r.plan END AS plan2,
+        CASE WHEN made = 'subscribed' THEN asked_price WHEN made IN ('unsubscribed', 'granted') THEN 0 ELSE r.paid END AS paid2,
+        CASE WHEN made = 'subscribed' THEN s.ts + 2592000 WHEN made = 'granted' THEN s.ts + (s.k % 5 + 1) * 86400 WHEN made = 'unsubscribed' THEN 0 ELSE r.period_end END AS end2,
+        made IN ('subscribed', 'granted') AS bought, accepted AND (roll OR made = 'window') AS moved,
+        CASE WHEN moved THEN w0 WHEN bought AND elapsed THEN s.ts ELSE r.win_start END AS win2, CASE WHEN moved THEN v1 WHEN bought AND elapsed THEN 0 ELSE r.wv END AS wv2,
+        CASE WHEN moved THEN s1 WHEN bought AND elapsed THEN 0 ELSE r.ws END AS ws2, CASE WHEN s.op = 'ban' THEN s.k % 4 = 0 ELSE r.banned END AS banned2,
+        r.total + CASE WHEN accepted THEN 1 ELSE 0 END AS total2,
+        CASE WHEN accepted THEN map_concat(r.seen, MAP {s.key: s.ts}) WHEN made IN ('credited', 'granted') THEN map_concat(r.seen, MAP {mark: s.ts}) ELSE r.seen END AS seen2,
+        CASE WHEN accepted AND made = 'free' THEN map_concat(r.used, MAP {slot: coalesce(r.used[slot], 0) + 1}) ELSE r.used END AS used2,
+        CASE made WHEN 'suspended' THEN 403 WHEN 'refused' THEN 402 ELSE 200 END AS status, (accepted AND made <> 'free') OR made = 'subscribed' AS charged,
+        (CASE WHEN s.op IN ('charge', 'check') AND (made IN ('repeat', 'refused') OR (accepted AND made <> 'free')) THEN s.price WHEN s.op = 'subscribe' AND made <> 'suspended' THEN net
+          WHEN made IN ('unsubscribed', 'granted') THEN -refund ELSE 0 END)::BIGINT AS cost,
+        (CASE WHEN accepted AND made = 'balance' THEN s.price WHEN made = 'credited' THEN bal0 - balance2 WHEN made = 'subscribed' THEN r.balance - balance2 WHEN made IN ('unsubscribed', 'granted') THEN -refund ELSE 0 END)::BIGINT AS deducted,
+        CASE WHEN s.op = 'check' AND made <> 'suspended' THEN bal0 ELSE balance2 END AS shown,
+        bought OR (s.op = 'grant' AND made = 'known') OR made = 'repeat' AS stored, accepted OR (s.op IN ('charge', 'check') AND made = 'refused') AS counted,
+        CASE WHEN bought THEN true ELSE active END AS on2, CASE WHEN bought THEN CASE s.asked WHEN 'basic' THEN 3 END ELSE pv END AS pv2, CASE WHEN bought THEN CASE s.asked WHEN 'basic' THEN 1 ELSE 2 END ELSE ps END AS ps2,
+        win2 IS NULL OR s.ts >= win2 + 18000 AS stale,
+        CASE WHEN counted AND on2 THEN greatest(0, pv2 - v1) WHEN stored AND on2 THEN greatest(0, pv2 - CASE WHEN stale THEN 0 ELSE wv2 END) END AS vr0,
+        (CASE WHEN pv2 IS NULL THEN NULL ELSE vr0 END)::BIGINT AS vr,
+        (CASE WHEN counted AND on2 THEN greatest(0, ps2 - s1) WHEN stored AND on2 THEN greatest(0, ps2 - CASE WHEN stale THEN 0 ELSE ws2 END) END)::BIGINT AS sr,
+        (CASE WHEN counted AND on2 THEN w0 + 18000 WHEN stored AND on2 AND NOT stale THEN win2 + 18000 ELSE 0 END)::BIGINT AS reset
+       FROM run r JOIN full_log s ON s.account = r.account AND s.rn = r.rn + 1))
+    """
+H11 = "WITH RECURSIVE log AS (" + LOG + "), revs AS (" + REVISIONS + "), priced AS (" + PRICED + "), " + FULL + H11_FOLD
+
+
+@query("h11_meter_all_operations", H11 + """SELECT account, event_id, ts, status::INT AS status, source, charged, cost, deducted,
+    shown AS balance, vr AS views_remaining, sr AS searches_remaining, reset AS window_reset FROM run WHERE rn > 0""")
 def h11(t):
     return metering.meter_with_figures(full_log(t), revisions(t))
 
 
-@query("h14_account_status")
+@query("h14_account_status", H11 + """SELECT account, balance, CASE WHEN act THEN plan END AS plan, CASE WHEN act THEN period_end ELSE 0 END AS period_end,
+    (CASE WHEN act AND plan = 'basic' THEN greatest(0, 3 - CASE WHEN fresh THEN 0 ELSE wv END) END)::BIGINT AS views_remaining,
+    (CASE WHEN act THEN greatest(0, CASE plan WHEN 'basic' THEN 1 ELSE 2 END - CASE WHEN fresh THEN 0 ELSE ws END) END)::BIGINT AS searches_remaining,
+    CASE WHEN act AND NOT fresh THEN win_start + 18000 ELSE 0 END AS window_reset, banned, total AS total_views
+    FROM (SELECT *, plan IS NOT NULL AND period_end > 1706000000 AS act, win_start IS NULL OR win_start + 18000 <= 1706000000 AS fresh
+      FROM run QUALIFY row_number() OVER (PARTITION BY account ORDER BY rn DESC) = 1)""")
 def h14(t):
     states = metering.account_states(full_log(t), revisions(t))
     return metering.account_status(states, policy.latest_policy(revisions(t)), 1_706_000_000)
