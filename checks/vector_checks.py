@@ -116,7 +116,15 @@ def v9_all(t):
     return show(vectors.knn_join(asked, corpus(t), 3))
 
 
-@query("v8_ann_knn")
+INDEX = vectors.HyperplaneIndex()
+PLANES = ", ".join(str(p) for p in INDEX.planes(64).T.tolist())
+
+
+@query("v8_ann_knn", f"""WITH signs AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform([{PLANES}], lambda p: CASE WHEN list_dot_product(embedding::DOUBLE[], p) > 0 THEN '1' ELSE '0' END) AS s FROM embeddings),
+    codes AS (SELECT vec_id, v, list_transform(range({INDEX.tables}), lambda t: array_to_string(s[t * {INDEX.bits} + 1:(t + 1) * {INDEX.bits}], '')) AS c FROM signs)
+    SELECT query_id, rank, id, round(d, 6) AS distance FROM (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM
+      (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_distance(e.v, q.v), 9) AS d FROM codes q, codes e
+       WHERE len(list_filter(range(1, {INDEX.tables} + 1), lambda t: q.c[t] = e.c[t])) > 0)) WHERE rank <= 3""")
 def v8(t):
     asked = t.embeddings.select(c("vec_id").alias("query_id"), "embedding")
     return show(vectors.ann_knn(asked, corpus(t), 3))

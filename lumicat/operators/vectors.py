@@ -130,11 +130,11 @@ class HyperplaneIndex:
     bits: int = 4
     seed: int = 7
 
+    def planes(self, dim: int) -> np.ndarray:
+        return np.random.default_rng(self.seed).standard_normal((dim, self.tables * self.bits))
+
     def codes(self, unit: np.ndarray) -> np.ndarray:
-        planes = np.random.default_rng(self.seed).standard_normal(
-            (unit.shape[1], self.tables * self.bits)
-        )
-        signs = (unit @ planes > 0).reshape(len(unit), self.tables, self.bits)
+        signs = (unit @ self.planes(unit.shape[1]) > 0).reshape(len(unit), self.tables, self.bits)
         return (signs * (1 << np.arange(self.bits))).sum(axis=2)
 
 
