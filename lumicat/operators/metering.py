@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lumicat.functions.money import BIG, day_bucket
 from lumicat.functions.paths import in_free_scope
 from lumicat.operators import account as machine
+from lumicat.operators.ordered import running_total
 from lumicat.operators.policy import PLANS, item_of, parse_document, policy_asof
 from lumicat.sources.snapshots import stage
 
@@ -36,6 +37,8 @@ STATE_DDL = (
     "account string, init boolean, balance bigint, plan string, plan_paid bigint, period_end bigint, "
     "win_start bigint, win_views bigint, win_search bigint, banned boolean, total_views bigint"
 )
+PLAN_OPS = ("subscribe", "unsubscribe", "grant")
+LIFTING_OPS = ("credit", "ban", "init")  # without a plan, only these can turn a refusal around
 EVENT_COLUMNS = [
     "account", "event_id", "ts", "op", "kind", "key", "price", "daily_free", "in_scope", "signup",
     "terms", "plan", "points", "token", "expected_price", "days", "flag",
@@ -141,7 +144,7 @@ def _opening(accounts: DataFrame | None, prepared: DataFrame) -> DataFrame:
 
 # -------------------------------------------------- accounts that never run out
 def _summaries(prepared: DataFrame) -> DataFrame:
-    """Per account: other operations than charges, the most its charges can cost
+    """Per account: operations on plans and others than charges, the most its charges can cost
     (each key once per UTC day), points it starts with, and whether
     the terms of its items changed within a day."""
     terms = F.struct("kind", "price", "daily_free", "in_scope")
@@ -160,12 +163,14 @@ def _summaries(prepared: DataFrame) -> DataFrame:
     first_signup = F.min_by("signup", F.when(c("op") != "open", F.struct("ts", "event_id")))
     heads = prepared.groupBy("account").agg(
         F.count_if(~c("op").isin("charge", "open")).alias("other_ops"),
+        F.count_if(c("op").isin(*PLAN_OPS)).alias("plan_ops"),
         F.coalesce(opening, first_signup).cast(BIG).alias("starts_with"),
     )
-    steady = (c("other_ops") == 0) & ~F.coalesce(c("varies"), F.lit(False))
-    solvent = steady & (c("most") <= c("starts_with"))
+    steady = (c("plan_ops") == 0) & ~F.coalesce(c("varies"), F.lit(False))
+    solvent = steady & (c("other_ops") == 0) & (c("most") <= c("starts_with"))
     return heads.join(costs, "account", "left").select(
-        "account", steady.alias("steady"), F.coalesce(solvent, F.lit(False)).alias("solvent")
+        "account", steady.alias("steady"), (c("other_ops") > 0).alias("mixed"),
+        F.coalesce(solvent, F.lit(False)).alias("solvent"),
     )
 
 
@@ -268,7 +273,7 @@ def _largest_limit(prepared: DataFrame) -> int | None:
 
 
 def _decision(source: Column, cost: Column, charged: Column, deducted: Column) -> list[Column]:
-    status = F.when(source == "refused", 402).otherwise(200).cast("int")
+    status = F.when(source == "refused", 402).when(source == "suspended", 403).otherwise(200).cast("int")
     return [
         "account", "event_id", "ts", status.alias("status"), source.alias("source"),
         charged.alias("charged"), cost.cast("bigint").alias("cost"), deducted.cast("bigint").alias("deducted"),
@@ -298,64 +303,85 @@ def _meter_solvent(charges: DataFrame) -> DataFrame:
     return judged.select(*_decision(source, cost, ~c("free"), cost)).unionByName(again)
 
 
+def _epochs(rows: DataFrame) -> DataFrame:
+    """Adds ``epoch``: how many credits and bans of the account came before the row.
+    Only accounts that have any are counted, on narrow rows in time buckets."""
+    plain = rows.where(~c("mixed")).withColumn("epoch", F.lit(0).cast("bigint"))
+    mixed = rows.where("mixed")
+    lifts = F.when(c("op").isin(*LIFTING_OPS), 1).otherwise(0).alias("lifts")
+    counted = running_total(
+        mixed.select("account", "event_id", "ts", lifts), ["account"], "ts", "lifts", "event_id", "epoch"
+    ).select("account", "event_id", c("epoch").cast("bigint").alias("epoch"))
+    return plain.unionByName(mixed.join(counted, ["account", "event_id"]))
+
+
 def turning_points(charges: DataFrame) -> DataFrame:
-    """(account, key, ts, head) for every different second: ``head`` is the latest
-    second up to ``ts`` whose outcome decides this one.
+    """(account, key, ts, epoch, head): ``head`` numbers the moments of a key that
+    decide its outcome, ``first`` marks the second in which one begins.
 
-    Without credits, plans and changing terms, points and free slots only run
-    down within a UTC day. So after the first request for a key on a day, a later
+    Between two credits, without plans and changing terms, points and free slots
+    only run down within a UTC day. So after the first request for a key, a later
     one is a repeat if that one was accepted and refused if it was refused. The
     only other moment that matters is when yesterday's acceptance turns 24 hours
-    old, and it was itself such a head. Work is spread by (account, key).
+    old, and that was itself such a moment. Work is spread by (account, key).
     """
-    seconds = charges.select("account", "key", "ts").distinct()
-    ordered = seconds.repartition("account", "key").sortWithinPartitions("account", "key", "ts")
+    moments = charges.select("account", "key", "ts", "epoch").distinct()
+    order = ["account", "key", "ts", "epoch"]
+    ordered = moments.repartition("account", "key").sortWithinPartitions(*order)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, day, head, now_heads, due = None, None, None, [], []
+        current, day, epoch, head, now_heads, due = None, None, None, 0, [], []
         for batch in batches:
-            owners, names, times = (batch.column(i).to_pylist() for i in range(3))
-            heads = []
-            for pair, ts in zip(zip(owners, names), times):
+            owners, names, times, epochs = (batch.column(i).to_pylist() for i in range(4))
+            heads, firsts = [], []
+            for pair, ts, lifted in zip(zip(owners, names), times, epochs):
                 today, clock = divmod(ts, machine.DAY)
+                first = True
                 if pair != current or today != day:
                     follows = pair == current and today == day + 1
-                    due = sorted(now_heads) if follows else []
+                    due = sorted(d for d in now_heads if d > clock) if follows else []
+                    head, now_heads = (head + 1 if pair == current else 0), [clock]
+                elif lifted != epoch or (due and clock >= due[0]):
                     due = [d for d in due if d > clock]
-                    current, day, head, now_heads = pair, today, ts, [clock]
-                elif due and clock >= due[0]:
-                    due = [d for d in due if d > clock]
-                    head = ts
+                    head += 1
                     now_heads.append(clock)
+                else:
+                    first = False
+                current, day, epoch = pair, today, lifted
                 heads.append(head)
+                firsts.append(first)
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(heads, pa.int64())],
-                names=["account", "key", "ts", "head"],
+                [batch.column(i) for i in range(4)] + [pa.array(heads, pa.int64()), pa.array(firsts)],
+                names=[*order, "head", "first"],
             )
 
-    return ordered.mapInArrow(mark, "account string, key string, ts bigint, head bigint")
+    return ordered.mapInArrow(
+        mark, "account string, key string, ts bigint, epoch bigint, head bigint, first boolean"
+    )
 
 
 def _meter_rest(rows: DataFrame) -> DataFrame:
-    """Decisions by the fold. An account with charges on steady terms only sends the
+    """Decisions by the fold. An account on steady terms without plans only sends the
     requests that can change its course; the others take over their outcome."""
-    simple = rows.where(c("steady") & (c("op") == "charge"))
-    second = ["account", "key", "ts"]
-    heads = turning_points(simple)
-    first = simple.groupBy(*second).agg(F.min("event_id").alias("event_id"))
-    turning = heads.where(c("ts") == c("head")).join(first, second).select("account", "event_id")
-    kept = simple.join(turning, ["account", "event_id"], "left_semi")
-    made = _fold(
-        kept.unionByName(rows.where(~c("steady") | (c("op") != "charge"))),
-        f"{DECISION_DDL}, key string", False,
+    simple = _epochs(rows.where("steady"))
+    charges = simple.where(c("op") == "charge")
+    moment = ["account", "key", "ts", "epoch"]
+    heads = turning_points(charges)
+    begins = charges.groupBy(*moment).agg(F.min("event_id").alias("event_id"))
+    turning = heads.where("first").join(begins, moment).select("account", "event_id", "head")
+    kept = charges.join(turning.select("account", "event_id"), ["account", "event_id"], "left_semi")
+    others = rows.where(~c("steady") | (c("op") != "charge"))
+    made = _fold(kept.select(EVENT_COLUMNS).unionByName(others.select(EVENT_COLUMNS)), f"{DECISION_DDL}, key string", False)
+    outcome = made.join(turning, ["account", "event_id"]).select(
+        "account", "key", "head", c("event_id").alias("decided"), "source"
     )
-    zero = F.lit(0).cast("bigint")
-    outcome = made.select("account", "key", c("ts").alias("head"), c("event_id").alias("decided"), "source")
-    late = simple.join(heads, second).join(outcome, ["account", "key", "head"])
+    late = charges.join(heads, moment).join(outcome, ["account", "key", "head"])
     late = late.where(c("event_id") != c("decided"))
-    source = F.when(c("source") == "refused", "refused").otherwise("repeat")
-    derived = late.withColumn("source", source).select(
-        *_decision(c("source"), c("price"), F.lit(False), zero)
+    refused = c("source").isin("refused", "suspended")
+    zero = F.lit(0).cast("bigint")
+    cost = F.when(c("source") == "suspended", zero).otherwise(c("price"))
+    derived = late.withColumn("source", F.when(refused, c("source")).otherwise("repeat")).select(
+        *_decision(c("source"), cost, F.lit(False), zero)
     )
     return made.drop("key").unionByName(derived)
 

@@ -409,13 +409,19 @@ def suggest(cat: Catalog, queries: DataFrame) -> DataFrame:
         .when(F.startswith(F.lower("name"), c("q_low")), 1)
         .otherwise(2)
     )
-    hits = None
-    for asked, offered in sources:
-        part = _gram_match(asked.select("mode", "text", "raw"), offered).select(
+    by_form, by_alias, *rest = [
+        _gram_match(asked.select("mode", "text", "raw"), offered).select(
             "mode", "text", "id", "label", rank.alias("match")
         )
-        hits = part if hits is None else hits.unionByName(part)
-    best = hits.groupBy("mode", "text", "id", "label").agg(F.min("match").alias("match"))
+        for asked, offered in sources
+    ]
+    # a tag may match in several ways; authors and titles match once, so their hits
+    # go straight into the top-n, which is cut before its shuffle
+    best = by_form.unionByName(by_alias).groupBy("mode", "text", "id", "label").agg(
+        F.min("match").alias("match")
+    )
+    for part in rest:
+        best = best.unionByName(part)
     titles = c("mode") == "title"
     order = [
         c("match"),

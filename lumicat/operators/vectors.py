@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumicat.operators.paging import bounded, check_page, page, ranked, top_per_key
+from lumicat.sources.snapshots import stage
 
 c = F.col
 QUERY_CHUNK = 2048  # queries answered by one pass over the corpus
@@ -208,13 +209,18 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, col: str = "embeddin
     """
     rows = corpus.select(c("id").cast("bigint"), c(col))
     asked = queries.where(c(col).isNotNull()).select(c("query_id").cast("bigint"), c(col))
-    chunks = max(1, -(-asked.count() // QUERY_CHUNK))
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
+    blocks = [asked.limit(QUERY_CHUNK + 1).toPandas()]
+    if len(blocks[0]) > QUERY_CHUNK:
+        asked = stage(asked)
+        chunks = -(-asked.count() // QUERY_CHUNK)
+        slot = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
+        blocks = (asked.where(slot == i).limit(4 * QUERY_CHUNK + 1).toPandas() for i in range(chunks))
     hits = None
-    for i in range(chunks):
-        block = asked.where(slot == i).toPandas() if chunks > 1 else asked.toPandas()
+    for block in blocks:
         if block.empty:
             continue
+        if len(block) > 4 * QUERY_CHUNK:
+            raise ValueError("query ids must be unique")
         matrix = np.stack([np.asarray(v, "float64") for v in block[col]])
         part = _scan(rows, block["query_id"].to_numpy("int64"), matrix, k, index)
         hits = part if hits is None else hits.unionByName(part)
