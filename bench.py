@@ -28,6 +28,8 @@ def main() -> None:
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g",
+        # the test files are small: split them down to their row groups
+        "spark.sql.files.openCostInBytes": "524288",
     })
     spark.sparkContext.setLogLevel("ERROR")
     names = [a for a in sys.argv[1:]] or HEADLINE

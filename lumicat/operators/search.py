@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lumicat.catalog import Catalog
 from lumicat.functions import text as tx
-from lumicat.operators.paging import bounded, check_page, page, ranked, top_per_key
+from lumicat.operators.paging import bounded, page, ranked, top_per_key
+from lumicat.sources.snapshots import stage
 
 c = F.col
 
@@ -389,7 +390,7 @@ def suggest(cat: Catalog, queries: DataFrame) -> DataFrame:
     asked_rows = queries.where(tx.should_suggest(c("mode"), c("q"))).select(
         "query_id", "mode", tx.trim_unicode(c("q")).alias("text")
     )
-    live = asked_rows.select("mode", "text", c("text").alias("raw")).distinct()
+    live = stage(asked_rows.select("mode", "text", c("text").alias("raw")).distinct())
     tags = live.where(c("mode") == "tag")
     spaced = tags.withColumn("form", F.explode(F.array_distinct(F.array(
         c("raw"), F.translate("raw", " ", "_")))))
