@@ -8,6 +8,7 @@ never holds an account's log in memory.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +28,6 @@ OPTIONAL = {
     "token": ("string", None), "expected_price": ("bigint", None), "days": ("int", None),
     "flag": ("boolean", None),
 }
-TERMS_DDL = "array<struct<price:bigint,views:bigint,searches:bigint>>"
 DECISION_DDL = (
     "account string, event_id bigint, ts bigint, status int, source string, charged boolean, "
     "cost bigint, deducted bigint"
@@ -43,6 +43,7 @@ EVENT_COLUMNS = [
     "account", "event_id", "ts", "op", "kind", "key", "price", "daily_free", "in_scope", "signup",
     "terms", "plan", "points", "token", "expected_price", "days", "flag",
 ]
+POINTS = EVENT_COLUMNS.index("points") - EVENT_COLUMNS.index("ts")
 
 
 def prepare(log: DataFrame, revisions: DataFrame) -> DataFrame:
@@ -52,9 +53,12 @@ def prepare(log: DataFrame, revisions: DataFrame) -> DataFrame:
     for name, (kind, default) in OPTIONAL.items():
         if name not in log.columns:
             rows = rows.withColumn(name, F.lit(default).cast(kind))
-    policies = revisions.withColumn("policy", parse_document(c("document")))
-    known = policy_asof(rows, policies.drop("document").withColumnRenamed("policy", "document"))
-    known = known.withColumnRenamed("document", "policy")
+    policies = revisions.withColumn("policy", parse_document(c("document"))).withColumn(
+        "document", F.struct("policy", F.to_json("policy.plans").alias("terms"))
+    )
+    known = policy_asof(rows, policies.select("revision", "document", "updated_at")).select(
+        *rows.columns, "document.policy", "document.terms"
+    )
     item = item_of(c("policy"), c("kind"))
     zero = F.lit(0).cast("bigint")
     scope = in_free_scope(c("key"), c("kind"), c("policy.free_media_folders"))
@@ -63,22 +67,36 @@ def prepare(log: DataFrame, revisions: DataFrame) -> DataFrame:
         F.coalesce(item["price"], zero).alias("price"),
         F.coalesce(item["daily_free"], zero).alias("daily_free"),
         F.coalesce(scope, F.lit(False)).alias("in_scope"),
-        c("policy.signup_points").alias("signup"), c("policy.plans").alias("terms"),
+        c("policy.signup_points").alias("signup"), "terms",
         "plan", "points", "token", "expected_price", "days", "flag",
         c("policy.login_required").alias("login_required"),
     )
 
 
 # ------------------------------------------------------------------ ordered fold
-def to_event(row: dict) -> machine.Event:
+_TERMS: dict[str, dict] = {}  # plan terms by their JSON text; a handful per policy history
+
+
+def plan_terms(text: str | None) -> dict:
+    """Plan terms (price, views, searches) by name."""
+    if text is None:
+        return {}
+    known = _TERMS.get(text)
+    if known is None:
+        rows = json.loads(text)
+        known = {n: (r["price"], r.get("views"), r["searches"]) for n, r in zip(PLANS, rows)}
+        if len(_TERMS) > 10_000:
+            _TERMS.clear()
+        _TERMS[text] = known
+    return known
+
+
+def to_event(op, ts, kind, key, price, daily_free, in_scope, signup, terms, plan, points, token,
+             expected_price, days, flag) -> machine.Event:
     """A prepared log row as an event of the account machine."""
-    terms = row["terms"] or []
     return machine.Event(
-        op=row["op"], ts=row["ts"], kind=row["kind"], key=row["key"], price=row["price"] or 0,
-        daily_free=row["daily_free"] or 0, in_scope=bool(row["in_scope"]), signup=row["signup"] or 0,
-        plans={n: (t["price"], t["views"], t["searches"]) for n, t in zip(PLANS, terms)},
-        plan=row["plan"], points=row["points"] or 0, token=row["token"],
-        expected_price=row["expected_price"], days=row["days"] or 0, flag=bool(row["flag"]),
+        op, ts, kind, key, price or 0, daily_free or 0, bool(in_scope), signup or 0, plan_terms(terms),
+        plan, points or 0, token, expected_price, days or 0, bool(flag),
     )
 
 
@@ -91,28 +109,29 @@ def _fold(prepared: DataFrame, ddl: str, emit_states: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, store = None, None, None
 
-        def snapshot() -> dict:
+        def snapshot() -> list:
             dump = state.dump()
-            return {n: (current if n == "account" else dump[n]) for n in names}
+            return [current if n == "account" else dump[n] for n in names]
 
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if row["account"] != current:
+            for account, event_id, *fields in zip(*(column.to_pylist() for column in batch.columns)):
+                if account != current:
                     if emit_states and current is not None:
                         out.append(snapshot())
-                    current, state, store = row["account"], machine.Account(), machine.MemoryStore()
-                if row["op"] == "open":
-                    state.init, state.balance = True, row["points"]
+                    current, state, store = account, machine.Account(), machine.MemoryStore()
+                ts, op = fields[0], fields[1]
+                if op == "open":
+                    state.init, state.balance = True, fields[POINTS]
                     continue
-                decision = machine.step(state, store, to_event(row))
+                decision = machine.step(state, store, to_event(op, ts, *fields[2:]))
                 if not emit_states:
-                    made = vars(decision) | {k: row[k] for k in ("account", "event_id", "ts", "key")}
-                    out.append({n: made[n] for n in names})
+                    here = {"account": account, "event_id": event_id, "ts": ts, "key": fields[3]}
+                    out.append([here[n] if n in here else getattr(decision, n) for n in names])
             if out:
-                yield _batch(out, schema)
+                yield _columns(out, schema)
         if emit_states and current is not None:
-            yield _batch([snapshot()], schema)
+            yield _columns([snapshot()], schema)
 
     spark = prepared.sparkSession
     schema = _arrow_schema(spark.createDataFrame([], ddl))
@@ -127,6 +146,12 @@ def _arrow_schema(empty: DataFrame) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in empty.dtypes])
 
 
+def _columns(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values, field.type) for values, field in zip(zip(*rows), schema)], schema=schema
+    )
+
+
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 

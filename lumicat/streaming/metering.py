@@ -79,7 +79,7 @@ class MeterProcessor(StatefulProcessor):
                 if row["ts"] // machine.DAY != account.last_ts // machine.DAY and account.last_ts >= 0:
                     self.store.forget(row["ts"] - machine.REPEAT)
                 account.last_ts = int(row["ts"])
-                decision = machine.step(account, self.store, to_event(_plain(row)))
+                decision = machine.step(account, self.store, to_event(*_plain(row)))
             out.append(vars(decision) | {k: row[k] for k in ("account", "event_id", "ts")})
         self.scalars.update((json.dumps(account.dump()),))
         yield _frame(out)
@@ -88,15 +88,13 @@ class MeterProcessor(StatefulProcessor):
         pass
 
 
-def _plain(row: dict) -> dict:
-    """Row values as plain Python numbers."""
+def _plain(row: dict) -> list:
+    """The fields of an event in order, as plain Python values."""
     whole = ("ts", "price", "daily_free", "signup", "points", "expected_price", "days")
-    fixed = {k: None if row[k] is None else int(row[k]) for k in whole}
-    terms = [] if row["terms"] is None else list(row["terms"])
-    pick = lambda t, n: t[n] if isinstance(t, dict) else getattr(t, n)
-    return row | fixed | {"terms": [
-        {n: None if pd.isna(pick(t, n)) else int(pick(t, n)) for n in ("price", "views", "searches")} for t in terms
-    ]}
+    return [
+        int(row[n]) if n in whole and row[n] is not None else row[n]
+        for n in ("op", "ts", *EVENT_COLUMNS[EVENT_COLUMNS.index("op") + 1:])
+    ]
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
