@@ -269,20 +269,25 @@ def post_media(cat: Catalog, posts: DataFrame | None = None) -> DataFrame:
     )
 
 
-def posts_with_media(cat: Catalog, posts: DataFrame) -> DataFrame:
-    """A page of posts with nested, id-ordered media lists."""
+def posts_with_media(cat: Catalog, posts: DataFrame, list_size: int = 1000) -> DataFrame:
+    """A page of posts with nested, id-ordered media lists. A post with more
+    than ``list_size`` media comes as several rows (``part``), so that no list grows
+    with the post; ordinary posts are one row."""
     media = post_media(cat, posts)
+    sizes = media.groupBy("post_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(c("n") / list_size).cast("bigint")
+    spread = media.join(sizes, "post_id").withColumn("part", F.pmod(F.xxhash64("kind", c("id")), parts))
     item = F.struct("id", "name", "width", "height", "duration")
 
     def media_list(kind: str):
         picked = F.collect_list(F.when(c("kind") == kind, item))
         return F.array_sort(picked).alias(f"{kind}s")
 
-    lists = media.groupBy("post_id").agg(media_list("image"), media_list("video"))
+    lists = spread.groupBy("post_id", "part").agg(media_list("image"), media_list("video"))
     rows = posts.join(lists.withColumnRenamed("post_id", "id"), "id", "left")
     for name in ("images", "videos"):
         rows = rows.withColumn(name, F.coalesce(name, F.array().cast(rows.schema[name].dataType)))
-    return rows
+    return rows.withColumn("part", F.coalesce("part", F.lit(0).cast("bigint")))
 
 
 # ---------------------------------------------------------------- suggestions

@@ -40,7 +40,9 @@ def build_session(app: str = "lumicat", master: str | None = None, **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage. The cluster names it in
     ``spark.checkpoint.dir``; only local runs fall back to a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir"
+    )
     if shared:
         spark.sparkContext.setCheckpointDir(shared)
         return shared
