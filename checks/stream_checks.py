@@ -92,8 +92,47 @@ def s2(t):
 
 @query("s4_list_objects", "SELECT 'brand=' || p_brand AS folder, count(DISTINCT p_brand) AS n FROM part GROUP BY ALL")
 def s4(t):
-    root = folder(t)
-    t.part.select("p_name", c("p_brand").alias("brand")).repartition("brand").write.partitionBy("brand").text(f"{root}/objects")
-    rows = files.list_objects(t.spark, f"{root}/objects").where(c("path").contains("part-"))
+    rows = files.list_objects(t.spark, stored_objects(t)).where(c("path").contains("part-"))
     decoded = F.try_url_decode(F.split_part("path", F.lit("/"), F.lit(1)))
     return rows.groupBy(decoded.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stored_objects(t) -> str:
+    """One text object per brand, below a folder of its own."""
+    root = folder(t)
+    t.part.select("p_name", c("p_brand").alias("brand")).repartition("brand").write.partitionBy("brand").text(f"{root}/objects")
+    return f"{root}/objects"
+
+
+@query("s5_read_objects", """SELECT 'brand=' || p_brand AS folder, NULL::VARCHAR AS error, sum(strlen(p_name) + 1)::BIGINT AS bytes FROM part GROUP BY 1
+    UNION ALL SELECT n_name, 'object not found', NULL FROM nation""")
+def s5(t):
+    root = stored_objects(t)
+    listed = files.list_objects(t.spark, root).where(c("path").endswith(".txt"))
+    names = listed.select(F.regexp_replace("path", r"\.txt$", "").alias("name")).union(t.nation.select("n_name"))
+    rows = files.read_objects(t.spark, names.withColumn("id", F.xxhash64("name")), root, ".txt")
+    place = F.try_url_decode(F.split_part("name", F.lit("/"), F.lit(1)))
+    return rows.groupBy(place.alias("folder"), "error").agg(F.sum(F.octet_length("content")).cast("bigint").alias("bytes"))
+
+
+@query("s3_read_vocabulary", """SELECT (row_number() OVER (ORDER BY p_brand) - 1)::INT AS tag_index, p_brand AS name, n % 2 = 0 AS is_character FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)""")
+def s3(t):
+    root = folder(t)
+    brands = t.part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+    rows = brands.select(c("n").alias("tag_id"), c("p_brand").alias("name"), F.when(c("n") % 2 == 0, 4).otherwise(0).alias("category"))
+    rows.orderBy("name").coalesce(1).write.csv(f"{root}/tags", header=True)
+    vocabulary = files.read_vocabulary(t.spark, f"{root}/tags", brands.count())
+    return files.vocabulary_table(t.spark, vocabulary)
+
+
+@query("m20_catalog_snapshot", with_cte("authors tag_posts posts", """SELECT 'authors' AS t, count(*) AS n, sum(id)::BIGINT AS ids FROM authors
+    UNION ALL SELECT 'posts', count(*), sum(id)::BIGINT FROM posts UNION ALL SELECT 'tag_posts', count(*), sum(post_id)::BIGINT FROM tag_posts"""))
+def m20(t):
+    root = folder(t)
+    tables = ["authors", "posts", "tag_posts"]
+    snapshots.write_catalog(t.catalog, root, t.spark, tables[:1])
+    snapshots.write_catalog(t.catalog, root, t.spark, tables)
+    stored = snapshots.read_catalog(t.spark, root)
+    rows = [getattr(stored, n).agg(F.lit(n).alias("t"), F.count(F.lit(1)).alias("n"), F.sum(k).alias("ids")).select("t", "n", "ids")
+            for n, k in zip(tables, ("id", "id", "post_id"))]
+    return rows[0].union(rows[1]).union(rows[2])
