@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumicat.functions.hashing import mix64_numpy
-from lumicat.operators.paging import bounded, check_page, lookup_in_order
+from lumicat.operators.paging import check_page, lookup_in_order
 
 c = F.col
 

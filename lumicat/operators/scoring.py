@@ -170,7 +170,9 @@ def score_batches(df: DataFrame, load: Callable[[], Scorer], batch_size: int = 4
 
 def record_results(cat: Catalog, results: DataFrame) -> Catalog:
     """Store the scored rows and give the failed ones back, in this order: new tag
-    names, scores, vectors and status, failures."""
+    names, scores, vectors and status, failures. The results feed several merges, so
+    they are stored first and nothing is scored twice."""
+    results = stage(results)
     done, failed = results.where(c("error").isNull()), results.where(c("error").isNotNull())
     preds = done.select(c("id").alias("image_id"), F.inline("tags"))
     tags = merge_names(cat.wd_tags, preds)
