@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import decontaminate, ngram_join, quality, substring_dedup
+from lumicat.llm import bpe, decontaminate, ngram_join, quality, substring_dedup
 from lumicat.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
