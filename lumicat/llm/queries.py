@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import bpe, decontaminate, ngram_join, quality, substring_dedup
+from lumicat.llm import bpe, decontaminate, embedding_dedup, ngram_join, quality, substring_dedup
 from lumicat.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
