@@ -7,20 +7,25 @@ into segments, one per piece. The overlap of two documents is counted in each fr
    N-grams that are frequent within a task are reported and, summed, go to the end of the order (``HOT`` of them at most;
    the order decides about speed only).
 2. Each class gives its prefix: so many of its first n-grams that two linked sets must share one of them. Equal n-grams
-   meet; what stays alone is dropped. Three n-grams with the smallest hashes go along and tie each document to the
-   smallest class beside it: verified, these stars join most of a group of near copies without listing its pairs.
+   meet; what stays alone is dropped. In ``ROUNDS`` rounds each n-gram names two of its classes per order of size as hubs: the
+   one that shares most of its prefix with others (as the source of a group of copies does) and one at random. Each class
+   is compared with the hubs of either kind that most of its n-grams name, unless they are joined already. These stars join
+   a group of near copies without listing its pairs.
 3. Of what is left, n-grams whose documents lie in different components give candidate pairs. Shared prefix n-grams are
-   counted per pair, and pairs that cannot reach the threshold go. The rest is verified.
+   counted per pair; with the places of the last one they bound the overlap, and pairs that cannot reach the threshold go.
+   The rest is verified.
 4. Verification sends the segments of the pairs' documents to (pair, fragment), counts, and sums per pair.
 
-Links within a component found in step 2 are not listed, links between different components all are, so components are exact.
+Links within a component that step 2 found are not listed, links between different components all are, so components are exact.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumicat.llm import words as W
@@ -34,23 +39,23 @@ PERCENT = 75
 FRAGMENTS = 8
 #: Length of the list of frequent n-grams, the count within one block of a task from which one is reported, and a block's n-grams.
 HOT, LOCAL_HOT, BLOCK = 65_536, 8, 4_000_000
-STARS = 3
+#: Rounds of stars; a hub has to be named by so many n-grams, as a share of the set. Both decide about the work left to step 3 only.
+ROUNDS, NAMED = 2, 0.025
 TOP = W.U64(1) << W.U64(63)
-LOW = W.U64(3)
-IN_PREFIX, IN_STAR = W.U64(1), W.U64(2)
+FAR = 65_535
 
 
 def sets(column: pa.Array, n: int = N):
-    """The set of each text in turn, as sorted hashes whose two lowest bits are 0: its n-word shingles; the whole sequence
-    if it has fewer words; nothing without words."""
+    """The set of each text in turn, as sorted hashes: its n-word shingles; the whole sequence if it has fewer words;
+    nothing without words."""
     for w in W.words(column, W.FOLDED):
         whole, bounds = W.grams(w.hashes, n), w.bounds
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             if b - a >= n:
-                got = np.sort(whole[a: b - n + 1] & ~LOW)
+                got = np.sort(whole[a: b - n + 1])
                 yield got[np.concatenate(([True], got[1:] != got[:-1]))]
             else:
-                yield W.grams(w.hashes[a:b], b - a) & ~LOW if b > a else whole[:0]
+                yield W.grams(w.hashes[a:b], b - a) if b > a else whole[:0]
 
 
 def class_of(shingles: np.ndarray) -> int:
@@ -131,14 +136,14 @@ class Order:
 
 
 def _postings(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """token, class, n, in_prefix, hub: n-grams that several classes have among those they sent."""
+    """token, class, n, place: prefix n-grams that several classes have. ``place``: from 0 in the class's order, at most ``FAR``."""
     spark = docs.sparkSession
     parts = fanout(spark)
 
-    def deal(tokens, owners, classes, sizes):
-        tokens, owners = np.concatenate(tokens), np.concatenate(owners)
+    def deal(tokens, places, owners, classes, sizes):
+        tokens, places, owners = np.concatenate(tokens), np.concatenate(places), np.concatenate(owners)
         classes, sizes = np.array(classes, np.int64), np.array(sizes, np.int32)
-        part = (W.mix(tokens & ~LOW) % W.U64(parts)).astype(np.int64)
+        part = (W.mix(tokens) % W.U64(parts)).astype(np.int64)
         by = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[by], np.arange(parts + 1))
         for k in range(parts):
@@ -146,11 +151,11 @@ def _postings(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
             if len(at):
                 used, owner = np.unique(owners[at], return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (tokens[at], owner.astype(np.uint32), classes[used], sizes[used]))],
-                    ["part", "tokens", "owner", "classes", "sizes"])
+                    [pa.array([k], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (tokens[at], places[at], owner.astype(np.uint32), classes[used], sizes[used]))],
+                    ["part", "tokens", "places", "owner", "classes", "sizes"])
 
     def send(batches):
-        seen, tokens, owners, classes, sizes, held = set(), [], [], [], [], 0
+        seen, tokens, places, owners, classes, sizes, held = set(), [], [], [], [], [], 0
         for batch in batches:
             for got in sets(batch.column(0), n):
                 key = class_of(got)
@@ -158,64 +163,53 @@ def _postings(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
                     continue
                 seen.add(key)
                 length = _prefix_length(len(got), percent)
-                flags = np.zeros(len(got), W.U64)
-                flags[np.argpartition(order.keys(got), length - 1)[:length]] = IN_PREFIX
-                flags[:STARS] |= IN_STAR
-                at = flags > 0
-                tokens.append(got[at] | flags[at])
+                keys = order.keys(got)
+                first = np.argpartition(keys, length - 1)[:length]
+                tokens.append(got[first[np.argsort(keys[first])]])
+                places.append(np.minimum(np.arange(length), FAR).astype(np.uint16))
                 owners.append(np.full(len(tokens[-1]), len(classes), np.int64))
                 classes.append(key)
                 sizes.append(len(got))
                 held += len(tokens[-1])
                 if held > 1_000_000:
-                    yield from deal(tokens, owners, classes, sizes)
-                    tokens, owners, classes, sizes, held = [], [], [], [], 0
+                    yield from deal(tokens, places, owners, classes, sizes)
+                    tokens, places, owners, classes, sizes, held = [], [], [], [], [], 0
         if held:
-            yield from deal(tokens, owners, classes, sizes)
+            yield from deal(tokens, places, owners, classes, sizes)
 
     def meet(batches):
-        found = [[], [], []]
+        found = [[], [], [], []]
         for batch in batches:
-            for tokens, owner, classes, sizes in zip(*(batch.column(k) for k in range(1, 5))):
+            for tokens, places, owner, classes, sizes in zip(*(batch.column(k) for k in range(1, 6))):
                 owner = np.frombuffer(owner.as_py(), np.uint32)
                 found[0].append(np.frombuffer(tokens.as_py(), W.U64))
                 found[1].append(np.frombuffer(classes.as_py(), np.int64)[owner])
                 found[2].append(np.frombuffer(sizes.as_py(), np.int32)[owner])
+                found[3].append(np.frombuffer(places.as_py(), np.uint16))
         if not found[0]:
             return
-        token, key, size = (np.concatenate(x) for x in found)
+        token, key, size, place = (np.concatenate(x) for x in found)
         del found
-        flags, token = token & LOW, token & ~LOW
         # only tokens that several rows have; then one row per token and class
         by = np.argsort(token)
         same = token[by[1:]] == token[by[:-1]]
         by = by[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
         by = by[np.lexsort((key[by], token[by]))]
-        token, key, size, flags = token[by], key[by], size[by], flags[by]
+        token, key, size, place = token[by], key[by], size[by], place[by]
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
-        token, key, size, flags = token[first], key[first], size[first], flags[first]
+        token, key, size, place = token[first], key[first], size[first], place[first]
         same = token[1:] == token[:-1]
         keep = np.concatenate(([False], same)) | np.concatenate((same, [False])) if len(token) else first[:0]
-        token, key, size, flags = token[keep], key[keep], size[keep], flags[keep]
-        # the hub: the smallest class with this n-gram and a size of the same order
-        step = np.floor(np.log(size) / np.log(100 / percent)).astype(np.int64)
-        by = np.lexsort((key, step, token))
-        head = np.ones(len(by), bool)
-        head[1:] = (token[by[1:]] != token[by[:-1]]) | (step[by[1:]] != step[by[:-1]])
-        hub = np.empty(len(by), np.int64)
-        hub[by] = key[by][np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))]
-        star = (flags & IN_STAR > 0) & (hub != key)
-        keep = star | (flags & IN_PREFIX > 0)
+        token, key, size, place = token[keep], key[keep], size[keep], place[keep]
         for a in range(0, len(token), 100_000):
-            at = np.flatnonzero(keep[a: a + 100_000]) + a
+            at = slice(a, a + 100_000)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[at].view(np.int64)), pa.array(key[at]), pa.array(size[at]), pa.array(flags[at] & IN_PREFIX > 0), pa.array(hub[at], mask=~star[at])],
-                ["token", "class", "n", "in_prefix", "hub"])
+                [pa.array(token[at].view(np.int64)), pa.array(key[at]), pa.array(size[at]), pa.array(place[at].astype(np.int32))], ["token", "class", "n", "place"])
 
     return (
-        rows_of(docs, "text").mapInArrow(send, "part int, tokens binary, owner binary, classes binary, sizes binary")
-        .repartitionById(parts, "part").mapInArrow(meet, "token long, class long, n int, in_prefix boolean, hub long")
+        rows_of(docs, "text").mapInArrow(send, "part int, tokens binary, places binary, owner binary, classes binary, sizes binary")
+        .repartitionById(parts, "part").mapInArrow(meet, "token long, class long, n int, place int")
     )
 
 
@@ -276,42 +270,67 @@ def near_copies(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataF
     rows = profile.where("class IS NOT NULL").select("doc_id", "n_shingles", "class")
     classes = stage(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").cast("int").alias("n")))
 
-    postings = stage(_postings(docs, order, n, percent))
-    stars = stage(postings.where("hub IS NOT NULL").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct())
-    edges = stage(overlaps(docs, stars, classes, order, n).where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    first = stage(components(edges))
+    def linked(pairs):
+        return stage(overlaps(docs, pairs, classes, order, n).where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    pairs = stage(_open_pairs(postings, first, percent))
-    more = stage(overlaps(docs, pairs, classes, order, n).where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    if not more.isEmpty():
-        first = stage(components(more.unionByName(first.select(F.col("node").alias("u"), F.col("component").alias("v")))))
+    postings = stage(_postings(docs, order, n, percent))
+    shared = postings.groupBy("class").agg((F.count("*") / F.first("n")).alias("shared"))
+    known, left = None, stage(postings.join(shared, "class").withColumn("component", F.col("class")))
+    for turn in range(ROUNDS + 1):
+        pairs = stage(_stars(left, turn, percent) if turn < ROUNDS else _open_pairs(left, percent))
+        found = linked(pairs)
+        if not found.isEmpty():
+            joined = found if known is None else found.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            known = stage(components(joined))
+            if turn < ROUNDS:
+                left = stage(_open_postings(left, known))
+    if known is None:
+        known = classes.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0)
 
     owner = stage(
-        classes.join(first.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component")))
+        classes.join(known.withColumnRenamed("node", "class"), "class", "left").select("class", "doc_id", F.coalesce("component", "class").alias("component")))
     smallest = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stage(owner.join(smallest, "component").select("class", "component_id"))
     return rows.join(named, "class", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _open_pairs(postings: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _open_postings(postings: DataFrame, known: DataFrame) -> DataFrame:
+    """The postings whose n-gram several components have, with the component of each."""
+    placed = stage(
+        postings.drop("component").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
+    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    return placed.join(several, "token", "left_semi")
+
+
+def _stars(postings: DataFrame, turn: int, percent: int) -> DataFrame:
+    """a, b: each class with the hubs that most of its n-grams name. Sizes are cut into orders elsewhere in each turn."""
+    step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + turn / ROUNDS)
+    sized = postings.withColumn("step", step)
+    one, chance = F.struct("class", "component"), F.xxhash64("class", F.lit(turn))
+    hubs = sized.groupBy("token", "step").agg(F.max_by(one, F.struct("shared", chance)).alias("source"), F.min_by(one, chance).alias("random"), F.count("*").alias("several")).where("several > 1")
+    named = sized.join(hubs, ["token", "step"]).select("class", "n", "component", F.posexplode(F.array("source", "random")).alias("kind", "hub"))
+    named = named.where("component <> hub.component").groupBy("class", "n", "kind", F.col("hub.class").alias("hub")).agg(F.count("*").alias("names"))
+    best = Window.partitionBy("class", "kind").orderBy(F.desc("names"), "hub")
+    return named.where(F.col("names") >= F.col("n") * NAMED).withColumn("best", F.row_number().over(best)).where("best = 1").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def _open_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """a, b: classes of different components that can still be linked by what their prefixes share."""
-    placed = (
-        postings.where("in_prefix").select("token", "class", "n")
-        .join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    )
-    placed = stage(placed)
-    open_tokens = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main")).where("low < high")
-    left = stage(placed.join(open_tokens.select("token", "main"), "token"))
+    main = postings.groupBy("token").agg(F.mode("component", True).alias("main"))
+    left = stage(postings.join(main, "token"))
     # pairs of the token's main component with itself need no look, so only others are on one side
-    x = left.where("component <> main").select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = left.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("other"))
+    x = left.where("component <> main").select("token", F.struct("class", "n", "place").alias("x"), F.col("component").alias("cx"))
+    y = left.select("token", F.struct("class", "n", "place").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("other"))
+    # before this n-gram at most as many are shared as the smaller place, behind it at most what the shorter rest holds
+    ahead, behind = (f"least({', '.join(f'if({k}.place < {FAR}, {k}.place, {k}.n)' for k in 'xy')})", "least(x.n - x.place, y.n - y.place)")
     met = x.join(y, "token").where(
-        f"ca <> cb AND (other OR a < b) AND 100L * least(na, nb) >= {percent}L * greatest(na, nb)")
-    shared = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("na", "nb").alias("lo"), F.greatest("na", "nb").alias("hi")).agg(F.count("*").alias("shared"))
-    # what lies beyond the shorter-reaching prefix of the two is at most the rest of that set
-    rest = f"greatest((cast({percent} AS long) * lo + 99) div 100, (cast({percent} AS long) * hi + 99) div 100) - 1"
-    return shared.where(f"100 * (shared + {rest}) >= {percent} * (cast(lo AS long) + hi - (shared + {rest}))").select("a", "b")
+        f"cx <> cy AND (other OR x.class < y.class) AND 100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) "
+        f"AND {100 + percent}L * ({ahead} + {behind}) >= {percent}L * (x.n + y.n)")
+    ends = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))  # by class first
+    shared = ends.groupBy("x.class", F.col("y.class").alias("b"), "x.n", F.col("y.n").alias("nb")).agg(
+        F.count("*").alias("shared"), F.max("x.place").alias("i"), F.max("y.place").alias("j"))
+    return shared.where(f"{100 + percent}L * (shared - 1 + least(n - i, nb - j)) >= {percent}L * (n + nb)").select(F.col("class").alias("a"), "b")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
