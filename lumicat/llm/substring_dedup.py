@@ -40,7 +40,7 @@ LAST = (1 << 63) - 1
 
 def _class(hashes: np.ndarray) -> int:
     """A hash of the whole word sequence."""
-    return int(W.mix(W.grams(hashes, len(hashes)) + W.U64(len(hashes)))[0].astype(np.int64)) if len(hashes) else 0
+    return W.sequence(hashes)
 
 
 def _passages(w: W.Words, span: int):
@@ -227,7 +227,7 @@ def _ranges(firsts: DataFrame, counts: DataFrame, span: int) -> DataFrame:
                     if alone:
                         for j in range(n):
                             own = w.hashes[a + j: a + j + span]
-                            box.put(own.tobytes(), int(W.grams(own, span)[0]), (doc, kind, start + j))
+                            box.put(own.tobytes(), W.sequence(own) & (1 << 64) - 1, (doc, kind, start + j))
                     else:
                         box.put(w.hashes[a: a + n + span - 1].tobytes(), key, (doc, kind, start))
                 if len(box.held) + len(box.done) > HELD:

@@ -172,3 +172,9 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         out *= U64(BASE)
         out += hashes[k: k + size]
     return mix(out)
+
+
+def sequence(hashes: np.ndarray) -> int:
+    """A hash of a whole sequence, as a signed number; order and length count."""
+    total = (mix(hashes) * _powers(len(hashes) + 1)[0][: len(hashes)]).sum(dtype=U64, keepdims=True)
+    return int(mix(total + U64(len(hashes)))[0].astype(np.int64))
