@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumicat.llm import bpe, decontaminate, embedding_dedup, ngram_join, quality, substring_dedup
+from lumicat.llm import bpe, decontaminate, embedding_dedup, html_extract, license_scan, ngram_join, quality, substring_dedup, url_filter, warc
 from lumicat.llm.base import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,11 +25,35 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per derived record; the block as its digest, length and code points."""
+    got = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return got.select(
+        F.col("headers")["WARC-Page-Id"].cast("long").alias("page_id"), "warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest",
+        F.octet_length("block").cast("long").alias("content_length"), F.col("headers")["WARC-Source-Content-Type"].alias("source_content_type"))
+
+
+@query
+def op3_html_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
