@@ -334,8 +334,8 @@ def _open_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The documents with one of each component: the row with its smallest doc_id. Of rows that share that id and are in
-    one component, one stays. All columns are kept; documents without words and null ids stay."""
+    """The documents with one of each component, all columns as they are: the one with its smallest doc_id. An id stays if one of its
+    rows is that one; documents without words and null ids stay."""
     marked = near_copies(docs, **how)
-    gone = stage(marked.where("doc_id <> component_id").select("doc_id").distinct())
+    gone = stage(marked.groupBy("doc_id").agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
