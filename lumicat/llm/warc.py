@@ -14,6 +14,7 @@ import hashlib
 import html as _html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -162,13 +163,25 @@ def serialized(records: DataFrame) -> DataFrame:
     return records.select(*_NAMES).mapInArrow(run, "record_id string, member binary")
 
 
+def _gunzip(data: bytes) -> bytes:
+    """All gzip members, as far as they are whole."""
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        try:
+            while at < len(data) and not member.eof:
+                piece = data[at: at + (1 << 16)]
+                out.append(member.decompress(piece))
+                at += len(piece) - len(member.unused_data)
+        except zlib.error:
+            break
+    return b"".join(out)
+
+
 def parse(data: bytes) -> Iterator[dict]:
     """The records of a WARC file, plain or gzip members. A broken end gives what was whole before it."""
     if data[:2] == b"\x1f\x8b":
-        try:
-            data = gzip.decompress(data)
-        except (OSError, EOFError):
-            return
+        data = _gunzip(data)
     at = 0
     while True:
         at = data.find(b"WARC/", at)
