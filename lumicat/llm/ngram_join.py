@@ -7,8 +7,8 @@ into segments, one per piece. The overlap of two documents is counted in each fr
    N-grams that are frequent within a task are reported and, summed, go to the end of the order (``HOT`` of them at most;
    the order decides about speed only).
 2. Each class gives its prefix: so many of its first n-grams that two linked sets must share one of them. Equal n-grams
-   meet; what stays alone is dropped. In ``ROUNDS`` rounds each n-gram names two of its classes per order of size as hubs: the
-   one that shares most of its prefix with others (as the source of a group of copies does) and one at random. Each class
+   meet; what stays alone is dropped. In ``ROUNDS`` rounds each n-gram names one of its classes per order of size as hub: the
+   one that shares most of its prefix with others (as the source of a group of copies does), later also one at random. Each class
    is compared with the hubs of either kind that most of its n-grams name, unless they are joined already. These stars join
    a group of near copies without listing its pairs.
 3. Of what is left, n-grams whose documents lie in different components give candidate pairs. Shared prefix n-grams are
@@ -37,10 +37,12 @@ N = 5
 #: Linked: PERCENT * size of the union <= 100 * size of the intersection.
 PERCENT = 75
 FRAGMENTS = 8
+#: Fragments that are compared before the others.
+FIRST = 2
 #: Length of the list of frequent n-grams, the count within one block of a task from which one is reported, and a block's n-grams.
 HOT, LOCAL_HOT, BLOCK = 65_536, 8, 4_000_000
 #: Rounds of stars; a hub has to be named by so many n-grams, as a share of the set. Both decide about the work left to step 3 only.
-ROUNDS, NAMED = 2, 0.025
+ROUNDS, NAMED = 2, 0.1
 TOP = W.U64(1) << W.U64(63)
 FAR = 65_535
 
@@ -213,49 +215,68 @@ def _postings(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     )
 
 
-def _segments(docs: DataFrame, order: Order, n: int) -> DataFrame:
-    """class, fragment, tokens: the sets, cut along the global order."""
+def _segments(docs: DataFrame, order: Order, n: int, part: range) -> DataFrame:
+    """class, fragment, size, tokens: the sets, cut along the global order; the fragments of ``part`` only."""
 
     def run(batches):
         for batch in batches:
-            classes, fragments, tokens = [], [], []
+            classes, fragments, sizes, tokens = [], [], [], []
             for got in sets(batch.column(0), n):
-                part = order.fragments(got)
-                key = class_of(got)
-                for k in np.unique(part).tolist():
-                    classes.append(key)
-                    fragments.append(k)
-                    tokens.append(got[part == k].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(tokens, pa.binary())], ["class", "fragment", "tokens"])
-
-    return rows_of(docs, "text").mapInArrow(run, "class long, fragment int, tokens binary")
-
-
-def overlaps(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order, n: int) -> DataFrame:
-    """a, b, na, nb, overlap for the pairs (a, b: classes) that share an n-gram. ``classes``: class, n, doc_id of one of its documents."""
-    ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = stage(ends.join(classes, "class").select("doc_id", "class", "n"))
-    marks = bitmap(wanted.select("doc_id"), wanted.count())
-    parts = _segments(filter_rows(docs, "doc_id", lambda ids: marks.has(ids.fill_null(-1).to_numpy(zero_copy_only=False))), order, n)
-    sized = pairs.join(wanted.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(
-        wanted.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    left = parts.select(F.col("class").alias("a"), "fragment", F.col("tokens").alias("ta"))
-    right = parts.select(F.col("class").alias("b"), "fragment", F.col("tokens").alias("tb"))
+                at, key = order.fragments(got), class_of(got)
+                for k in part:
+                    mine = got[at == k]
+                    if len(mine):
+                        classes.append(key)
+                        fragments.append(k)
+                        sizes.append(len(mine))
+                        tokens.append(mine.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(fragments, pa.int32()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.binary())], ["class", "fragment", "size", "tokens"])
+
+    return rows_of(docs, "text").mapInArrow(run, "class long, fragment int, size int, tokens binary")
+
+
+def _partial(parts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, shared: the overlap of the pairs within the given segments, where there is any."""
 
     def count(batches):
         for batch in batches:
-            ta, tb = batch.column(5), batch.column(6)
-            shared = [len(np.intersect1d(np.frombuffer(x.as_py(), W.U64), np.frombuffer(y.as_py(), W.U64), assume_unique=True)) for x, y in zip(ta, tb)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(shared, pa.int64())], ["a", "b", "na", "nb", "fragment", "shared"])
+            shared = [len(np.intersect1d(np.frombuffer(x.as_py(), W.U64), np.frombuffer(y.as_py(), W.U64), assume_unique=True)) for x, y in zip(batch.column(3), batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(shared, pa.int64())], ["a", "b", "fragment", "shared"])
 
-    met = sized.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", "ta", "tb")
+    left = parts.select(F.col("class").alias("a"), "fragment", F.col("tokens").alias("ta"))
+    right = parts.select(F.col("class").alias("b"), "fragment", F.col("tokens").alias("tb"))
+    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "fragment", "ta", "tb")
     # a document that stands twice in the table counts once
-    each = met.mapInArrow(count, "a long, b long, na int, nb int, fragment int, shared long").groupBy("a", "b", "na", "nb", "fragment").agg(F.max("shared").alias("shared"))
-    return each.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("overlap"))
+    each = met.mapInArrow(count, "a long, b long, fragment int, shared long").groupBy("a", "b", "fragment").agg(F.max("shared").alias("shared"))
+    return each.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+
 
+def linked_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
+    """a, b: the pairs (of classes) that are linked. ``classes``: class, n, doc_id of one of its documents.
 
-def _linked(percent: int):
-    return F.expr(f"100 * overlap >= {percent} * (cast(na AS long) + nb - overlap)")
+    The first fragments come first. What lies outside them can't be shared beyond the rest of the smaller side, so most pairs that
+    are not linked end there, and only the others send their remaining segments.
+    """
+    def wanted(pairs):
+        ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        return stage(ends.join(classes, "class").select("doc_id", "class", "n"))
+
+    def segments(ends, part):
+        marks = bitmap(ends.select("doc_id"), ends.count())
+        return _segments(filter_rows(docs, "doc_id", lambda ids: marks.has(ids.fill_null(-1).to_numpy(zero_copy_only=False))), order, n, part)
+
+    ends = wanted(pairs)
+    parts = stage(segments(ends, range(FIRST)).join(ends.select("class"), "class", "left_semi"))
+    rest = parts.groupBy("class", "fragment").agg(F.max("size").alias("size")).groupBy("class").agg(F.sum("size").alias("size"))
+    rest = ends.join(rest, "class", "left").select("class", "n", (F.col("n") - F.coalesce("size", F.lit(0))).alias("rest"))
+    known = (
+        pairs.join(_partial(parts, pairs), ["a", "b"], "left").join(rest.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")), "a")
+        .join(rest.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb")), "b").withColumn("first", F.coalesce("shared", F.lit(0)))
+    )
+    need = f"{100 + percent}L * ({{}}) >= {percent}L * (cast(na AS long) + nb)"
+    left = stage(known.where(need.format("first + least(ra, rb)")).select("a", "b", "na", "nb", "first"))
+    others = _partial(segments(wanted(left), range(FIRST, FRAGMENTS)), left)
+    return left.join(others, ["a", "b"], "left").where(need.format("first + coalesce(shared, 0)")).select("a", "b")
 
 
 def near_copies(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -271,19 +292,18 @@ def near_copies(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataF
     classes = stage(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").cast("int").alias("n")))
 
     def linked(pairs):
-        return stage(overlaps(docs, pairs, classes, order, n).where(_linked(percent)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        return stage(linked_pairs(docs, pairs, classes, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     postings = stage(_postings(docs, order, n, percent))
-    shared = postings.groupBy("class").agg((F.count("*") / F.first("n")).alias("shared"))
-    known, left = None, stage(postings.join(shared, "class").withColumn("component", F.col("class")))
+    shared = postings.groupBy("class").agg((F.count("*") / F.first("n")).alias("shared")).where(F.col("shared") >= NAMED)
+    rich = stage(postings.join(shared, "class"))
+    known = None
     for turn in range(ROUNDS + 1):
-        pairs = stage(_stars(left, turn, percent) if turn < ROUNDS else _open_pairs(left, percent))
+        pairs = stage(_stars(_placed(rich, known), turn, percent) if turn < ROUNDS else _open_pairs(_placed(postings, known), percent))
         found = linked(pairs)
         if not found.isEmpty():
             joined = found if known is None else found.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
             known = stage(components(joined))
-            if turn < ROUNDS:
-                left = stage(_open_postings(left, known))
     if known is None:
         known = classes.select(F.col("class").alias("node"), F.col("class").alias("component")).limit(0)
 
@@ -295,12 +315,11 @@ def near_copies(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataF
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _open_postings(postings: DataFrame, known: DataFrame) -> DataFrame:
-    """The postings whose n-gram several components have, with the component of each."""
-    placed = stage(
-        postings.drop("component").join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
-    several = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    return placed.join(several, "token", "left_semi")
+def _placed(postings: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The postings with the component of each class; a class that no link has reached is its own."""
+    if known is None:
+        return postings.withColumn("component", F.col("class"))
+    return postings.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
 def _stars(postings: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -309,7 +328,7 @@ def _stars(postings: DataFrame, turn: int, percent: int) -> DataFrame:
     sized = postings.withColumn("step", step)
     one, chance = F.struct("class", "component"), F.xxhash64("class", F.lit(turn))
     hubs = sized.groupBy("token", "step").agg(F.max_by(one, F.struct("shared", chance)).alias("source"), F.min_by(one, chance).alias("random"), F.count("*").alias("several")).where("several > 1")
-    named = sized.join(hubs, ["token", "step"]).select("class", "n", "component", F.posexplode(F.array("source", "random")).alias("kind", "hub"))
+    named = sized.join(hubs, ["token", "step"]).select("class", "n", "component", F.posexplode(F.array("source", "random") if turn else F.array("source")).alias("kind", "hub"))
     named = named.where("component <> hub.component").groupBy("class", "n", "kind", F.col("hub.class").alias("hub")).agg(F.count("*").alias("names"))
     best = Window.partitionBy("class", "kind").orderBy(F.desc("names"), "hub")
     return named.where(F.col("names") >= F.col("n") * NAMED).withColumn("best", F.row_number().over(best)).where("best = 1").select(F.col("class").alias("a"), F.col("hub").alias("b")).distinct()
@@ -317,8 +336,8 @@ def _stars(postings: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _open_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """a, b: classes of different components that can still be linked by what their prefixes share."""
-    main = postings.groupBy("token").agg(F.mode("component", True).alias("main"))
-    left = stage(postings.join(main, "token"))
+    several = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main")).where("low < high")
+    left = stage(postings.join(several.select("token", "main"), "token"))
     # pairs of the token's main component with itself need no look, so only others are on one side
     x = left.where("component <> main").select("token", F.struct("class", "n", "place").alias("x"), F.col("component").alias("cx"))
     y = left.select("token", F.struct("class", "n", "place").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("other"))
