@@ -244,7 +244,7 @@ def encode(docs: DataFrame, path: str | Callable[[], str] = default_path) -> Dat
     or a function that finds it on the executor.
     """
     parts = fanout(docs.sparkSession)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # the text travels once, within the row
     kind = packed.schema["row"].dataType.simpleString()
 
     def only(batches):
@@ -253,22 +253,22 @@ def encode(docs: DataFrame, path: str | Callable[[], str] = default_path) -> Dat
 
     def routed(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(routes(batch.column(1)))], ["row", "text", "route"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(routes(batch.column(0).field("text")))], ["row", "route"])
 
-    counted = packed.select("text").mapInArrow(only, "route long").groupBy("route").count()
+    counted = docs.select("text").mapInArrow(only, "route long").groupBy("route").count()
     total = packed.count()
     share = max(64, int(total * OFTEN_SHARE))
     often = counted.where(F.col("count") > share).select("route", (F.col("count") / share).cast("int").alias("ways"))  # at most 1 / OFTEN_SHARE rows
     dealt = (
-        packed.mapInArrow(routed, f"row {kind}, text string, route long").join(F.broadcast(often), "route", "left")
+        packed.mapInArrow(routed, f"row {kind}, route long").join(F.broadcast(often), "route", "left")
         .withColumn("way", F.pmod(F.xxhash64("row.doc_id"), F.coalesce("ways", F.lit(0)) + 1))
-        .repartition(parts, "route", "way").select("row", "text")
+        .repartition(parts, "route", "way").select("row")
     )
 
     def run(batches):
         coder = Encoder(path if isinstance(path, str) else path())
         for batch in batches:
-            got = coder.encode([x.as_py().encode() for x in batch.column(1)])
+            got = coder.encode([(x.as_py() or "").encode() for x in batch.column(0).field("text")])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in got], pa.binary()), pa.array([x[1] for x in got], pa.string())], ["row", "ids", "decoded"])
 
     return dealt.mapInArrow(run, f"row {kind}, ids binary, decoded string")
@@ -276,6 +276,6 @@ def encode(docs: DataFrame, path: str | Callable[[], str] = default_path) -> Dat
 
 def digests(docs: DataFrame, path: str | Callable[[], str] = default_path) -> DataFrame:
     """doc_id, n_tokens and the hashes of ids and decoded text."""
-    return encode(docs, path).select(
+    return encode(docs.select("doc_id", "text"), path).select(
         F.col("row.doc_id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
