@@ -26,10 +26,9 @@ def c1(t):
 
 
 @query("c2_autocomplete_pattern", r"""SELECT doc_id, md5(CASE WHEN length(q) >= 3 THEN '%' ELSE '' END || regexp_replace(q, '([\\%_])', '\\\1', 'g') || '%') AS pattern
-    FROM (SELECT doc_id, split_part(text, ' ', 2) AS q FROM documents)""")
+    FROM (SELECT doc_id, text AS q FROM documents)""")
 def c2(t):
-    word = F.split_part("text", F.lit(" "), F.lit(2))
-    return t.documents.select("doc_id", F.md5(text.autocomplete_pattern(word)).alias("pattern"))
+    return t.documents.select("doc_id", F.md5(text.autocomplete_pattern(c("text"))).alias("pattern"))
 
 
 @query("c3_ilike_live", r"""SELECT doc_id FROM documents WHERE text ILIKE '%th_%n.%'""")
@@ -54,12 +53,13 @@ def c6(t):
                          text.match_rank(c("p_name"), "Red Widget", True).alias("r2"))
 
 
-@query("c7_should_suggest", """SELECT doc_id, mode IN ('tag','author','title') AND q <> '' AND (length(q) >= 2 OR strlen(q) > length(q)) AS ok FROM
-    (SELECT doc_id, ['tag','clip','author','random'][(doc_id % 4 + 1)::INT] AS mode, trim(substr(split_part(text, ' ', 1), 1, (doc_id % 3)::INT)) AS q FROM documents)""")
+@query("c7_should_suggest", """SELECT doc_id, count(*) FILTER (mode IN ('tag','author','title') AND q <> '' AND (length(q) >= 2 OR strlen(q) > length(q))) AS n FROM
+    (SELECT doc_id, ['tag','clip','author','random'][(doc_id % 4 + 1)::INT] AS mode, unnest(string_split(text, ' ')) AS q FROM documents) GROUP BY 1""")
 def c7(t):
+    """How many words of each text would be suggested for."""
     mode = F.element_at(F.array(*map(F.lit, ("tag", "clip", "author", "random"))), (c("doc_id") % 4 + 1).cast("int"))
-    q = F.substring(F.split("text", " ")[0], F.lit(1), (c("doc_id") % 3).cast("int"))
-    return t.documents.select("doc_id", text.should_suggest(mode, q).alias("ok"))
+    words = t.documents.select("doc_id", mode.alias("mode"), F.explode(F.split("text", " ")).alias("q"))
+    return words.groupBy("doc_id").agg(F.count_if(text.should_suggest(c("mode"), c("q"))).alias("n"))
 
 
 @query("c8_parse_mode", """SELECT event_id, CASE WHEN m IN ('tag','author','title','random','similar','clip') THEN m ELSE 'tag' END AS mode FROM

@@ -217,7 +217,7 @@ def j15(t):
      (SELECT *, row_number() OVER (PARTITION BY address ORDER BY created_at DESC, kind, target_id) AS rank FROM likes WHERE kind = 'image' AND created_at < 1706400000) WHERE rank <= 40)""",
     log=LOG_SQL, likes=LIKES))
 def k8(t):
-    return likes.likes_page(like_table(t), 40, kind="image", cursor=1706400000, tie_break=True)
+    return likes.likes_page(like_table(t), 40, kind="image", cursor=1706400000).drop("next_kind", "next_target_id")
 
 
 @query("j12_like_previews", with_cte("posts images post_images post_videos", f"""SELECT request_id, pos, kind, id, image_id, name, width, height, title, image_count, video_count FROM

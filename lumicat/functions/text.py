@@ -104,10 +104,10 @@ def parse_items(raw: Column, kinds: tuple[str, ...], mode: str = "reject") -> Co
     """``kind:id,kind:id`` to an array of different (kind, id), first mention first.
 
     ``reject`` gives NULL for more than 100 different items or 200 pieces;
-    ``truncate`` looks at the first 200 pieces and keeps the first 100 items.
+    ``truncate`` looks at the first 200 pieces and keeps the first 100 items; ``all`` has no limit.
     """
     pieces = F.split(raw, ",", -1)
-    looked = F.slice(pieces, 1, 2 * ITEM_CAP)
+    looked = pieces if mode == "all" else F.slice(pieces, 1, 2 * ITEM_CAP)
 
     def to_item(piece: Column) -> Column:
         head = trim_unicode(F.regexp_extract(piece, r"(?s)^([^:]*):", 1))
@@ -119,6 +119,8 @@ def parse_items(raw: Column, kinds: tuple[str, ...], mode: str = "reject") -> Co
     items = F.array_distinct(
         F.filter(F.transform(looked, to_item), lambda x: x["kind"].isNotNull() & x["id"].isNotNull())
     )
+    if mode == "all":
+        return items
     if mode == "truncate":
         return F.slice(items, 1, ITEM_CAP)
     fits = F.when(F.size(pieces) <= 2 * ITEM_CAP, items)

@@ -54,32 +54,36 @@ def liked_batch(likes: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def likes_page(likes: DataFrame, limit: int | None = None, kind: str | None = None,
-               cursor: int | None = None, address: str | None = None,
-               tie_break: bool = False) -> DataFrame:
-    """K8: the newest favourites of each address before a cursor, with the cursor
-    of the next page on full pages. ``tie_break`` makes rows of one second keep
-    a fixed order; the cursor itself skips them at a page edge, as documented."""
+               cursor: tuple[int, str, int] | int | None = None, address: str | None = None) -> DataFrame:
+    """K8: the newest favourites of each address behind a cursor, in the order (created_at descending, kind, target_id).
+
+    A full page carries its last row as the next cursor (``next_cursor``, ``next_kind``, ``next_target_id``); a cursor of all three
+    goes on exactly behind it. A cursor that is a time alone goes on with older rows.
+    """
     size = max(1, min(50 if limit is None else limit, 100))
     rows = likes
     if address is not None:
         rows = rows.where(c("address") == address)
     if kind is not None:
         rows = rows.where(c("kind") == kind)
-    if cursor is not None:
+    if isinstance(cursor, tuple):
+        at, last_kind, last_id = cursor
+        behind = (c("kind") > last_kind) | ((c("kind") == last_kind) & (c("target_id") > last_id))
+        rows = rows.where((c("created_at") < at) | ((c("created_at") == at) & behind))
+    elif cursor is not None:
         rows = rows.where(c("created_at") < cursor)
-    order = [c("created_at").desc()] + ([c("kind"), c("target_id")] if tie_break else [])
-    pages = top_per_key(rows, ["address"], order, size)
-    ends = pages.groupBy("address").agg(
-        F.count(F.lit(1)).alias("n"), F.min("created_at").alias("oldest")
-    )
-    cursors = ends.select("address", F.when(c("n") == size, c("oldest")).alias("next_cursor"))
-    return pages.join(cursors, "address").withColumn("rank", c("rank").cast("bigint"))
+    pages = top_per_key(rows, ["address"], [c("created_at").desc(), c("kind"), c("target_id")], size)
+    last = F.max_by(F.struct("created_at", "kind", "target_id"), "rank")
+    ends = pages.groupBy("address").agg(F.when(F.count(F.lit(1)) == size, last).alias("last"))
+    ends = ends.select(
+        "address", c("last.created_at").alias("next_cursor"), c("last.kind").alias("next_kind"), c("last.target_id").alias("next_target_id"))
+    return pages.join(ends, "address").withColumn("rank", c("rank").cast("bigint"))
 
 
 def like_previews(cat: Catalog, requests: DataFrame) -> DataFrame:
     """Previews for the ``kind:id`` lists of (request_id, items), in list
-    order; unknown targets drop out, blank titles and zero counts are NULL."""
-    items = parse_items(c("items"), ("post", "image"), "truncate")
+    order and of any length; unknown targets drop out, blank titles and zero counts are NULL."""
+    items = parse_items(c("items"), ("post", "image"), "all")
     wanted = requests.select("request_id", F.posexplode(items).alias("pos", "item")).select(
         "request_id", "pos", "item.kind", "item.id"
     )

@@ -25,13 +25,33 @@ def _ordinal() -> Column:
     )
 
 
+REJECT = "_reject"
+
+
+def _records(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """``ord``, ``record`` of all files, whichever way each is written: one JSON array, or one record per line. A file that has a
+    line which begins with a bracket is an array, as records are objects. Text that is no record is in ``record._reject``."""
+    kind = f"struct<{', '.join(x.replace(' ', ':', 1) for x in ddl.split(', '))}, {REJECT}:string>"
+    given = spark.read.text(path)
+    arrays = [r[0] for r in given.where(F.ltrim("value").startswith("[")).select(c("_metadata.file_path")).distinct().collect()]  # file names only
+    is_array = c("_metadata.file_path").isin(arrays)
+    lines = given.where(~is_array & (F.trim("value") != "")).select(
+        _ordinal().alias("ord"), F.from_json("value", kind, {"columnNameOfCorruptRecord": REJECT}).alias("record"))
+    whole = spark.read.text(path, wholetext=True).where(is_array).select(
+        c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("start"), "value", F.from_json("value", f"array<{kind}>").alias("all"))
+    broken = F.array(F.from_json(F.to_json(F.struct(c("value").alias(REJECT))), kind))
+    items = whole.select("file", "start", F.posexplode(F.coalesce("all", broken)).alias("n", "record"))
+    items = items.select(F.struct(c("file").alias("file_path"), c("start").alias("file_block_start"), c("n").cast("long").alias("n")).alias("ord"), "record")
+    return lines.unionByName(items) if arrays else lines
+
+
 def read_metas(spark: SparkSession, path: str) -> DataFrame:
-    """Catalog metadata, a JSON array or one record per line. ``cosplayers``
-    replace ``authors``, ``characters`` come before ``tags``."""
-    raw = spark.read.schema(META_FILE_DDL).option("multiLine", _is_array(spark, path)).json(path)
+    """Catalog metadata, files of JSON arrays and files of one record per line in any mix. ``cosplayers``
+    replace ``authors``, ``characters`` come before ``tags``. What can't be read is in ``rejected_metas``."""
+    raw = _records(spark, path, META_FILE_DDL).select("ord", "record.*").where(c(REJECT).isNull())
     none = F.array().cast("array<string>")
     return raw.select(
-        _ordinal().alias("ord"),
+        "ord",
         F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("cosplayers", "authors", none).alias("authors"),
         F.concat(F.coalesce("characters", none), F.coalesce("tags", none)).alias("tags"),
@@ -39,16 +59,14 @@ def read_metas(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _is_array(spark: SparkSession, path: str) -> bool:
-    """Whether the file is one JSON array. Only its first line is looked at."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).first()
-    return bool(first) and first["value"].lstrip().startswith("[")
+def rejected_metas(spark: SparkSession, path: str) -> DataFrame:
+    """The texts in metadata files that are no records."""
+    return _records(spark, path, META_FILE_DDL).select("ord", c(f"record.{REJECT}").alias("text")).where("text IS NOT NULL")
 
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
-    """(name, translations)."""
-    schema = "name string, translations array<string>"
-    rows = spark.read.schema(schema).option("multiLine", _is_array(spark, path)).json(path)
+    """(name, translations) out of files of either kind."""
+    rows = _records(spark, path, "name string, translations array<string>").select("record.*").where(c(REJECT).isNull()).drop(REJECT)
     return rows.withColumn("translations", F.coalesce("translations", F.array().cast("array<string>")))
 
 

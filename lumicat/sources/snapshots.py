@@ -20,10 +20,12 @@ POINTER = "_CURRENT"
 def stage(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared checkpoint folder and read
     them back. For results that several branches of a plan use; columns are
-    pruned per branch and a lost executor rereads files."""
+    pruned per branch and a lost executor rereads files. The folder goes when the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _, fs, folder = _fs(spark, path)
+    fs.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

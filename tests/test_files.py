@@ -172,3 +172,13 @@ def test_requests(spark):
     assert got == [("metered", "image", "/images/a"), ("metered", "video", "/videos"), ("unmetered", None, None),
                    ("metered", "similar", "search:sim:a b"), ("bad request", None, None), ("bad request", None, None),
                    ("bad request", None, None), ("metered", "description", "search:desc:1"), ("unmetered", None, None), ("unmetered", None, None)]
+
+
+def test_folders_mix_arrays_and_lines(spark, tmp_path):
+    """Each file is read for what it is; text that is no record is reported, not turned into an empty record."""
+    (tmp_path / "a.json").write_text('[\n {"title": "A", "authors": ["x"]},\n {"title": "B"}\n]')
+    (tmp_path / "b.json").write_text('{"title": "C"}\n{"title": "D"}\n{broken\n{"title": "E"}\n')
+    (tmp_path / "c.json").write_text('[{"title": "F"}]\n')
+    got = files.read_metas(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.title for r in got] == ["A", "B", "C", "D", "E", "F"]
+    assert [r.text for r in files.rejected_metas(spark, str(tmp_path)).collect()] == ["{broken"]

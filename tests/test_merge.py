@@ -107,3 +107,24 @@ def test_checks(spark):
     assert [r.id for r in good.collect()] == [1]
     assert {r.id: r.failures for r in bad.collect()} == {2: ["name_blank", "width", "status"], 3: ["name_blank", "name_long"]}
     assert quality.check_unique(df.select("width"), ["width"]).count() == 0
+
+
+def test_walking_all_pages_gives_the_whole_table(spark):
+    """Rows of one second at a page edge are not lost."""
+    table = spark.createDataFrame([("a", k, i, 7 + i // 5) for k in ("image", "post") for i in range(8)], "address string, kind string, target_id bigint, created_at bigint")
+    seen, cursor = [], None
+    while True:
+        page = likes.likes_page(table, 3, cursor=cursor).orderBy("rank").collect()
+        seen += [(r.kind, r.target_id) for r in page]
+        if not page or page[0].next_cursor is None:
+            break
+        cursor = (page[0].next_cursor, page[0].next_kind, page[0].next_target_id)
+    assert len(seen) == 16 and sorted(seen) == sorted((r.kind, r.target_id) for r in table.collect())
+
+
+def test_adjustments_of_any_size(spark):
+    from lumicat.operators import billing
+
+    given = [(-(1 << 63), "r"), ((1 << 63) - 1, "r"), (-1_000_000_000, "r"), (1_000_000_001, "r"), (0, "r"), (None, "r"), (5, " ")]
+    got = billing.valid_adjustments(spark.createDataFrame(given, "points bigint, reason string"))
+    assert [r.points for r in got.collect()] == [-1_000_000_000]
