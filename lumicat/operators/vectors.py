@@ -26,7 +26,7 @@ from lumicat.operators.paging import bounded, check_page, page, ranked, top_per_
 from lumicat.sources.snapshots import stage
 
 c = F.col
-QUERY_CHUNK = 2048  # queries answered by one pass over the corpus
+QUERY_BLOCK, ROW_BLOCK = 1024, 8192  # vectors of a block, about: a task multiplies one block of either side
 HIT_DDL = "query_id bigint, id bigint, sort_key double"
 UNDEFINED, MISSING = 1e300, 1e301  # sort keys after every distance
 
@@ -125,10 +125,11 @@ def _matrix(rows: pa.Array, dim: int, dtype: str) -> np.ndarray:
 # -------------------------------------------------------------------- search
 @dataclass(frozen=True)
 class HyperplaneIndex:
-    """V8: rows and queries that fall into one bucket of any table are compared."""
+    """V8: rows and queries that fall into one bucket of any table are compared. More bits compare
+    fewer pairs, more tables find more of the nearest."""
 
-    tables: int = 16
-    bits: int = 4
+    tables: int = 28
+    bits: int = 8
     seed: int = 7
 
     def planes(self, dim: int) -> np.ndarray:
@@ -155,77 +156,102 @@ def _best(query: np.ndarray, ident: np.ndarray, dist: np.ndarray, k: int):
     return query[keep], ident[keep], dist[keep]
 
 
-def _scan(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int,
-          index: HyperplaneIndex | None) -> DataFrame:
-    """Partial top ``k`` per query and task."""
+def _scan(corpus: DataFrame, ids: np.ndarray, matrix: np.ndarray, k: int) -> DataFrame:
+    """Partial top ``k`` per query and task; for a page of few queries."""
     shared = corpus.sparkSession.sparkContext.broadcast((ids, _unit(matrix)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
         held = (np.array([], "int64"), np.array([], "int64"), np.array([], "float64"))
-        query_codes = index.codes(queries) if index else None
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            row_ids = batch.column(0).to_numpy(zero_copy_only=False)
-            missing = np.asarray(batch.column(1).is_null())
-            rows = _unit(_matrix(batch.column(1), queries.shape[1], "float64"))
-            dist = np.round(1.0 - queries @ rows.T, 9) + 0.0
-            dist[np.isnan(dist)] = UNDEFINED
-            dist[:, missing] = MISSING
-            if index:
-                codes, near = index.codes(rows), np.zeros(dist.shape, bool)
-                for t in range(index.tables):
-                    near |= query_codes[:, t, None] == codes[None, :, t]
-                dist[~near] = np.inf
-            kth = np.partition(dist, min(k, dist.shape[1]) - 1, axis=1)
-            limit = kth[:, min(k, dist.shape[1]) - 1]
-            query, row = np.nonzero((dist <= limit[:, None]) & np.isfinite(dist))
-            found = (query, row_ids[row], dist[query, row])
-            held = _best(*(np.concatenate(p) for p in zip(held, found)), k)
-        yield pa.record_batch(
-            {
-                "query_id": pa.array(query_ids[held[0]], pa.int64()),
-                "id": pa.array(held[1], pa.int64()),
-                "sort_key": pa.array(held[2], pa.float64()),
-            }
-        )
+            if batch.num_rows:
+                held = _best(*(np.concatenate(p) for p in zip(held, _nearest(queries, batch.column(0), batch.column(1), k))), k)
+        yield _hits(query_ids[held[0]], held[1], held[2])
 
     return corpus.mapInArrow(search, HIT_DDL)
 
 
+def _nearest(queries: np.ndarray, ids: pa.Array, vectors: pa.Array, k: int):
+    """The rows that can be among the first ``k`` of each query: (query, id, sort key)."""
+    row_ids = ids.to_numpy(zero_copy_only=False)
+    dist = np.round(1.0 - queries @ _unit(_matrix(vectors, queries.shape[1], "float64")).T, 9) + 0.0
+    dist[np.isnan(dist)] = UNDEFINED
+    dist[:, np.asarray(vectors.is_null())] = MISSING
+    last = min(k, dist.shape[1]) - 1
+    query, row = np.nonzero(dist <= np.partition(dist, last, axis=1)[:, last][:, None])
+    return query, row_ids[row], dist[query, row]
+
+
+def _hits(query_ids, ids, keys) -> pa.RecordBatch:
+    return pa.record_batch({"query_id": pa.array(query_ids, pa.int64()), "id": pa.array(ids, pa.int64()), "sort_key": pa.array(keys, pa.float64())})
+
+
+def _blocks(side: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows per bucket as a number of blocks; one row per bucket."""
+    return side.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+
+
+def _block_join(asked: DataFrame, rows: DataFrame, k: int, col: str) -> DataFrame:
+    """Hits of every query among the rows of its buckets. Both sides are cut into blocks by hash, and every two blocks
+    of a bucket meet in a task of their own, so neither a query table nor a busy bucket has to fit anywhere."""
+    sizes = _blocks(asked, QUERY_BLOCK, "qs").join(_blocks(rows, ROW_BLOCK, "rs"), "bucket")
+    sizes = F.broadcast(stage(sizes))  # a row per bucket
+
+    def deal(side, key, own, other):
+        block = F.pmod(F.xxhash64(key), c(own)).cast("int")
+        return side.join(sizes, "bucket").select("bucket", block.alias(own[0]), F.explode(F.sequence(F.lit(0), c(other) - 1)).alias(other[0]), key, c(col).alias("vector"))
+
+    left, right = deal(asked, "query_id", "qs", "rs"), deal(rows, "id", "rs", "qs")
+
+    def compare(queries, found):
+        if not queries.num_rows or not found.num_rows:
+            return pa.Table.from_batches([_hits([], [], [])])
+        found = found.combine_chunks()
+        asked = queries["vector"].combine_chunks()
+        matrix = _unit(_matrix(asked, len(asked[0]), "float64"))
+        best = _best(*_nearest(matrix, found["id"].chunk(0), found["vector"].chunk(0), k), k)
+        return pa.Table.from_batches([_hits(queries["query_id"].to_numpy()[best[0]], best[1], best[2])])
+
+    keys = ["bucket", "q", "r"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, HIT_DDL)
+
+
 def _distance() -> Column:
     key = c("sort_key")
     return F.when(key == UNDEFINED, F.lit(float("nan"))).when(key < UNDEFINED, key).alias("distance")
 
 
+def _buckets(side: DataFrame, key: str, col: str, index: HyperplaneIndex) -> DataFrame:
+    """Each vector once per table, with its bucket there. Undefined codes (missing vectors) meet nothing."""
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            dim = int(np.asarray(batch.column(1).value_lengths().fill_null(0)).max())
+            unit = _unit(_matrix(batch.column(1), dim, "float64"))
+            found = index.codes(unit) + (np.arange(index.tables) << index.bits)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found.tolist(), pa.list_(pa.int64()))], [key, col, "buckets"])
+
+    kind = side.schema[col].dataType.simpleString()
+    coded = side.where(c(col).isNotNull()).mapInArrow(codes, f"{key} bigint, {col} {kind}, buckets array<bigint>")
+    return coded.select(key, col, F.explode("buckets").alias("bucket"))
+
+
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, col: str = "embedding",
              index: HyperplaneIndex | None = None) -> DataFrame:
     """V9 (V8 with an index): the ``k`` nearest corpus rows of every query, as
-    (query_id, rank, id, distance). ``queries`` has (query_id, vector).
+    (query_id, rank, id, distance). ``queries`` has (query_id, vector), ids unique.
 
-    Queries travel to the corpus in chunks whose size is fixed; a longer query
-    table takes one more pass over the corpus per chunk.
+    Blocks of queries meet blocks of rows in tasks; an index lets only those of one bucket meet.
     """
     rows = corpus.select(c("id").cast("bigint"), c(col))
     asked = queries.where(c(col).isNotNull()).select(c("query_id").cast("bigint"), c(col))
-    blocks = [asked.limit(QUERY_CHUNK + 1).toPandas()]
-    if len(blocks[0]) > QUERY_CHUNK:
-        asked = stage(asked)
-        chunks = -(-asked.count() // QUERY_CHUNK)
-        slot = F.pmod(F.xxhash64("query_id"), F.lit(chunks))
-        blocks = (asked.where(slot == i).limit(4 * QUERY_CHUNK + 1).toPandas() for i in range(chunks))
-    hits = None
-    for block in blocks:
-        if block.empty:
-            continue
-        if len(block) > 4 * QUERY_CHUNK:
-            raise ValueError("query ids must be unique")
-        matrix = np.stack([np.asarray(v, "float64") for v in block[col]])
-        part = _scan(rows, block["query_id"].to_numpy("int64"), matrix, k, index)
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = corpus.sparkSession.createDataFrame([], HIT_DDL)
+    if index:
+        hits = _block_join(_buckets(asked, "query_id", col, index), _buckets(rows, "id", col, index), k, col).distinct()
+    else:
+        one = F.lit(0).cast("bigint").alias("bucket")
+        hits = _block_join(asked.select("*", one), rows.select("*", one), k, col)
     top = top_per_key(hits, ["query_id"], [c("sort_key"), c("id")], k)
     return top.select("query_id", c("rank").cast("bigint").alias("rank"), "id", _distance())
 
@@ -247,7 +273,7 @@ def knn(df: DataFrame, q: list[float], col: str = "embedding", limit: int = 50,
     """V1, V2: the page of rows nearest to one query vector, as (rank, id, distance)."""
     check_page(limit, offset)
     rows = df.select(c("id").cast("bigint"), c(col))
-    hits = _scan(rows, np.zeros(1, "int64"), np.asarray([q], "float64"), max(1, limit + offset), None)
+    hits = _scan(rows, np.zeros(1, "int64"), np.asarray([q], "float64"), max(1, limit + offset))
     order = [c("sort_key"), c("id")]
     return ranked(page(hits.drop("query_id"), order, limit, offset), order).select(
         "rank", "id", _distance()
