@@ -95,6 +95,20 @@ def m16(t):
     return policy.publish_revision(revisions(t), drafts).drop("document")
 
 
+@query("m17_initial_document", """WITH d AS (SELECT floor(epoch(ts))::BIGINT AS sec, 'user-' || user_id AS who, props FROM events WHERE event_id % 30 = 0)
+    SELECT 0 AS revision, 'initial' AS document, (SELECT min(floor(epoch(ts)))::BIGINT FROM events) AS updated_at, 'system' AS updated_by
+    UNION ALL SELECT 1, arg_min(props, (sec, who, props)), min(sec), arg_min(who, (sec, who, props)) FROM d""")
+def m17(t):
+    """The first publication, by the earliest of many drafts, also fills the still empty revision 0."""
+    second = F.unix_seconds(c("ts").cast("timestamp"))
+    start = t.events.agg(F.min(second).alias("updated_at")).select(
+        F.lit(0).alias("revision"), F.lit("{}").alias("document"), "updated_at", F.lit("system").alias("updated_by"))
+    drafts = t.events.select(
+        (c("event_id") % 30).cast("int").alias("base_revision"), c("props").alias("document"), second.alias("updated_at"),
+        F.concat(F.lit("user-"), c("user_id").cast("string")).alias("updated_by"))
+    return policy.publish_revision(start, drafts, "initial")
+
+
 @query("q10_clean_folder_rules", """SELECT page_id, CASE WHEN ends_with(p, '/..') THEN NULL ELSE '/images/a|/videos' || CASE WHEN p IN ('/images/a', '/videos') THEN '' ELSE '|' || p END END AS rules, ends_with(p, '/..') AS refused FROM
     (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN '/images/..' ELSE '/images/' || split_part(regexp_replace(url, '^https?://', ''), '/', 1) END AS p FROM pages)""")
 def q10(t):

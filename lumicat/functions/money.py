@@ -81,17 +81,14 @@ def let(value: Column, use) -> Column:
 
 
 def hex_to_decimal(text: Column) -> Column:
-    """A ``0x`` quantity as decimal(38,0); NULL when malformed or larger."""
-    base = F.lit(16**12).cast(BIG)
+    """A ``0x`` quantity as decimal(38,0); NULL when malformed or not below 1e38."""
 
     def number(digits: Column) -> Column:
-        def limb(start: int) -> Column:
-            return F.conv(F.substring(F.lpad(digits, 36, "0"), start, 12), 16, 10).cast(BIG)
+        def half(start: int) -> Column:
+            return F.conv(F.substring(F.lpad(digits, 32, "0"), start, 16), 16, 10).cast("decimal(20,0)")
 
-        # 31 hex digits stay below 1e38, the sum of three limbs cannot overflow
-        value = ((limb(1) * base).cast(BIG) + limb(13)).cast(BIG)
-        value = ((value * base).cast(BIG) + limb(25)).cast(BIG)
-        return F.when(F.length(digits) <= 31, value)
+        value = F.try_add(F.try_multiply(half(1), F.lit(str(2**64)).cast("decimal(20,0)")).cast(BIG), half(17)).cast(BIG)
+        return F.when(F.length(digits) <= 32, value)
 
     well_formed = text.rlike(r"^0x\+?[0-9a-fA-F]+$")
     bare = F.when(well_formed, F.regexp_extract(text, r"^0x\+?0*([0-9a-fA-F]*)$", 1))

@@ -120,6 +120,12 @@ def test_hex(spark):
         "0", "255", str(16**18 - 1), None, None, None, "1", str(2**128 - 1)]
 
 
+def test_hex_up_to_the_largest_decimal(spark):
+    numbers = [2**124, 16**31 + 5, 10**38 - 1, 10**38, 2**128 - 1, 2**64 - 1, 2**64]
+    rows = [hex(n) for n in numbers] + ["0x1" + "0" * 32]
+    assert values(spark, rows, "s string", money.hex_to_decimal(c("s")).cast("string")) == [str(n) if n < 10**38 else None for n in numbers] + [None]
+
+
 def test_refund_and_minimum(spark):
     rows = [(20000, 30 * 86400, 15 * 86400), (20000, 30 * 86400, 99 * 86400), (20000, 0, 5), (7, 3, 2)]
     assert values(spark, rows, "p bigint, d bigint, r bigint", money.prorated_refund(c("p"), c("d"), c("r"))) == [10000, 20000, 0, 4]
