@@ -295,8 +295,8 @@ def near_copies(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataF
         return stage(linked_pairs(docs, pairs, classes, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     postings = stage(_postings(docs, order, n, percent))
-    shared = postings.groupBy("class").agg((F.count("*") / F.first("n")).alias("shared")).where(F.col("shared") >= NAMED)
-    rich = stage(postings.join(shared, "class"))
+    postings = stage(postings.join(postings.groupBy("class").agg(F.count("*").cast("int").alias("several")), "class"))
+    rich = postings.withColumn("shared", F.col("several") / F.col("n")).where(F.col("shared") >= NAMED)
     known = None
     for turn in range(ROUNDS + 1):
         pairs = stage(_stars(_placed(rich, known), turn, percent) if turn < ROUNDS else _open_pairs(_placed(postings, known), percent))
@@ -336,20 +336,26 @@ def _stars(postings: DataFrame, turn: int, percent: int) -> DataFrame:
 
 def _open_pairs(postings: DataFrame, percent: int) -> DataFrame:
     """a, b: classes of different components that can still be linked by what their prefixes share."""
-    several = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main")).where("low < high")
-    left = stage(postings.join(several.select("token", "main"), "token"))
+    tokens = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.mode("component", True).alias("main")).where("low < high")
+    left = stage(postings.join(tokens.select("token", "main"), "token"))
     # pairs of the token's main component with itself need no look, so only others are on one side
-    x = left.where("component <> main").select("token", F.struct("class", "n", "place").alias("x"), F.col("component").alias("cx"))
-    y = left.select("token", F.struct("class", "n", "place").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("other"))
+    x = left.where("component <> main").select("token", F.struct("class", "n", "place", "several").alias("x"), F.col("component").alias("cx"))
+    y = left.select("token", F.struct("class", "n", "place", "several").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("main")).alias("other"))
+    # beyond the prefix that ends first, no more than the rest of that set is shared
+    def rest(n):
+        return f"(({percent}L * {n} + 99) div 100 - 1)"
+
     # before this n-gram at most as many are shared as the smaller place, behind it at most what the shorter rest holds
     ahead, behind = (f"least({', '.join(f'if({k}.place < {FAR}, {k}.place, {k}.n)' for k in 'xy')})", "least(x.n - x.place, y.n - y.place)")
     met = x.join(y, "token").where(
         f"cx <> cy AND (other OR x.class < y.class) AND 100L * least(x.n, y.n) >= {percent}L * greatest(x.n, y.n) "
-        f"AND {100 + percent}L * ({ahead} + {behind}) >= {percent}L * (x.n + y.n)")
+        f"AND {100 + percent}L * ({ahead} + {behind}) >= {percent}L * (x.n + y.n) "
+        f"AND {100 + percent}L * (least(x.several, y.several) + greatest({rest('x.n')}, {rest('y.n')})) >= {percent}L * (x.n + y.n)")
     ends = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))  # by class first
     shared = ends.groupBy("x.class", F.col("y.class").alias("b"), "x.n", F.col("y.n").alias("nb")).agg(
         F.count("*").alias("shared"), F.max("x.place").alias("i"), F.max("y.place").alias("j"))
-    return shared.where(f"{100 + percent}L * (shared - 1 + least(n - i, nb - j)) >= {percent}L * (n + nb)").select(F.col("class").alias("a"), "b")
+    most = f"least(shared - 1 + least(n - i, nb - j), shared + greatest({rest('n')}, {rest('nb')}))"
+    return shared.where(f"{100 + percent}L * {most} >= {percent}L * (n + nb)").select(F.col("class").alias("a"), "b")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
