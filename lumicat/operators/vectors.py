@@ -186,33 +186,40 @@ def _hits(query_ids, ids, keys) -> pa.RecordBatch:
     return pa.record_batch({"query_id": pa.array(query_ids, pa.int64()), "id": pa.array(ids, pa.int64()), "sort_key": pa.array(keys, pa.float64())})
 
 
-def _blocks(side: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows per bucket as a number of blocks; one row per bucket."""
-    return side.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-
-
 def _block_join(asked: DataFrame, rows: DataFrame, k: int, col: str) -> DataFrame:
     """Hits of every query among the rows of its buckets. Both sides are cut into blocks by hash, and every two blocks
-    of a bucket meet in a task of their own, so neither a query table nor a busy bucket has to fit anywhere."""
-    sizes = _blocks(asked, QUERY_BLOCK, "qs").join(_blocks(rows, ROW_BLOCK, "rs"), "bucket")
-    sizes = F.broadcast(stage(sizes))  # a row per bucket
+    of a bucket meet in a task of their own, so neither a query table nor a busy bucket has to fit anywhere. Buckets of
+    one block are put together until they make up one."""
+    def count(side, size, name):
+        return side.groupBy("bucket").agg(F.count(F.lit(1)).alias(f"{name}n"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"{name}s"))
+
+    sizes = stage(count(asked, QUERY_BLOCK, "q").join(count(rows, ROW_BLOCK, "r"), "bucket"))  # a row per bucket
+    single = (c("qs") == 1) & (c("rs") == 1)
+    small = sizes.where(single).agg(F.coalesce(F.sum(F.greatest(c("rn"), c("qn") * (ROW_BLOCK // QUERY_BLOCK))), F.lit(0))).first()[0]
+    slot = F.when(single, -1 - F.pmod(F.xxhash64("bucket"), F.lit(small // ROW_BLOCK + 1))).otherwise(c("bucket"))
+    sizes = F.broadcast(sizes.select("bucket", "qs", "rs", slot.alias("slot")))
 
     def deal(side, key, own, other):
         block = F.pmod(F.xxhash64(key), c(own)).cast("int")
-        return side.join(sizes, "bucket").select("bucket", block.alias(own[0]), F.explode(F.sequence(F.lit(0), c(other) - 1)).alias(other[0]), key, c(col).alias("vector"))
+        return side.join(sizes, "bucket").select(
+            c("slot").alias("slot"), block.alias(own[0]), F.explode(F.sequence(F.lit(0), c(other) - 1)).alias(other[0]), c("bucket").alias("bucket"), c(key).alias(key), c(col).alias("vector"))
 
     left, right = deal(asked, "query_id", "qs", "rs"), deal(rows, "id", "rs", "qs")
 
     def compare(queries, found):
-        if not queries.num_rows or not found.num_rows:
-            return pa.Table.from_batches([_hits([], [], [])])
-        found = found.combine_chunks()
-        asked = queries["vector"].combine_chunks()
-        matrix = _unit(_matrix(asked, len(asked[0]), "float64"))
-        best = _best(*_nearest(matrix, found["id"].chunk(0), found["vector"].chunk(0), k), k)
-        return pa.Table.from_batches([_hits(queries["query_id"].to_numpy()[best[0]], best[1], best[2])])
-
-    keys = ["bucket", "q", "r"]
+        held = [(np.array([], "int64"), np.array([], "int64"), np.array([], "float64"))]
+        if queries.num_rows and found.num_rows:
+            queries, found = queries.sort_by("bucket").combine_chunks(), found.sort_by("bucket").combine_chunks()
+            of_query, of_row = queries["bucket"].to_numpy(), found["bucket"].to_numpy()
+            names, vectors = queries["query_id"].to_numpy(), queries["vector"].chunk(0)
+            unit = _unit(_matrix(vectors, len(vectors[0]), "float64"))
+            for bucket in np.intersect1d(of_query, of_row):
+                (a, b), (x, y) = (np.searchsorted(side, [bucket, bucket + 1]) for side in (of_query, of_row))
+                best = _best(*_nearest(unit[a:b], found["id"].chunk(0)[x:y], found["vector"].chunk(0)[x:y], k), k)
+                held.append((names[a:b][best[0]], best[1], best[2]))
+        return pa.Table.from_batches([_hits(*(np.concatenate(p) for p in zip(*held)))])
+
+    keys = ["slot", "q", "r"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, HIT_DDL)
 
 
