@@ -1,10 +1,13 @@
 """HTML extraction by consensus host paths.
 
-1. Each page's containers are scored by the text of their own blocks, less the text of links. A container goes by its path: the
-   tags with their classes from the page's root down, digits replaced, so pages of one template have equal paths.
-2. Each page gives its paths votes in proportion to their scores. Spark sums them per host and picks one path per host.
-3. Every page is read again with its host's path: the blocks below it are the text. A page on which the path has no text
-   falls back on the best path of its own.
+1. A page votes for its main container: the deepest one that holds more than half of the text outside links. A container goes by its
+   path: the tags with their classes from the page's root down, digits replaced, so pages of one template have equal paths. Lists,
+   tables, cells and quotes are no containers; their text is that of the container around.
+2. Spark counts votes per host and path. A path that most of the pages having it vote for (two at least) is the main container of one
+   of the host's templates; a host has as many of these as it has templates.
+3. Titles and leads often stand beside the main container. What a container around it adds is taken in too if it differs from page
+   to page as the main text does; what repeats, or is links, is not. Around <article> and <main> nothing is added.
+4. Every page is read again with the paths of its host. A page that has none of them goes by itself.
 
 Parts that are never text (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are
 known by their tag, role, or a word of class or id. An article is one container, whatever it is built of.
@@ -12,6 +15,7 @@ known by their tag, role, or a word of class or id. An article is one container,
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 
@@ -19,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumicat.llm.base import stage
 from lumicat.llm.urls import host_of
 
 # fixed values: element names of the HTML standard, and words that sites name their parts with
@@ -26,7 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
-CONTAINER = frozenset("article body center dd div main section table tbody td tr ul ol dl blockquote".split())
+CONTAINER = frozenset("article body center div main section".split())
 WHOLE = frozenset("article main".split())
 NEVER = frozenset(
     "aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input map menu meter nav noframes noscript object progress search select "
@@ -59,7 +64,7 @@ class Page:
     """A page's text blocks (container, text, characters in links) and its containers (parent, path)."""
 
     def __init__(self, html: str):
-        self.parents, self.paths, self.blocks = [-1], [""], []
+        self.parents, self.paths, self.blocks, self.whole = [-1], [""], [], set()
         self._text, self._linked = [], 0
         # open elements: tag, container, never text, inside an article
         self._open = [("", 0, False, False)]
@@ -113,21 +118,23 @@ class Page:
         if tag in VOID:
             return
         _, here, never, article = self._open[-1]
-        named = []
+        named, whole = [], False
         if rest:
             for m in _ATTRIBUTE.finditer(rest):
                 value = (m[2] or m[3] or m[4] or "").lower()
                 if m[1].lower() == "role":
                     never = never or value in ROLES
-                    article = article or value == "main"
+                    whole = whole or value == "main"
                 else:
                     named += value.split()
         never = never or tag in NEVER or tag == "header" and not article or tag not in ("html", "body", "main") and any(_is_part(n) for n in named)
-        if not never and not article and tag in CONTAINER:
+        if not never and not article and (tag in CONTAINER or whole):
             self.parents.append(here)
             self.paths.append(f"{self.paths[here]}>{'.'.join([tag, *sorted({_DIGITS.sub('#', n) for n in named})])}")
             here = len(self.paths) - 1
-        self._open.append((tag, here, never, article or tag in WHOLE))
+            if tag in WHOLE or whole:
+                self.whole.add(self.paths[here])
+        self._open.append((tag, here, never, article or whole or tag in WHOLE))
 
     def _close(self, tag: str):
         if tag in VOID:
@@ -141,17 +148,39 @@ class Page:
             if tag not in BLOCK and self._open[k][0] in BLOCK:
                 return  # the end of an inline element does not reach out of its block
 
-    def scores(self) -> dict[str, int]:
-        """Text outside links by path; half of it also counts for the path around."""
-        out: dict[str, int] = {}
+    def weights(self) -> dict[str, int]:
+        """Text outside links by path, all that is inside included; paths without any are left out."""
+        sums = [0] * len(self.paths)
         for here, text, linked in self.blocks:
-            gain = max(0, len(text) - 2 * linked)
-            for share in (2, 1):
-                if here >= 0 and gain:
-                    out[self.paths[here]] = out.get(self.paths[here], 0) + gain * share
-                    here = self.parents[here]
+            sums[here] += max(0, len(text) - 2 * linked)
+        for k in range(len(sums) - 1, 0, -1):
+            sums[self.parents[k]] += sums[k]
+        out: dict[str, int] = {}
+        for path, n in zip(self.paths, sums):
+            if n:
+                out[path] = out.get(path, 0) + n
         return out
 
+    def around(self, main: str) -> list[tuple[str, list[str], int]]:
+        """Containers around ``main`` that have text of their own beside it, from the inside: path, what is added, and how much of it is
+        outside links."""
+        if main in self.whole:
+            return []
+        chain, k = [], self.paths.index(main)
+        while k >= 0:
+            chain.append(self.paths[k])
+            k = self.parents[k]
+        level = {path: n for n, path in enumerate(chain)}
+        at, added = [0] * len(self.paths), {}
+        for k, path in enumerate(self.paths):
+            at[k] = level[path] if path in level else at[self.parents[k]]
+        for here, text, linked in self.blocks:
+            if at[here]:
+                texts = added.setdefault(at[here], ([], []))
+                texts[0].append(text)
+                texts[1].append(max(0, len(text) - 2 * linked))
+        return [(chain[n], texts, sum(gains)) for n, (texts, gains) in sorted(added.items())]
+
     def text(self, path: str) -> str:
         inside = [False] * len(self.paths)
         for k, p in enumerate(self.paths):
@@ -159,28 +188,66 @@ class Page:
         return "\n".join([text for here, text, _ in self.blocks if inside[here]])
 
     def own_text(self) -> str:
-        found = self.scores()
-        return self.text(min(found, key=lambda p: (-found[p], p))) if found else ""
+        found = self.weights()
+        if not found:
+            return ""
+        path = main_of(found)
+        for wider, _, gain in self.around(path):
+            if not gain or is_outer(wider):
+                break
+            path = wider
+        return self.text(path)
+
+
+def main_of(weights: dict[str, int]) -> str:
+    """The deepest path with more than half of the text; these paths lie inside each other."""
+    return max((p for p, n in weights.items() if 2 * n > weights[""]), key=len)
+
+
+def is_outer(path: str) -> bool:
+    """The body and what is around it hold a whole page, not an article."""
+    return re.match(r"body\b", path.rpartition(">")[2] or "body") is not None
+
+
+def _digest(texts: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """_host, _path: the path with the most votes of each host's pages (url, html)."""
+    """_host, _path, _wide, _share: the main containers of the templates of each host of pages (url, html), with the container to read for
+    each and the share of votes among the pages that have it."""
 
     def vote(batches):
         for batch in batches:
-            hosts, paths, votes = [], [], []
-            for host, page in zip(batch.column(0), batch.column(1)):
-                found = Page(page.as_py()).scores()
-                total = sum(found.values())
-                for path, n in found.items():
-                    hosts.append(host.as_py())
-                    paths.append(path)
-                    votes.append(round(1000 * n / total))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], ["_host", "_path", "votes"])
+            out = []
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                page = Page(html)
+                found = page.weights()
+                if not found:
+                    continue
+                main = main_of(found)
+                out += [(host, path, None, int(path == main), None, None) for path in found]
+                around = page.around(main)
+                if around:
+                    own = _digest([page.text(main)])
+                    out += [(host, main, wider, 0, _digest(texts) if gain else None, own) for wider, texts, gain in around]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*out) if out else [()] * 6, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                ["_host", "_path", "_wider", "vote", "added", "own"])
 
     given = pages.select(host_of(F.col("url")).alias("_host"), F.col("html").alias("html")).where("html IS NOT NULL")
-    sums = given.mapInArrow(vote, "_host string, _path string, votes long").groupBy("_host", "_path").agg(F.sum("votes").alias("votes"))
-    return sums.groupBy("_host").agg(F.max_by("_path", F.struct("votes", "_path")).alias("_path"))
+    votes = stage(given.mapInArrow(vote, "_host string, _path string, _wider string, vote long, added long, own long"))
+    mains = votes.where("_wider IS NULL").groupBy("_host", "_path").agg(F.sum("vote").alias("votes"), F.count("*").alias("n")).where("votes > 1 AND 2 * votes > n")
+    # copies of a page say nothing about what repeats
+    outer = F.col("_wider").rlike(r"^$|>body(\.[^>]*)?$")
+    steps = votes.where("_wider IS NOT NULL").groupBy("_host", "_path", "_wider").agg(F.countDistinct("added").alias("added"), F.countDistinct("own").alias("own")).select(
+        "_host", "_path", F.struct(F.length("_wider").alias("n"), "_wider", ((2 * F.col("added") > F.col("own")) & (~outer | (F.col("own") > 1))).alias("fits")).alias("step"))
+    # the outermost of those before the first that does not fit
+    last = F.coalesce(F.array_max(F.expr("transform(filter(steps, x -> NOT x.fits), x -> x.n)")), F.lit(-1))
+    wide = steps.groupBy("_host", "_path").agg(F.collect_list("step").alias("steps")).withColumn("last", last).select(
+        "_host", "_path", F.expr("array_min(filter(steps, x -> x.n > last))._wider").alias("_wide"))
+    return mains.join(wide, ["_host", "_path"], "left").select(
+        "_host", "_path", F.coalesce("_wide", "_path").alias("_wide"), (F.col("votes") / (F.col("n") + 1)).alias("_share"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -189,17 +256,18 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty pages give the empty string, and so do pages without text outside the parts that are never text. Urls without a
     host vote together. Repeated rows are rows of their own and vote each.
     """
-    chosen = host_paths(pages)
+    chosen = host_paths(pages).groupBy("_host").agg(F.sort_array(F.collect_list(F.struct((-F.col("_share")).alias("_share"), "_path", "_wide"))).alias("_paths"))
     given = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("_host"))
 
     def read(batches):
         for batch in batches:
             out = []
-            for page, path in zip(batch.column(2), batch.column(3)):
+            for page, paths in zip(batch.column(2), batch.column(3)):
                 page = Page(page.as_py())
-                text = page.text(path.as_py()) if path.is_valid else ""
-                out.append(text or page.own_text())
+                here = set(page.paths)
+                texts = (page.text(p["_wide"]) for p in paths.as_py() or () if p["_path"] in here and page.text(p["_path"]))
+                out.append(next(texts, "") or page.own_text())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     kinds = dict(pages.dtypes)
-    return given.join(chosen, "_host", "left").select("page_id", "url", "html", "_path").mapInArrow(read, f"page_id {kinds['page_id']}, url string, text string")
+    return given.join(chosen, "_host", "left").select("page_id", "url", "html", "_paths").mapInArrow(read, f"page_id {kinds['page_id']}, url string, text string")

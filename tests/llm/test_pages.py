@@ -52,6 +52,33 @@ def test_host_path_wins_over_a_single_page(spark):
     assert {r.page_id: r.text for r in got.collect()}[9] == "its own text"
 
 
+def test_an_article_is_whole_whatever_it_is_built_of(spark):
+    """Lists, tables, quotes, inner divs, leads and titles; boxes that repeat stay out; two templates on one host."""
+    def words(k, n):
+        return " ".join(f"w{k}x{j}" for j in range(n))
+
+    box = "<div class=box><p>" + "the same on every page " * 3 + "</div>"
+    shapes = {
+        "list": lambda k: f"<div class=post><h1>title {k}</h1><p>{words(k, 15)}</p><ul><li>{words(k, 40)}</li><li>more {k}</li></ul></div>{box}",
+        "table": lambda k: f"<div class=post><h2>title {k}</h2><p>lead {k}</p><table><tr><td>{words(k, 40)}</td><td>cell {k}</td></tr></table><blockquote>said {k}</blockquote></div>{box}",
+        "nested": lambda k: f"<div class=wrap><div class=post><h1>title {k}</h1><div class=lead>lead {k}</div><div class=body><p>{words(k, 50)}</p></div></div>{box}</div>",
+        "loose": lambda k: f"<h1>title {k}</h1><div class=body><p>{words(k, 50)}</p></div>",
+    }
+    given, want = [], {}
+    for n, (name, shape) in enumerate(shapes.items()):
+        for k in range(4):
+            given.append((10 * n + k, f"http://{name}/", shape(k)))
+    for k in range(4):
+        given += [(100 + k, "http://two/", shapes["list"](k)), (110 + k, "http://two/", f"<div class=item><p>{words(k, 30)}</p><div class=more>more {k}</div></div>{box}")]
+    given.append((200, "http://one/", shapes["nested"](7).replace(box, "")))
+    for k in range(4):
+        listed = f"title {k}\n{words(k, 15)}\n{words(k, 40)}\nmore {k}"
+        want |= {k: listed, 10 + k: f"title {k}\nlead {k}\n{words(k, 40)}\ncell {k}\nsaid {k}", 20 + k: f"title {k}\nlead {k}\n{words(k, 50)}",
+                 30 + k: f"title {k}\n{words(k, 50)}", 100 + k: listed, 110 + k: f"{words(k, 30)}\nmore {k}"}
+    want[200] = f"title 7\nlead 7\n{words(7, 50)}"
+    assert {r.page_id: r.text for r in html_extract.extract(pages(spark, given)).collect()} == want
+
+
 def test_real_pages_next_to_a_plain_reading(spark):
     import html
     import re
