@@ -109,6 +109,31 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_no_word_of_the_pages_is_left_out(spark):
+    """More words than a list would hold, all seen once: the last of them by the alphabet is known, and each counts for the verdict."""
+    def letters(k):
+        return "".join(chr(97 + k // 26**j % 26) for j in range(4))
+
+    many = " ".join("a" + letters(k) for k in range(70_000))
+    given = [(k, f"http://x.org/{' '.join('b' + letters(70 * j + k) for j in range(1_000))}", many if not k else "") for k in range(70)]
+    given += [(100, "http://zebrazucchini.example.com/", "zebra zucchini"), (101, "http://casino.example.com/zz", ""), (102, "http://x.org/zz", "")]
+    by = {r.page_id: r for r in url_filter.judge(pages(spark, given)).collect()}
+    assert by[100].words == "zebra zucchini example"
+    # by hand: 72 pages allowed, 1 blocked; words of the class to block: casino, example, zz and the strong seeds
+    strong, seeds = len(url_filter.SEEDS) - len(url_filter.WEAK), len(url_filter.SEEDS)
+    paths = {w for k in range(70) for w in given[k][1][13:].split()}
+    kinds = len(paths) + 6 + 1 + seeds  # x, zebra, zucchini, example, casino, zz
+    good, bad = 70 * 1_000 + 71 + 3 + 1, 3 + strong
+
+    def odds(b, g):
+        return math.log((b + 1) / (bad + kinds)) - math.log((g + 1) / (good + kinds))
+
+    want = math.log(2 / 73) + odds(0, 71) + odds(1, 1)
+    assert abs(by[102].score - 1 / (1 + math.exp(-want))) < 1e-9
+    want = math.log(2 / 73) + odds(0, 71) + sum(odds(0, 1) for _ in range(1_000))
+    assert abs(by[69].score - 1 / (1 + math.exp(-max(-35, min(35, want))))) < 1e-9
+
+
 def test_segmentation_is_the_most_probable():
     rng = random.Random(1)
     model = url_filter.Unigrams({w: math.log(p) for w, p in {"a": 0.1, "ab": 0.2, "ba": 0.05, "bab": 0.3, "b": 0.01}.items()}, math.log(1e-4))
