@@ -1,7 +1,8 @@
 """Benchmark decontamination by greedy string tiling.
 
-Benchmark items are the stated queries: they go to all tasks in blocks of at most ``BLOCK_WORDS`` words, and each document is
-compared in place, so nothing is shuffled. Rolling (Karp-Rabin) hashes of ``MINIMUM`` words are the seeds. Where a document shares
+Benchmark items are the stated queries: they go to all tasks in blocks of about ``BLOCK_WORDS`` words, and each document is
+compared in place. A benchmark of one block takes one pass without a shuffle. For a larger one the documents are numbered and stored, each
+block is a pass of its own, so a task holds one block at a time, and what the passes find is joined to the documents. Rolling (Karp-Rabin) hashes of ``MINIMUM`` words are the seeds. Where a document shares
 one with an item, seeds along a diagonal grow into maximal matches; the longest match is marked as a tile, matches that
 run into marked words are cut, and so on until none of ``MINIMUM`` words is left. The share of an item's words under tiles
 is its coverage, in whatever order the passages stand in the document.
@@ -9,6 +10,7 @@ is its coverage, in whatever order the passages stand in the document.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm import words as W
-from lumicat.llm.base import filter_rows, rows_of
+from lumicat.llm.base import filter_rows, rows_of, stage
 
 MINIMUM = 5
 COVERAGE = 0.6
@@ -52,12 +54,20 @@ def _block(table: pa.Table, minimum: int) -> Block:
     return Block(np.array(ids, np.int64), words, begins, seeds[places], places, maybe)
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("_item"), F.col("text").alias("_text")).where("_item IS NOT NULL AND _text IS NOT NULL")
+
+
+def n_blocks(benchmark: DataFrame) -> int:
+    letters = _items(benchmark).agg(F.sum(F.length("_text"))).first()[0] or 0
+    return int(letters // (4 * BLOCK_WORDS)) + 1
+
+
 def blocks(benchmark: DataFrame, minimum: int = MINIMUM) -> Iterator[Block]:
     """The items (item_id, text) in blocks of bounded size. Null ids and texts are left out. A block takes what the hash of the id
     deals to it, so one much longer item can make its block longer."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("_item"), F.col("text").alias("_text")).where("_item IS NOT NULL AND _text IS NOT NULL")
-    letters = items.agg(F.sum(F.length("_text"))).first()[0] or 0
-    count = int(letters // (4 * BLOCK_WORDS)) + 1
+    items = _items(benchmark)
+    count = n_blocks(benchmark)
     for k in range(count):
         yield _block(items.where(F.pmod(F.xxhash64("_item"), F.lit(count)) == k).orderBy("_item", "_text").toArrow(), minimum)
 
@@ -87,73 +97,120 @@ def tiles(item: np.ndarray, text: np.ndarray, seeds: tuple[np.ndarray, np.ndarra
     return out
 
 
-def _match(hashes: np.ndarray, block: Block, minimum: int) -> tuple[float, int, int] | None:
-    """Coverage, item and number of tiles of the best covered item; the smallest id of several."""
+def _match(hashes: np.ndarray, block: Block, minimum: int, coverage: float) -> list[tuple[float, int, int]]:
+    """Coverage, item and number of tiles: all items covered to ``coverage`` or more, and the best covered one, the best first, the smallest
+    id of several. An id that several items have counts once, with the best of them."""
     grams = W.grams(hashes, minimum)
     at = np.flatnonzero(block.maybe[(grams >> W.U64(44)).astype(np.int64)])
     if not len(at) or not len(block.seeds):
-        return None
+        return []
     lo, hi = np.searchsorted(block.seeds, grams[at], "left"), np.searchsorted(block.seeds, grams[at], "right")
     at, lo, count = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     if not len(at):
-        return None
+        return []
     text_at = np.repeat(at, count)
     item_at = block.places[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
     owner = np.searchsorted(block.begins, item_at, side="right") - 1
-    best = None
-    for k in np.unique(owner).tolist():
+    by = np.argsort(owner, kind="stable")
+    owner, item_at, text_at = owner[by], item_at[by], text_at[by]
+    heads = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+    found: dict[int, tuple[float, int, int]] = {}
+    best = 0.0
+    for x, y in zip(heads, heads[1:] + [len(owner)]):
+        k = int(owner[x])
         a, b = int(block.begins[k]), int(block.begins[k + 1])
-        mine = owner == k
         # no tile can cover more than the seeds do
         under = np.zeros(b - a + 1, np.int64)
-        np.add.at(under, item_at[mine] - a, 1)
-        np.add.at(under, item_at[mine] - a + minimum, -1)
+        np.add.at(under, item_at[x:y] - a, 1)
+        np.add.at(under, item_at[x:y] - a + minimum, -1)
         most = float((np.cumsum(under[:-1]) > 0).sum()) / (b - a)
-        if best and most < best[0]:
+        if most < coverage and most < best:
             continue
         # the part of the text that seeds reach stands for all of it
-        first, last = int(text_at[mine].min()), int(text_at[mine].max()) + minimum
-        found = tiles(block.words[a:b], hashes[first:last], (item_at[mine] - a, text_at[mine] - first), minimum)
-        cover = sum(n for *_, n in found) / (b - a)
-        if best is None or (-cover, block.ids[k]) < (-best[0], best[1]):
-            best = (cover, int(block.ids[k]), len(found))
-    return best
-
-
-def best_items(column: pa.Array, parts: list[Block], minimum: int) -> list[tuple[float, int, int] | None]:
-    out = [None] * len(column)
+        first, last = int(text_at[x:y].min()), int(text_at[x:y].max()) + minimum
+        parts = tiles(block.words[a:b], hashes[first:last], (item_at[x:y] - a, text_at[x:y] - first), minimum)
+        got = (sum(n for *_, n in parts) / (b - a), int(block.ids[k]), len(parts))
+        best = max(best, got[0])
+        old = found.get(got[1])
+        if old is None or (-got[0], got[2]) < (-old[0], old[2]):
+            found[got[1]] = got
+    ranked = sorted(found.values(), key=lambda g: (-g[0], g[1]))
+    return ranked[:1] + [g for g in ranked[1:] if g[0] >= coverage]
+
+
+def matches(column: pa.Array, block: Block, minimum: int, coverage: float) -> list[list[tuple[float, int, int]]]:
+    """What each text of a column shares with a block (see ``_match``)."""
+    out: list[list[tuple[float, int, int]]] = [[] for _ in range(len(column))]
     for w in W.words(column, W.ALNUM):
         bounds = w.bounds.tolist()
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-            for block in parts:
-                got = _match(w.hashes[a:b], block, minimum)
-                old = out[w.lo + i]
-                if got and (old is None or (-got[0], got[1]) < (-old[0], old[1])):
-                    out[w.lo + i] = got
+            out[w.lo + i] = _match(w.hashes[a:b], block, minimum, coverage)
     return out
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, minimum: int = MINIMUM, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, coverage, n_tiles, contaminated for each row of ``docs``: its best covered benchmark item.
+_FOUND = "struct<order:double,item_id:long,coverage:double,n_tiles:long>"
 
-    Words are runs of letters and digits, A-Z folded. Items with fewer than ``minimum`` words match nothing. Documents that
-    share no run of ``minimum`` words with any item (null and empty texts too) have a null item, coverage 0 and no tiles.
-    """
-    parts = list(blocks(benchmark, minimum))
+
+def _found(docs: DataFrame, block: Block, minimum: int, coverage: float, key: str) -> DataFrame:
+    """``key`` and found (the matches of a block, the best first) for each row of ``docs (key, text)``."""
 
     def run(batches):
         for batch in batches:
-            got = best_items(batch.column(1), parts, minimum)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([g and g[1] for g in got], pa.int64()), pa.array([g[0] if g else 0.0 for g in got]),
-                pa.array([g[2] if g else 0 for g in got], pa.int64()), pa.array([bool(g) and g[0] >= coverage for g in got])],
-                ["doc_id", "item_id", "coverage", "n_tiles", "contaminated"])
+            got = [[{"order": -c, "item_id": i, "coverage": c, "n_tiles": n} for c, i, n in g] for g in matches(batch.column(1), block, minimum, coverage)]
+            kind = pa.struct([("order", pa.float64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int64())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(kind))], [key, "found"])
+
+    return docs.mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, found array<{_FOUND}>")
+
 
-    return rows_of(docs, "doc_id", "text").mapInArrow(
-        run, f"doc_id {dict(docs.dtypes)['doc_id']}, item_id long, coverage double, n_tiles long, contaminated boolean")
+def _all_blocks(texts: DataFrame, benchmark: DataFrame, minimum: int, coverage: float) -> DataFrame:
+    """at and found over all blocks, for the rows of ``texts (at, text)`` that share something with one."""
+    passes = [stage(_found(texts, block, minimum, coverage, "at").where("size(found) > 0")) for block in blocks(benchmark, minimum)]
+    every = functools.reduce(DataFrame.unionByName, passes).select("at", F.explode("found").alias("f"))
+    # an id has all its items in one block; below the coverage only the best of all blocks stays
+    ranked = every.groupBy("at").agg(F.sort_array(F.collect_list("f")).alias("found"))
+    return ranked.withColumn("found", F.expr(f"filter(found, (x, k) -> k = 0 OR x.coverage >= {float(coverage)!r}D)"))
+
+
+def _results(docs: DataFrame, benchmark: DataFrame, minimum: int, coverage: float) -> DataFrame:
+    """doc_id and found for each row of ``docs``."""
+    given = rows_of(docs, "doc_id", "text")
+    if n_blocks(benchmark) == 1:
+        return _found(given, next(blocks(benchmark, minimum)), minimum, coverage, "doc_id")
+    numbered = stage(given.withColumn("at", F.monotonically_increasing_id()))
+    found = _all_blocks(numbered.select("at", "text"), benchmark, minimum, coverage)
+    return numbered.select("doc_id", "at").join(found, "at", "left").select("doc_id", F.coalesce("found", F.array().cast(f"array<{_FOUND}>")).alias("found"))
+
+
+def pairs(docs: DataFrame, benchmark: DataFrame, *, minimum: int = MINIMUM, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles: every benchmark item that a row of ``docs`` covers to ``coverage`` or more."""
+    every = _results(docs, benchmark, minimum, coverage).select("doc_id", F.explode("found").alias("f"))
+    return every.select("doc_id", "f.item_id", "f.coverage", "f.n_tiles").where(F.col("coverage") >= coverage)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, *, minimum: int = MINIMUM, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles, contaminated, item_ids for each row of ``docs``: its best covered benchmark item, and all items
+    that it covers to ``coverage`` or more, in order.
+
+    Words are runs of letters and digits, A-Z folded. Items with fewer than ``minimum`` words match nothing. Documents that
+    share no run of ``minimum`` words with any item (null and empty texts too) have a null item, coverage 0 and no tiles.
+    """
+    best = F.get("found", F.lit(0))
+    over = F.filter("found", lambda f: f["coverage"] >= coverage)
+    return _results(docs, benchmark, minimum, coverage).select(
+        "doc_id", best["item_id"].alias("item_id"), F.coalesce(best["coverage"], F.lit(0.0)).alias("coverage"), F.coalesce(best["n_tiles"], F.lit(0).cast("long")).alias("n_tiles"),
+        (F.size(over) > 0).alias("contaminated"), F.array_sort(F.transform(over, lambda f: f["item_id"])).alias("item_ids"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, minimum: int = MINIMUM, coverage: float = COVERAGE) -> DataFrame:
     """The documents that cover no benchmark item that far, with all their columns."""
-    parts = list(blocks(benchmark, minimum))
-    return filter_rows(docs, "text", lambda texts: [not g or g[0] < coverage for g in best_items(texts, parts, minimum)])
+
+    def clean(block, texts):
+        return [not g or g[0][0] < coverage for g in matches(texts, block, minimum, coverage)]
+
+    if n_blocks(benchmark) == 1:
+        return filter_rows(docs, "text", functools.partial(clean, next(blocks(benchmark, minimum))))
+    numbered = stage(docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("doc"), F.monotonically_increasing_id().alias("at")))
+    found = _all_blocks(numbered.select("at", F.col("doc.text").alias("text")), benchmark, minimum, coverage)
+    bad = found.where(F.get("found", F.lit(0))["coverage"] >= coverage).select("at")
+    return numbered.join(bad, "at", "left_anti").select("doc.*")

@@ -159,6 +159,26 @@ def test_decontamination_catches_reordered_passages(spark):
     assert decontaminate.scan(C.frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_every_item(spark, monkeypatch):
+    """A document with several items, in one block and in one block per few items; an id that two items have."""
+    def item(k, n=30):
+        return [f"i{k}w{j}" for j in range(n)]
+
+    bench = spark.createDataFrame([(k, " ".join(item(k))) for k in range(12)] + [(3, " ".join(item(30)))], "item_id long, text string")
+    dump = " ".join(" ".join(item(k)) for k in (5, 2, 9))
+    rows = [(1, f"before {dump} after {' '.join(item(7)[:20])} and {' '.join(item(8)[:12])}"), (2, " ".join(item(4)[:10])), (None, " ".join(item(30))), (None, None), (5, "clean " * 9), (1, " ".join(item(11)))]
+    want = [(None, 3, 1.0, 1), (1, 2, 1.0, 1), (1, 5, 1.0, 1), (1, 7, 20 / 30, 1), (1, 9, 1.0, 1), (1, 11, 1.0, 1)]
+    best = [(None, None, 0.0, 0, False, []), (None, 3, 1.0, 1, True, [3]), (1, 2, 1.0, 1, True, [2, 5, 7, 9]), (1, 11, 1.0, 1, True, [11]), (2, 4, 10 / 30, 1, False, []), (5, None, 0.0, 0, False, [])]
+    df = C.frame(spark, rows, extra=True)
+    for words in (decontaminate.BLOCK_WORDS, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        assert (decontaminate.n_blocks(bench) > 1) == (words == 100)
+        assert C.ordered(decontaminate.pairs(df, bench).collect()) == C.ordered(want)
+        assert C.ordered(decontaminate.scan(df, bench).collect()) == C.ordered(best)
+        kept = decontaminate.drop_contaminated(df, bench)
+        assert kept.dtypes == df.dtypes and sorted(str(r.doc_id) for r in kept.collect()) == ["2", "5", "None"]
+
+
 def test_licenses(spark):
     text = "Licensed under the Apache License, Version 2.0. See the MIT-License or mit license; GNU General Public License v3. SPDX-License-Identifier: BSD-3-Clause"
     rows = C.awkward(8) + [(400, text), (401, "general public licenses"), (402, "mit license " * 3000)]
