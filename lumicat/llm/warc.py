@@ -37,6 +37,7 @@ _BREAK = re.compile(
 _TAG = re.compile(r"</?[a-z!?][^>]*>", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_CHUNK = re.compile(rb"([0-9a-f]{1,15})\s*(?:;.*)?", re.I | re.S)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w-]+)", re.I)
 
 
@@ -54,26 +55,64 @@ def plain_text(html: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _split_http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status line, header fields (last of each, names folded) and payload of an HTTP response."""
+def _split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status line, header fields (names folded, in order) and body of an HTTP response."""
     head, found, body = block.partition(b"\r\n\r\n")
     if not found:
         head, _, body = block.partition(b"\n\n")
     if not head.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", [], block
     lines = head.decode("latin-1").splitlines()
-    return lines[0], {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, body
+    return lines[0], [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])], body
+
+
+def _joined(fields: list[tuple[str, str]]) -> dict[str, str]:
+    """The values of repeated fields in one, in order."""
+    out: dict[str, str] = {}
+    for k, v in fields:
+        out[k] = f"{out[k]}, {v}" if k in out else v
+    return out
+
+
+def _unchunk(data: bytes) -> bytes:
+    """A chunked body as one, as far as it goes; a body that does not begin with a chunk is taken as it is."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b"\n", at)
+        size = _CHUNK.fullmatch(data[at:end].strip()) if end >= 0 else None
+        if not size:
+            return b"".join(out) if at else data
+        n = int(size[1], 16)
+        if not n:
+            break
+        out.append(data[end + 1: end + 1 + n])
+        at = end + 1 + n
+        at += 2 if data[at: at + 2] == b"\r\n" else 1
+    return b"".join(out)
+
+
+def _decoded(body: bytes, codings: str) -> bytes | None:
+    """What is whole of a body after undoing its codings, the last first; null for a coding that is not known. A body without the beginning
+    of a gzip member is no gzip."""
+    for coding in reversed([x.strip().lower() for x in codings.split(",")]):
+        if coding == "chunked":
+            body = _unchunk(body)
+        elif coding in ("gzip", "x-gzip"):
+            body = _gunzip(body) if body[:2] == b"\x1f\x8b" else body
+        elif coding == "deflate":
+            wrapped = len(body) > 1 and body[0] & 15 == 8 and not int.from_bytes(body[:2], "big") % 31
+            body = _inflated(zlib.decompressobj(15 if wrapped else -15), body)[0]
+        elif coding not in ("", "identity"):
+            return None
+    return body
 
 
 def derive(row: dict) -> list[dict]:
     """The metadata and conversion records of one response."""
-    status, fields, body = _split_http(row["block"] or b"")
-    kind = fields.get("content-type", "")
-    if fields.get("content-encoding", "").lower() == "gzip":
-        try:
-            body = gzip.decompress(body)
-        except (OSError, EOFError):
-            body = b""
+    status, given, body = _split_http(row["block"] or b"")
+    fields, kind = _joined(given), dict(given).get("content-type", "")
+    body = _decoded(body, fields.get("transfer-encoding", ""))
+    body = b"" if body is None else _decoded(body, fields.get("content-encoding", "")) or b""
     is_html = not kind or "html" in kind.lower()
     named = _CHARSET.search(kind) or _CHARSET.search(body[:1024].decode("latin-1"))
     try:
@@ -92,7 +131,7 @@ def derive(row: dict) -> list[dict]:
     about = [("fetchStatus", status_code), ("sourceContentType", kind), ("sourceLength", str(len(body))), ("title", title), ("charset", named[1].lower() if named else "utf-8")]
     about += [("outlink", x) for x in links]
     lines = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in about if v)
-    kept = {f"WARC-Source-{k.title()}": v for k, v in fields.items()} | {k: v for k, v in (row["headers"] or [])}
+    kept = {f"WARC-Source-{k.title()}": v for k, v in fields.items()} | _joined(row["headers"] or [])
     out = []
     for what, content, block in (("metadata", "application/warc-fields", lines.encode()), ("conversion", "text/plain; charset=utf-8", text.encode())):
         out.append({
@@ -109,7 +148,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     """The derived records of all responses among ``records``; other types give none.
 
     A null block counts as empty, a null id gives derived ids of the empty id. A block without an HTTP head is all payload.
-    Repeated responses give repeated records. Payloads other than text have an empty conversion.
+    Repeated responses give repeated records. Payloads other than text have an empty conversion, and
+    so have codings other than chunked, gzip and deflate. Values of repeated header fields are joined with commas, in order.
     """
 
     def run(batches):
@@ -163,18 +203,28 @@ def serialized(records: DataFrame) -> DataFrame:
     return records.select(*_NAMES).mapInArrow(run, "record_id string, member binary")
 
 
-def _gunzip(data: bytes) -> bytes:
-    """All gzip members, as far as they are whole."""
-    out, at = [], 0
-    while at < len(data):
-        member = zlib.decompressobj(31)
+def _inflated(member, data: bytes, at: int = 0) -> tuple[bytes, int, bool]:
+    """What ``member`` gives from ``at`` on, up to its end or where it is broken; where it ended; whether it is not broken."""
+    out, step = [], 1 << 16
+    while at < len(data) and not member.eof:
+        piece, before = data[at: at + step], member.copy()
         try:
-            while at < len(data) and not member.eof:
-                piece = data[at: at + (1 << 16)]
-                out.append(member.decompress(piece))
-                at += len(piece) - len(member.unused_data)
+            out.append(member.decompress(piece))
         except zlib.error:
-            break
+            if step == 1:
+                return b"".join(out), at, False
+            member, step = before, max(1, step // 16)  # again in smaller pieces, up to the broken byte
+            continue
+        at += len(piece) - len(member.unused_data)
+    return b"".join(out), at, True
+
+
+def _gunzip(data: bytes) -> bytes:
+    """All gzip members, as far as they are whole."""
+    out, at, whole = [], 0, True
+    while at < len(data) and whole:
+        got, at, whole = _inflated(zlib.decompressobj(31), data, at)
+        out.append(got)
     return b"".join(out)
 
 

@@ -191,3 +191,32 @@ def test_warc_takes_odd_records(spark):
     assert bytes(got["<a>", "conversion"].block).decode() == "café" and b"fetchStatus: 404" in got["<a>", "metadata"].block
     assert (bytes(got[None, "conversion"].block), bytes(got["<b>", "conversion"].block), bytes(got["<c>", "conversion"].block)) == (b"", b"no head", b"")
     assert warc.derivatives(df.limit(0)).count() == 0
+
+
+def test_warc_keeps_what_real_responses_hold(spark):
+    """Repeated fields, broken, stacked and chunked bodies."""
+    import zlib
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(300_000)).encode()
+    packed = gzip.compress(text)
+    broken = bytearray(packed)
+    broken[len(packed) // 2: len(packed) // 2 + 400] = b"\xff" * 400
+    chunked = b"5\r\nhello\r\n7;x=y\r\n, world\r\n0\r\n\r\n"
+    zipped = gzip.compress(b"zipped")
+    raw = zlib.compressobj(wbits=-15)
+    bodies = {
+        "cut": ("Content-Encoding: gzip", packed[: len(packed) // 2]), "broken": ("Content-Encoding: gzip", bytes(broken)), "tail": ("Content-Encoding: x-gzip", packed + b"\x1f\x8bxx"),
+        "members": ("Content-Encoding: gzip", gzip.compress(b"one ") + gzip.compress(b"two")), "chunked": ("Transfer-Encoding: chunked", chunked), "no chunks": ("Transfer-Encoding: chunked", b"plain text"),
+        "short": ("Transfer-Encoding: chunked", chunked[:20]), "both": ("Transfer-Encoding: chunked\r\nContent-Encoding: gzip", b"%x\r\n%s\r\n0\r\n\r\n" % (len(zipped), zipped)),
+        "zlib": ("Content-Encoding: deflate", zlib.compress(b"deflated")), "raw": ("Content-Encoding: deflate", raw.compress(b"deflated") + raw.flush()), "br": ("Content-Encoding: br", b"\x0b\x02\x80"),
+        "fields": ("Set-Cookie: a=1\r\nLink: <x>\r\nset-cookie: b=2\r\nLink: <y>", b"body")}
+    given = [{"warc_type": "response", "record_id": k, "block": bytearray(b"HTTP/1.1 200 OK\r\nContent-Type: text/plain\r\n" + head.encode() + b"\r\n\r\n" + body)} for k, (head, body) in bodies.items()]
+    got = {r.refers_to: r for r in warc.derivatives(spark.createDataFrame(given, warc.RECORD)).where("warc_type = 'conversion'").collect()}
+    block = {k: bytes(r.block) for k, r in got.items()}
+    assert text.startswith(block["cut"]) and len(block["cut"]) > 0.49 * len(text)
+    assert block["broken"][:140_000] == text[:140_000] and block["tail"] == text
+    assert [block[k] for k in ("members", "chunked", "no chunks", "short", "both", "zlib", "raw", "br")] == [
+        b"one two", b"hello, world", b"plain text", b"hello, wo"[: len(block["short"])], b"zipped", b"deflated", b"deflated", b""] and len(block["short"]) >= 5
+    assert (got["fields"].headers["WARC-Source-Set-Cookie"], got["fields"].headers["WARC-Source-Link"]) == ("a=1, b=2", "<x>, <y>")
+    assert dict(warc._joined([("a", "1"), ("b", "2"), ("a", "3")])) == {"a": "1, 3", "b": "2"}
