@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lumicat.llm import words as W
 from lumicat.llm.base import fanout, filter_rows, rows_of, stage
-from lumicat.llm.bitmap import bitmap
+from lumicat.llm.bitmap import Bitmap, bitmap
 from lumicat.llm.components import components
 
 N = 5
@@ -215,14 +215,17 @@ def _postings(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
     )
 
 
-def _segments(docs: DataFrame, order: Order, n: int, part: range) -> DataFrame:
-    """class, fragment, size, tokens: the sets, cut along the global order; the fragments of ``part`` only."""
+def _segments(docs: DataFrame, order: Order, n: int, part: range, named: Bitmap | None = None) -> DataFrame:
+    """class, fragment, size, tokens: the sets, cut along the global order; the fragments of ``part`` only, and of ``named`` classes."""
 
     def run(batches):
         for batch in batches:
             classes, fragments, sizes, tokens = [], [], [], []
             for got in sets(batch.column(0), n):
-                at, key = order.fragments(got), class_of(got)
+                key = class_of(got)
+                if named is not None and not named.has(np.array([key], np.int64))[0]:
+                    continue
+                at = order.fragments(got)
                 for k in part:
                     mine = got[at == k]
                     if len(mine):
@@ -262,8 +265,17 @@ def linked_pairs(docs: DataFrame, pairs: DataFrame, classes: DataFrame, order: O
         return stage(ends.join(classes, "class").select("doc_id", "class", "n"))
 
     def segments(ends, part):
-        marks = bitmap(ends.select("doc_id"), ends.count())
-        return _segments(filter_rows(docs, "doc_id", lambda ids: marks.has(ids.fill_null(-1).to_numpy(zero_copy_only=False))), order, n, part)
+        # documents are found by id; those without one by their class, which only they have to be read for
+        count = ends.count()
+        marks, nulls = bitmap(ends.select("doc_id"), count), not ends.where("doc_id IS NULL").isEmpty()
+        named = bitmap(ends.select("class"), count) if nulls else None
+
+        def has(ids):
+            some = marks.has(ids.fill_null(0).to_numpy(zero_copy_only=False))
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            return some & ~none | none & nulls
+
+        return _segments(filter_rows(docs, "doc_id", has), order, n, part, named)
 
     ends = wanted(pairs)
     parts = stage(segments(ends, range(FIRST)).join(ends.select("class"), "class", "left_semi"))

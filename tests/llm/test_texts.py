@@ -143,6 +143,24 @@ def test_tiles_cover_what_greedy_tiling_does(spark):
         assert all(item[a: a + n] == text[b: b + n] for a, b, n in got)
 
 
+def test_texts_without_id_link_like_others(spark):
+    """Near copies without ids, with and without one that has an id, and a bridge between two ids that only a null id makes."""
+    rng = random.Random(9)
+
+    def changed(words, at):
+        return " ".join("x" + w if k in at else w for k, w in enumerate(words))
+
+    words = [[f"d{k}w{rng.randrange(10**6)}" for _ in range(200)] for k in range(3)]
+    rows = [(10, " ".join(words[0])), (None, changed(words[0], {50})), (None, changed(words[0], {150}))]
+    rows += [(None, " ".join(words[1])), (None, changed(words[1], {3}))]
+    # each end differs from the middle in 5 places, from the other end in 10
+    rows += [(30, changed(words[2], {10, 30, 50, 70, 90})), (None, " ".join(words[2])), (20, changed(words[2], {110, 130, 150, 170, 190}))]
+    want = C.join_brute(rows)
+    assert [c for _, _, c in want] == [10, 10, 10, None, None, 20, 20, 20]
+    assert C.join_brute(rows[5::2])[0][2] == 30
+    assert C.ordered(ngram_join.near_copies(C.frame(spark, rows, extra=True)).collect()) == C.ordered(want)
+
+
 def test_decontamination_catches_reordered_passages(spark):
     rng = random.Random(7)
     item = [f"item{k}" for k in range(40)]
