@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from lumicat.session import tune
 from lumicat.sources.snapshots import stage
 
-__all__ = ["fanout", "filter_rows", "ready", "rows_of", "stage", "table"]
+__all__ = ["fanout", "filter_rows", "ready", "release", "rows_of", "stage", "table"]
 
 #: Rows of one Arrow batch. Texts are whole, so a batch holds that many texts.
 BATCH_ROWS = "512"
@@ -32,6 +34,14 @@ def fanout(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: its Python worker goes on with other tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(trim := ctypes.CDLL(libc), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 def rows_of(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, and no others: extra columns never meet the operator's own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -9,11 +9,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lumicat.llm.words import U64, mix
 
 MIN_BITS, MAX_BITS = 1 << 16, 1 << 28
-SLICES = 64
+SLICES, LOTS = 64, 32
 
 
 class Bitmap:
@@ -54,7 +55,9 @@ def bitmap(ids: DataFrame, count: int) -> Bitmap:
 
     form = "slice int, bits binary"
     out = np.zeros(size // 8, np.uint8)
-    for row in ids.mapInArrow(mark, form).groupBy("slice").applyInArrow(merge, form).collect():
+    # in two steps, so that no task holds what all tasks have sent for a slice
+    some = ids.mapInArrow(mark, form).withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(LOTS))).groupBy("slice", "lot").applyInArrow(merge, form)
+    for row in some.groupBy("slice").applyInArrow(merge, form).collect():
         out[row.slice * part // 8: (row.slice + 1) * part // 8] = np.frombuffer(row.bits, np.uint8)
     return Bitmap(out)
 

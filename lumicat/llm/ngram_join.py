@@ -4,8 +4,8 @@ N-grams have one global order: rare before frequent. The order is cut into ``FRA
 into segments, one per piece. The overlap of two documents is counted in each fragment apart and summed per pair.
 
 1. Each text gives its set size and a class: the hash of its set. Equal sets are one class, so copies cost nothing below.
-   N-grams that are frequent within a task are reported and, summed, go to the end of the order (``HOT`` of them at most;
-   the order decides about speed only).
+   Tasks count n-grams in a sketch of fixed size; the sum of all tasks' sketches gives each n-gram a frequency and so its place
+   in the order, however the documents are dealt (the order decides about speed only).
 2. Each class gives its prefix: so many of its first n-grams that two linked sets must share one of them. Equal n-grams
    meet; what stays alone is dropped. In ``ROUNDS`` rounds each n-gram names one of its classes per order of size as hub: the
    one that shares most of its prefix with others (as the source of a group of copies does), later also one at random. Each class
@@ -22,6 +22,7 @@ Links within a component that step 2 found are not listed, links between differe
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumicat.llm import words as W
-from lumicat.llm.base import fanout, filter_rows, rows_of, stage
+from lumicat.llm.base import fanout, filter_rows, release, rows_of, stage
 from lumicat.llm.bitmap import Bitmap, bitmap
 from lumicat.llm.components import components
 
@@ -39,11 +40,12 @@ PERCENT = 75
 FRAGMENTS = 8
 #: Fragments that are compared before the others.
 FIRST = 2
-#: Length of the list of frequent n-grams, the count within one block of a task from which one is reported, and a block's n-grams.
-HOT, LOCAL_HOT, BLOCK = 65_536, 8, 4_000_000
+#: The sketch of n-gram frequencies: tables, counters of each, counters of a slice; n-grams that a task counts at a time; lots of tasks.
+ROWS, CELLS, SLICE, BLOCK, LOTS = 2, 1 << 20, 1 << 14, 500_000, 32
+#: Prefix n-grams that a task deals out or lets meet at a time.
+RANGE = 1_000_000
 #: Rounds of stars; a hub has to be named by so many n-grams, as a share of the set. Both decide about the work left to step 3 only.
 ROUNDS, NAMED = 2, 0.1
-TOP = W.U64(1) << W.U64(63)
 FAR = 65_535
 
 
@@ -72,15 +74,11 @@ def _prefix_length(n: int, percent: int) -> int:
 
 
 def _profile(docs: DataFrame, n: int) -> DataFrame:
-    """One row per document (doc_id, n_shingles, class) and rows with a task's frequent n-grams (class null)."""
-
-    def frequent(held):
-        token, count = np.unique(np.concatenate(held), return_counts=True)
-        at = count >= LOCAL_HOT
-        return pa.array([np.stack((token[at], count[at].astype(W.U64))).tobytes()], pa.binary())
+    """One row per document (doc_id, n_shingles, class), and rows with a task's counts of n-grams for the sketch (class null)."""
+    names = ["doc_id", "n_shingles", "class", "slice", "counts"]
 
     def run(batches):
-        held, size, kind = [], 0, None
+        sketch, held, size, kind = Sketch.empty(), [], 0, None
         for batch in batches:
             kind, lengths, classes = batch.column(0).type, [], []
             for got in sets(batch.column(1), n):
@@ -89,58 +87,117 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
                 held.append(got)
                 size += len(got)
                 if size > BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), frequent(held)], names)
+                    Sketch.add(sketch, np.concatenate(held))
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(len(lengths), pa.binary())], names)
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), frequent(held)], names)
-
-    names = ["doc_id", "n_shingles", "class", "frequent"]
-    return rows_of(docs, "doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class long, frequent binary")
+            rows = len(lengths)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+        if kind is not None:
+            if size:
+                Sketch.add(sketch, np.concatenate(held))
+            at, packed = Sketch.slices(sketch)
+            none = len(at)
+            yield pa.RecordBatch.from_arrays([pa.nulls(none, kind), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.array(at, pa.int32()), pa.array(packed, pa.binary())], names)
+        release()
+
+    return rows_of(docs, "doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles long, class long, slice int, counts binary")
+
+
+class Sketch:
+    """How often n-grams occur, from above: ``ROWS`` tables of ``CELLS`` counters. An n-gram adds to one counter of each; its frequency is the
+    smallest of them. Counters of all tasks are summed, so the estimate does not depend on how the documents are dealt."""
+
+    @staticmethod
+    def empty() -> np.ndarray:
+        return np.zeros((ROWS, CELLS), np.int64)
+
+    @staticmethod
+    def cells(tokens: np.ndarray) -> Iterator[np.ndarray]:
+        bits = W.U64(CELLS.bit_length() - 1)
+        yield (tokens & W.U64(CELLS - 1)).astype(np.int64)
+        for row in range(1, ROWS):
+            yield (tokens * W.U64(W.BASE + 2 * row) >> (W.U64(64) - bits)).astype(np.int64)
+
+    @staticmethod
+    def add(sketch: np.ndarray, tokens: np.ndarray) -> None:
+        for row, at in enumerate(Sketch.cells(tokens)):
+            sketch[row] += np.bincount(at, minlength=CELLS)
+
+    @staticmethod
+    def slices(sketch: np.ndarray) -> tuple[list[int], list[bytes]]:
+        """The slices that hold anything: few counters as places and counts, many as they are, in as few bytes as the largest takes."""
+        at, packed = [], []
+        for k, part in enumerate(sketch.reshape(-1, SLICE)):
+            most = int(part.max())
+            if most:
+                kind = next(x for x in "1248" if most < 1 << 8 * int(x))
+                used = np.flatnonzero(part)
+                if len(used) * (2 + int(kind)) < SLICE * int(kind):
+                    packed.append(b"s" + kind.encode() + used.astype("<u2").tobytes() + part[used].astype(f"<u{kind}").tobytes())
+                else:
+                    packed.append(b"d" + kind.encode() + part.astype(f"<u{kind}").tobytes())
+                at.append(k)
+        return at, packed
+
+    @staticmethod
+    def summed(packed) -> np.ndarray:
+        total = np.zeros(SLICE, np.int64)
+        for value in packed:
+            value = value.as_py()
+            kind = int(value[1:2])
+            if value[:1] == b"s":
+                some = (len(value) - 2) // (2 + kind)
+                total[np.frombuffer(value, "<u2", some, 2)] += np.frombuffer(value, f"<u{kind}", some, 2 + 2 * some).astype(np.int64)
+            else:
+                total += np.frombuffer(value, f"<u{kind}", SLICE, 2).astype(np.int64)
+        return total
 
 
-def _frequent(profile: DataFrame) -> np.ndarray:
-    """The most frequent n-grams, most frequent last; at most ``HOT``."""
+def _sketched(profile: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counters; ``ROWS`` * ``CELLS`` of them reach the driver."""
 
-    def unpack(batches):
-        for batch in batches:
-            for value in batch.column(0):
-                token, count = np.frombuffer(value.as_py(), W.U64).reshape(2, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], ["token", "count"])
+    def merge(key, slices):
+        at, packed = Sketch.slices(Sketch.summed(slices["counts"]))
+        return pa.table({"slice": pa.array([key[0].as_py()] * len(at), pa.int32()), "counts": pa.array(packed, pa.binary())})
 
-    rows = profile.where("class IS NULL").select("frequent").mapInArrow(unpack, "token long, count long")
-    top = rows.groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(HOT).select("token").toArrow()
-    return np.ascontiguousarray(top["token"].to_numpy()[::-1]).view(W.U64) if top.num_rows else np.zeros(0, W.U64)
+    form = "slice int, counts binary"
+    rows = profile.where("class IS NULL AND slice IS NOT NULL").select("slice", "counts")
+    # in two steps, so that no task holds what all tasks have sent for a slice
+    some = rows.withColumn("lot", F.pmod(F.spark_partition_id(), F.lit(LOTS))).groupBy("slice", "lot").applyInArrow(merge, form)
+    sketch = Sketch.empty()
+    for row in some.groupBy("slice").applyInArrow(merge, form).collect():
+        sketch.reshape(-1, SLICE)[row.slice] = Sketch.summed([pa.scalar(bytes(row.counts), pa.binary())])
+    return sketch
 
 
 class Order:
-    """The global order of n-grams as a number: those on the list after all others, by their place there."""
-
-    def __init__(self, frequent: np.ndarray):
-        self.place = np.argsort(frequent)
-        self.token = frequent[self.place]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(frequent >> W.U64(44)).astype(np.int64)] = True
+    """The global order of n-grams as a number: rare before frequent by the sketch (in steps of a quarter of a power of two), then by hash."""
+
+    def __init__(self, sketch: np.ndarray):
+        self.step = np.minimum(np.floor(4 * np.log2(np.maximum(sketch, 1))), 127).astype(np.uint8)
+        # the order is cut where the n-grams before reach the next share of all
+        mass = np.bincount(self.step[0], weights=sketch[0], minlength=128)
+        before = np.cumsum(mass) - mass
+        wanted = mass.sum() * np.arange(1, FRAGMENTS) / FRAGMENTS
+        level = np.searchsorted(before, wanted, side="right") - 1 if mass.sum() else np.zeros(FRAGMENTS - 1, np.int64)
+        share = np.clip((wanted - before[level]) / np.maximum(mass[level], 1), 0, 1 - 2.0**-50)
+        self.cuts = (level.astype(W.U64) << W.U64(57)) + (share * 2.0**57).astype(W.U64)
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        out = tokens >> W.U64(1)
-        at = np.flatnonzero(self.maybe[(tokens >> W.U64(44)).astype(np.int64)])
-        if len(at):
-            near = np.minimum(np.searchsorted(self.token, tokens[at]), len(self.token) - 1)
-            hit = self.token[near] == tokens[at]
-            out[at[hit]] = TOP | self.place[near[hit]].astype(W.U64)
-        return out
+        step = None
+        for row, at in enumerate(Sketch.cells(tokens)):
+            step = self.step[row][at] if step is None else np.minimum(step, self.step[row][at])
+        return step.astype(W.U64) << W.U64(57) | tokens >> W.U64(7)
 
     def fragments(self, tokens: np.ndarray) -> np.ndarray:
-        """The frequent ones are the last fragment, the others are cut evenly."""
-        keys = self.keys(tokens)
-        return np.where(keys >= TOP, FRAGMENTS - 1, (keys >> W.U64(32)) * W.U64(FRAGMENTS - 1) >> W.U64(31)).astype(np.int64)
+        return np.searchsorted(self.cuts, self.keys(tokens), side="right")
 
 
-def _postings(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
-    """token, class, n, place: prefix n-grams that several classes have. ``place``: from 0 in the class's order, at most ``FAR``."""
+def _postings(docs: DataFrame, order: Order, n: int, percent: int, total: int) -> DataFrame:
+    """token, class, n, place: prefix n-grams that several classes have. ``place``: from 0 in the class's order, at most ``FAR``.
+    ``total``: size of all sets. N-grams meet in ranges of about ``RANGE`` of them, one at a time in a task."""
     spark = docs.sparkSession
-    parts = fanout(spark)
+    tasks = fanout(spark)
+    parts = tasks * max(1, -(-total * (100 - percent) // (100 * tasks * RANGE)))
 
     def deal(tokens, places, owners, classes, sizes):
         tokens, places, owners = np.concatenate(tokens), np.concatenate(places), np.concatenate(owners)
@@ -173,25 +230,32 @@ def _postings(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
                 classes.append(key)
                 sizes.append(len(got))
                 held += len(tokens[-1])
-                if held > 1_000_000:
+                if held > RANGE:
                     yield from deal(tokens, places, owners, classes, sizes)
                     tokens, places, owners, classes, sizes, held = [], [], [], [], [], 0
         if held:
             yield from deal(tokens, places, owners, classes, sizes)
+        release()
 
     def meet(batches):
-        found = [[], [], [], []]
+        found, now = [[], [], [], []], None
         for batch in batches:
-            for tokens, places, owner, classes, sizes in zip(*(batch.column(k) for k in range(1, 6))):
+            for part, tokens, places, owner, classes, sizes in zip(*batch.columns):
+                if part != now and found[0]:
+                    yield from meet_range(*(np.concatenate(x) for x in found))
+                    found = [[], [], [], []]
+                now = part
                 owner = np.frombuffer(owner.as_py(), np.uint32)
                 found[0].append(np.frombuffer(tokens.as_py(), W.U64))
                 found[1].append(np.frombuffer(classes.as_py(), np.int64)[owner])
                 found[2].append(np.frombuffer(sizes.as_py(), np.int32)[owner])
                 found[3].append(np.frombuffer(places.as_py(), np.uint16))
-        if not found[0]:
-            return
-        token, key, size, place = (np.concatenate(x) for x in found)
+        if found[0]:
+            yield from meet_range(*(np.concatenate(x) for x in found))
         del found
+        release()
+
+    def meet_range(token, key, size, place):
         # only tokens that several rows have; then one row per token and class
         by = np.argsort(token)
         same = token[by[1:]] == token[by[:-1]]
@@ -211,7 +275,7 @@ def _postings(docs: DataFrame, order: Order, n: int, percent: int) -> DataFrame:
 
     return (
         rows_of(docs, "text").mapInArrow(send, "part int, tokens binary, places binary, owner binary, classes binary, sizes binary")
-        .repartitionById(parts, "part").mapInArrow(meet, "token long, class long, n int, place int")
+        .repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part").mapInArrow(meet, "token long, class long, n int, place int")
     )
 
 
@@ -299,14 +363,15 @@ def near_copies(docs: DataFrame, *, n: int = N, percent: int = PERCENT) -> DataF
     nothing else is in it. An empty table gives no rows.
     """
     profile = stage(_profile(docs, n))
-    order = Order(_frequent(profile))
+    order = Order(_sketched(profile))
     rows = profile.where("class IS NOT NULL").select("doc_id", "n_shingles", "class")
     classes = stage(rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").cast("int").alias("n")))
 
     def linked(pairs):
         return stage(linked_pairs(docs, pairs, classes, order, n, percent).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    postings = stage(_postings(docs, order, n, percent))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    postings = stage(_postings(docs, order, n, percent, total))
     postings = stage(postings.join(postings.groupBy("class").agg(F.count("*").cast("int").alias("several")), "class"))
     rich = postings.withColumn("shared", F.col("several") / F.col("n")).where(F.col("shared") >= NAMED)
     known = None
