@@ -26,6 +26,8 @@ from lumicat.llm.base import filter_rows, rows_of, stage
 MINIMUM = 5
 COVERAGE = 0.6
 BLOCK_WORDS = 2_000_000
+#: Pairs of places in a text and in items that are listed at a time.
+PLACES = 2_000_000
 
 
 class Block(NamedTuple):
@@ -72,15 +74,35 @@ def blocks(benchmark: DataFrame, minimum: int = MINIMUM) -> Iterator[Block]:
         yield _block(items.where(F.pmod(F.xxhash64("_item"), F.lit(count)) == k).orderBy("_item", "_text").toArrow(), minimum)
 
 
-def tiles(item: np.ndarray, text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], minimum: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling: (place in item, place in text, words) of the tiles. ``seeds``: places where ``minimum`` words agree.
-    Of matches of one length the first in the item goes first, then the first in the text."""
-    p, t = seeds
+def runs_of(p: np.ndarray, t: np.ndarray, minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, place in item and place in text of each run of seeds that follow each other in both."""
     by = np.lexsort((p, t - p))
     p, t = p[by], t[by]
     head = np.flatnonzero(np.concatenate(([True], (np.diff(t - p) != 0) | (np.diff(p) != 1))))
-    runs = np.diff(np.append(head, len(p))) + minimum - 1
-    heap = [(-n, a, b) for n, a, b in zip(runs.tolist(), p[head].tolist(), t[head].tolist())]
+    return np.diff(np.append(head, len(p))) + minimum - 1, p[head], t[head]
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of stretches of the text, put together where one goes on in the next stretch."""
+    if len(parts) == 1:
+        return parts[0]
+    n, p, t = (np.concatenate(x) for x in zip(*parts))
+    by = np.lexsort((p, t - p))
+    n, p, t = n[by], p[by], t[by]
+    # a run of n words has n - minimum + 1 seeds
+    goes_on = (np.diff(t - p) == 0) & (p[1:] == p[:-1] + n[:-1] - minimum + 1)
+    head = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    return np.add.reduceat(n - minimum + 1, head) + minimum - 1, p[head], t[head]
+
+
+def tiles(item: np.ndarray, text: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], minimum: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling: (place in item, place in text, words) of the tiles. ``seeds``: places where ``minimum`` words agree.
+    Of matches of one length the first in the item goes first, then the first in the text."""
+    return _tiled(item, text, runs_of(*seeds, minimum), minimum)
+
+
+def _tiled(item: np.ndarray, text: np.ndarray, runs: tuple[np.ndarray, np.ndarray, np.ndarray], minimum: int) -> list[tuple[int, int, int]]:
+    heap = [(-n, a, b) for n, a, b in zip(*(x.tolist() for x in runs))]
     heapq.heapify(heap)
     marked_p, marked_t, out = np.zeros(len(item), bool), np.zeros(len(text), bool), []
     while heap:
@@ -108,27 +130,40 @@ def _match(hashes: np.ndarray, block: Block, minimum: int, coverage: float) -> l
     at, lo, count = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
     if not len(at):
         return []
-    text_at = np.repeat(at, count)
-    item_at = block.places[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-    owner = np.searchsorted(block.begins, item_at, side="right") - 1
-    by = np.argsort(owner, kind="stable")
-    owner, item_at, text_at = owner[by], item_at[by], text_at[by]
-    heads = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+    # places of a seed in the items, a bounded number of (text, item) places at a time: repeated words match everywhere
+    under, runs, reach = {}, {}, {}
+    ends = np.cumsum(count)
+    x = 0
+    while x < len(at):
+        y = max(x + 1, int(np.searchsorted(ends, (ends[x - 1] if x else 0) + PLACES, side="right")))
+        some = count[x:y]
+        text_at = np.repeat(at[x:y], some)
+        item_at = block.places[np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(lo[x:y], some)]
+        owner = np.searchsorted(block.begins, item_at, side="right") - 1
+        by = np.argsort(owner, kind="stable")
+        owner, item_at, text_at = owner[by], item_at[by], text_at[by]
+        heads = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+        for i, j in zip(heads, heads[1:] + [len(owner)]):
+            k = int(owner[i])
+            a = int(block.begins[k])
+            runs.setdefault(k, []).append(runs_of(item_at[i:j] - a, text_at[i:j], minimum))
+            first, last = reach.get(k, (len(hashes), 0))
+            reach[k] = min(first, int(text_at[i:j].min())), max(last, int(text_at[i:j].max()) + minimum)
+            covered = under.setdefault(k, np.zeros(int(block.begins[k + 1]) - a, bool))
+            covered[np.unique(item_at[i:j] - a)] = True
+        x = y
     found: dict[int, tuple[float, int, int]] = {}
     best = 0.0
-    for x, y in zip(heads, heads[1:] + [len(owner)]):
-        k = int(owner[x])
+    for k in sorted(runs):
         a, b = int(block.begins[k]), int(block.begins[k + 1])
         # no tile can cover more than the seeds do
-        under = np.zeros(b - a + 1, np.int64)
-        np.add.at(under, item_at[x:y] - a, 1)
-        np.add.at(under, item_at[x:y] - a + minimum, -1)
-        most = float((np.cumsum(under[:-1]) > 0).sum()) / (b - a)
+        most = float((np.convolve(under[k], np.ones(minimum, np.int64))[: b - a] > 0).sum()) / (b - a)
         if most < coverage and most < best:
             continue
         # the part of the text that seeds reach stands for all of it
-        first, last = int(text_at[x:y].min()), int(text_at[x:y].max()) + minimum
-        parts = tiles(block.words[a:b], hashes[first:last], (item_at[x:y] - a, text_at[x:y] - first), minimum)
+        first, last = reach[k]
+        n, p, t = _joined(runs[k], minimum)
+        parts = _tiled(block.words[a:b], hashes[first:last], (n, p, t - first), minimum)
         got = (sum(n for *_, n in parts) / (b - a), int(block.ids[k]), len(parts))
         best = max(best, got[0])
         old = found.get(got[1])
