@@ -10,7 +10,10 @@
 4. Every page is read again with the paths of its host. A page that has none of them goes by itself.
 
 Parts that are never text (menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) are
-known by their tag, role, or a word of class or id. An article is one container, whatever it is built of.
+known by their tag, role, or a word of class or id. A word alone does not decide: an element stays that is or holds an article, the main
+element or the page's first heading; that has most of the text of the article it stands in; or that has most of the page's text where
+the page has neither article, main element nor heading (readers' comments go in the last two cases too). An article is one container, whatever it is
+built of.
 """
 
 from __future__ import annotations
@@ -18,12 +21,14 @@ from __future__ import annotations
 import hashlib
 import html as _html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm.base import stage
+from lumicat.llm.tags import RAW, tags
 from lumicat.llm.urls import host_of
 
 # fixed values: element names of the HTML standard, and words that sites name their parts with
@@ -31,33 +36,38 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split())
+HEADS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
 CONTAINER = frozenset("article body center div main section".split())
 WHOLE = frozenset("article main".split())
 NEVER = frozenset(
     "aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input map menu meter nav noframes noscript object progress search select "
     "svg template video".split())
-RAW = "script|style|textarea|title|xmp|noembed|iframe|noframes"
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = frozenset(
     "ad ads adv advert advertisement adverts adbox banner bottombar breadcrumb breadcrumbs byline comment comments cookie cookies consent disclaimer disqus footer "
     "gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination popup promo promotion recommended related "
     "reply replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe tags toolbar topbar warning widget".split())
+#: Names of parts that readers write; these go however long they are.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+#: Elements nested deeper than this are read as part of the one around.
+DEPTH = 512
 #: A class name with one of these speaks of a part that stands elsewhere ("with-sidebar").
 ABOUT = frozenset("no has with without".split())
 CLOSES = {"p": BLOCK - {"button"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"},
           "option": {"option", "optgroup"}, "head": {"body"}}
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</?(?P<odd>[a-z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.I | re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DIGITS = re.compile(r"\d+")
 _PART = re.compile(r"[a-z]+")
 
 
-def _is_part(name: str) -> bool:
-    words = _PART.findall(name)
-    return not WORDS.isdisjoint(words) and ABOUT.isdisjoint(words)
+class _Suspect:
+    """An element that is named like a part that is no text: the suspect around it, the article around it, and what it holds."""
+
+    __slots__ = ("around", "article", "readers", "main", "size")
+
+    def __init__(self, around: int, article: int, readers: bool):
+        self.around, self.article, self.readers, self.main, self.size = around, article, readers, False, 0
 
 
 class Page:
@@ -66,25 +76,48 @@ class Page:
     def __init__(self, html: str):
         self.parents, self.paths, self.blocks, self.whole = [-1], [""], [], set()
         self._text, self._linked = [], 0
-        # open elements: tag, container, never text, inside an article
-        self._open = [("", 0, False, False)]
+        self._suspects, self._articles, self._of, self._headed = [_Suspect(-1, -1, False)], [0], [], False
+        self._names: dict = {}
+        # open elements: tag, container, never text, article (0: none), suspect (0: none)
+        self._open = [("", 0, False, 0, 0)]
+        self._count: Counter = Counter()
         at = 0
-        for m in _TOKEN.finditer(html):
-            if m.start() > at:
-                self._say(html[at: m.start()])
-            at = m.end()
-            tag = m["tag"] or m["odd"]
-            if tag:
-                tag = tag.lower()
-                if m["end"] or m[0].startswith("</"):
-                    self._close(tag)
-                else:
-                    self._start(tag, m["rest"] or "")
-            elif m["raw"]:
-                self._flush() if m["raw"].lower() in BLOCK else None
+        for tag in tags(html):
+            if tag.start > at:
+                self._say(html[at: tag.start])
+            at = tag.end
+            if tag.name in RAW and not tag.closing:
+                if tag.name in BLOCK:
+                    self._flush()
+            elif tag.closing:
+                self._close(tag.name)
+            elif tag.name:
+                self._start(tag.name, tag.rest)
         if at < len(html):
             self._say(html[at:])
         self._flush()
+        self._judge()
+
+    def _judge(self):
+        """Take out the blocks inside suspects that nothing speaks for."""
+        total, outside = sum(len(text) for _, text, _ in self.blocks), any(s.main for s in self._suspects)
+        for (_, text, _), (suspect, article) in zip(self.blocks, self._of):
+            if article:
+                self._articles[article] += len(text)
+            while suspect:
+                self._suspects[suspect].size += len(text)
+                suspect = self._suspects[suspect].around
+        gone = [False]
+        for s in self._suspects[1:]:
+            stays = s.main or not s.readers and (2 * s.size > self._articles[s.article] if s.article else not outside and 2 * s.size > total)
+            gone.append(gone[s.around] or not stays)
+        self.blocks = [b for b, (suspect, _) in zip(self.blocks, self._of) if not gone[suspect]]
+
+    def _speaks(self, suspect: int):
+        """All suspects around hold the article, the main element or the first heading; the page (0) has one."""
+        while suspect >= 0 and not self._suspects[suspect].main:
+            self._suspects[suspect].main = True
+            suspect = self._suspects[suspect].around
 
     def _say(self, text: str):
         if not self._open[-1][2]:
@@ -96,7 +129,9 @@ class Page:
         if self._text:
             text = " ".join(_html.unescape("".join(self._text)).split())
             if text:
-                self.blocks.append((self._open[-1][1], text, self._linked))
+                _, here, _, article, suspect = self._open[-1]
+                self.blocks.append((here, text, self._linked))
+                self._of.append((suspect, article))
             self._text, self._linked = [], 0
 
     def _start(self, tag: str, rest: str):
@@ -108,17 +143,17 @@ class Page:
         if block:
             self._flush()
             while len(self._open) > 1 and tag in CLOSES.get(self._open[-1][0], ()):
-                self._open.pop()
+                self._cut(len(self._open) - 1)
             if self._open[-1][0] not in BLOCK:  # an inline element left open does not hold blocks
                 k = len(self._open) - 1
                 while k and self._open[k][0] not in BLOCK:
                     k -= 1
                 if tag in CLOSES.get(self._open[k][0], ()):
-                    del self._open[k:]
-        if tag in VOID:
+                    self._cut(k)
+        if tag in VOID or len(self._open) > DEPTH:
             return
-        _, here, never, article = self._open[-1]
-        named, whole = [], False
+        _, here, never, article, suspect = self._open[-1]
+        named, whole = [], tag in WHOLE
         if rest:
             for m in _ATTRIBUTE.finditer(rest):
                 value = (m[2] or m[3] or m[4] or "").lower()
@@ -127,23 +162,48 @@ class Page:
                     whole = whole or value == "main"
                 else:
                     named += value.split()
-        never = never or tag in NEVER or tag == "header" and not article or tag not in ("html", "body", "main") and any(_is_part(n) for n in named)
-        if not never and not article and (tag in CONTAINER or whole):
-            self.parents.append(here)
-            self.paths.append(f"{self.paths[here]}>{'.'.join([tag, *sorted({_DIGITS.sub('#', n) for n in named})])}")
-            here = len(self.paths) - 1
-            if tag in WHOLE or whole:
-                self.whole.add(self.paths[here])
-        self._open.append((tag, here, never, article or whole or tag in WHOLE))
+        never = never or tag in NEVER or tag == "header" and not article
+        if not never:
+            # headings and headers of an article are its own, whatever they are called
+            if not whole and tag not in ("html", "body") and not (article and tag in HEADS):
+                hits = {w for n in named if ABOUT.isdisjoint(words := set(_PART.findall(n))) for w in words & WORDS}
+                if hits:
+                    self._suspects.append(_Suspect(suspect, article, not READERS.isdisjoint(hits)))
+                    suspect = len(self._suspects) - 1
+            if whole or tag == "h1" and not self._headed:
+                self._headed = self._headed or tag == "h1"
+                self._speaks(suspect)
+            if not article and (tag in CONTAINER or whole):
+                name = ".".join([tag, *sorted({_DIGITS.sub("#", n) for n in named})])
+                path = self._names.get((self.paths[here], name))
+                if path is None:
+                    path = self._names[self.paths[here], name] = f"{self.paths[here]}>{name}"
+                self.parents.append(here)
+                self.paths.append(path)
+                here = len(self.paths) - 1
+                if whole:
+                    self.whole.add(path)
+            if whole and not article:
+                self._articles.append(0)
+                article = len(self._articles) - 1
+        self._open.append((tag, here, never, article, suspect))
+        self._count[tag] += 1
+
+    def _cut(self, k: int):
+        for element in self._open[k:]:
+            self._count[element[0]] -= 1
+        del self._open[k:]
 
     def _close(self, tag: str):
         if tag in VOID:
             return
         if tag in BLOCK:
             self._flush()
+        if not self._count[tag]:
+            return
         for k in range(len(self._open) - 1, 0, -1):
             if self._open[k][0] == tag:
-                del self._open[k:]
+                self._cut(k)
                 return
             if tag not in BLOCK and self._open[k][0] in BLOCK:
                 return  # the end of an inline element does not reach out of its block

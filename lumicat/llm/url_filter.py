@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.llm.base import stage
+from lumicat.llm.tags import without_tags
 from lumicat.llm.urls import host_of, path_of
 
 # fixed values: (verdict, host, path), and words that names of unwanted sites are made of
@@ -35,7 +36,6 @@ WEAK = frozenset("ad bet click clicks crack farm free cheap track win winner hac
 SEED_SHARE = 1e-5  # of all words, that a seed word counts for at least
 LONGEST = 24
 SMOOTH = 1.0
-_TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", re.I | re.S)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -51,7 +51,7 @@ def word_counts(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found = Counter()
             for page in batch.column(0):
-                found.update(_WORD.findall(_TAG.sub(" ", page.as_py()).lower()))
+                found.update(_WORD.findall(without_tags(page.as_py()).lower()))
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     return pages.select("html").where("html IS NOT NULL").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
