@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from lumicat.llm import html_extract, url_filter, warc
+from lumicat.llm import html_extract, tags, url_filter, warc
 from lumicat.llm.base import ready
 
 HTML = """<html><head><title>t</title><style>x</style></head><body><header>Site</header><nav><a href=/>menu</a></nav><div id="c-{k}"><div class="entry post-{k}">
@@ -90,6 +90,42 @@ def test_real_pages_next_to_a_plain_reading(spark):
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def test_a_word_of_a_class_does_not_decide_alone(spark):
+    body = "what the article says at some length " * 6
+    text = " ".join(body.split())
+    shapes = [
+        ('<div class="content-sidebar-wrap"><main><article><h1>T {k}</h1><p>{b} {k}</p></article></main><aside>no</aside></div>', "T {k}\n{t} {k}"),
+        ('<div class="box">teaser text</div><article class="post category-cookies tag-share"><h1>T {k}</h1><p>{b} {k}</p></article>', "T {k}\n{t} {k}"),
+        ('<article><header class="entry-header"><h1>T {k}</h1></header><p>{b} {k}</p></article>', "T {k}\n{t} {k}"),
+        ('<article><header class="post-header"><h2 class="header">T {k}</h2></header><p>{b} {k}</p></article>', "T {k}\n{t} {k}"),
+        ('<article><h1>T {k}</h1><div class="article-tags-and-text"><p>{b} {k}</p></div><div class="social share">no</div></article>', "T {k}\n{t} {k}"),
+        ('<div class="wrapper has-sidebar"><div class="main-nav-body"><h1>T {k}</h1><p>{b} {k}</p></div><div class="sidebar"><p>no</p></div></div>', "T {k}\n{t} {k}"),
+        ('<article><h1>T {k}</h1><p>{b} {k}</p></article><div class="comments"><p>{b} {b} {b} no</p></div>', "T {k}\n{t} {k}"),
+        ('<article><h1>T {k}</h1><p>{b} {k}</p><div class="comments"><p>{b} {b} {b} no</p></div></article>', "T {k}\n{t} {k}"),
+    ]
+    given = [(10 * s + k, f"http://s{s}.example/{k}", f"<html><body>{shape.format(k=k, b=body)}<footer>no</footer>") for s, (shape, _) in enumerate(shapes) for k in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages(spark, given)).collect()}
+    assert got == {10 * s + k: want.format(k=k, t=text) for s, (_, want) in enumerate(shapes) for k in range(6)}
+
+
+def test_broken_pages_take_time_with_their_length():
+    import time
+
+    for part, after in (('<a "', ""), ("<a ", ""), ("<script ", ""), ("<script>", ""), ('<a ">" ', ""), ("<b>", "</i>" * 300_000), ("<div>", "x"), ("<a<a", ">"), ("<!--", ""), ("<a \"'>", ""), ('<p class="comments">', "x")):
+        page = part * (1_000_000 // len(part)) + after
+        began = time.process_time()
+        html_extract.Page(page).own_text()
+        tags.without_tags(page)
+        assert time.process_time() - began < 10, part
+
+
+def test_tags_of_a_page():
+    page = "a<B x='>'>b<!-- <p> -->c</B ><script>if (a<b) '</p>'</script >d<1 e< f<!doctype x>g<i y=\"h>k"
+    assert [(t.name, t.closing) for t in tags.tags(page)] == [("b", False), ("", False), ("b", True), ("script", False), ("", False), ("i", False)]
+    assert tags.without_tags(page) == "a b c  d<1 e< f g k"
+    assert tags.without_tags("") == "" and tags.without_tags("<script>never closed <p>") == " "
+
+
 def test_urls(spark):
     given = [
         (1, "http://WWW.Example.NET/en/1?x#y", ""), (2, "https://a.example.net/fr/1", ""), (3, "http://badexample.net/en/", ""), (4, "http://x.example.com/de/1", ""),

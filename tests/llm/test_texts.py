@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -246,7 +247,77 @@ def test_wrong_joins_are_repaired(monkeypatch):
     plain, coder = Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.default_path())
     text = C.prose(random.Random(10), 3_000).encode()
     real = coder._learn
-    monkeypatch.setattr(coder, "_learn", lambda words: {w: (b"\0\0\0\0" if w == b"w1" else x[0], x[1]) for w, x in real(words).items()})
+
+    def wrong(words):
+        ids, said = real(words)
+        return ids | {w: b"\0\0\0\0" for w in ids if w == b"w1"}, said
+
+    monkeypatch.setattr(coder, "_learn", wrong)
     joined = coder.encode([text])[0][0]
     assert len(bpe.cuts(np.frombuffer(text, np.uint8))[0]) > 5
     assert np.frombuffer(joined, "<u4").tolist() == plain.encode(text.decode(), add_special_tokens=False).ids
+
+
+def test_windows_widen_until_they_agree():
+    from tokenizers import Tokenizer
+
+    plain, coder = Tokenizer.from_file(bpe.default_path()), bpe.Encoder(bpe.default_path())
+    for text in ("one two three", "<|endof text|> a <|startoftext|> b", "", "a\u0301 e\u0301 " * 50):
+        ids, said = coder._widened(text.lower().encode())
+        want = plain.encode(text.lower(), add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and said == plain.decode(want, skip_special_tokens=False)
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    file = json.load(open(bpe.default_path(), encoding="utf-8"))
+    for change in (lambda f: f["normalizer"]["normalizers"].pop(), lambda f: f["model"].update(end_of_word_suffix=None), lambda f: f.update(decoder={"type": "ByteLevel"}),
+                   lambda f: f["pre_tokenizer"]["pretokenizers"].pop()):
+        other = json.loads(json.dumps(file))
+        change(other)
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(other), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Encoder(str(path))
+
+
+def test_the_order_does_not_depend_on_how_documents_are_dealt(spark):
+    rng = random.Random(12)
+    passages = [C.prose(rng, 60) for _ in range(20)]
+    rows = [(k, f"{C.prose(rng, 8)} {passages[rng.randrange(20) ** 2 // 20]}") for k in range(600)]
+    orders, met = [], []
+    for parts in (4, 211):
+        docs = C.frame(spark, rows).repartition(parts)
+        order = ngram_join.Order(ngram_join._sketched(ngram_join._profile(docs, 5)))
+        orders.append((order.step.tobytes(), order.cuts.tobytes()))
+        met.append(ngram_join._postings(docs, order, 5, 75, 600 * 56).groupBy("token").count().selectExpr("sum(count * (count - 1) div 2)").first()[0])
+    assert orders[0] == orders[1] and met[0] == met[1] > 0
+    shingles = list(ngram_join.sets(pa.array([t for _, t in rows])))
+    count = Counter(np.concatenate(shingles).tolist())
+    tokens = np.array(list(count), np.uint64)
+    keys = order.keys(tokens)
+    often = np.array([n for n in count.values()])
+    assert keys[often == often.max()].min() > keys[often == 1].max()
+    assert (np.bincount(order.fragments(tokens), weights=often, minlength=8) > 0).all()
+
+
+def test_ranges_meet_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RANGE", 500)
+    rows = C.awkward(3)
+    assert C.ordered(ngram_join.near_copies(C.frame(spark, rows)).collect()) == C.ordered(C.join_brute(rows))
+
+
+def test_repeated_words_take_bounded_memory(monkeypatch):
+    item, rng = ["a"] * 400, random.Random(13)
+    mixed = [rng.choice("ab") for _ in range(300)]
+    block = decontaminate._block(pa.table({"_item": pa.array([1, 2], pa.int64()), "_text": pa.array([" ".join(item), " ".join(mixed)])}), 5)
+    texts = pa.array([" ".join(["a"] * 6_000), " ".join(mixed[100:] + ["a"] * 50 + mixed[:150]), "a b"])
+    want = decontaminate.matches(texts, block, 5, 0.6)
+    assert want[0][0][:2] == (1.0, 1) and want[1][0][:2] == (1.0, 2)
+    most = []
+    real = decontaminate.runs_of
+    monkeypatch.setattr(decontaminate, "runs_of", lambda p, t, m: (most.append(len(p)), real(p, t, m))[1])
+    monkeypatch.setattr(decontaminate, "PLACES", 5_000)
+    assert decontaminate.matches(texts, block, 5, 0.6) == want
+    assert max(most) <= 5_000
