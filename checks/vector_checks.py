@@ -120,11 +120,15 @@ INDEX = vectors.HyperplaneIndex()
 PLANES = ", ".join(str(p) for p in INDEX.planes(64).T.tolist())
 
 
-@query("v8_ann_knn", f"""WITH signs AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform([{PLANES}], lambda p: CASE WHEN list_dot_product(embedding::DOUBLE[], p) > 0 THEN '1' ELSE '0' END) AS s FROM embeddings),
-    codes AS (SELECT vec_id, v, list_transform(range({INDEX.tables}), lambda t: array_to_string(s[t * {INDEX.bits} + 1:(t + 1) * {INDEX.bits}], '')) AS c FROM signs)
+@query("v8_ann_knn", f"""WITH away AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform([{PLANES}], lambda p: list_dot_product(embedding::DOUBLE[], p)) AS a FROM embeddings),
+    cut AS (SELECT vec_id, v, list_transform(range({INDEX.tables}), lambda t: a[t * {INDEX.bits} + 1:(t + 1) * {INDEX.bits}]) AS a FROM away),
+    near AS (SELECT *, list_transform(a, lambda x: list_transform(x, lambda y: CASE WHEN y > 0 THEN 1 ELSE 0 END)) AS s,
+      list_transform(a, lambda x: list_grade_up(list_transform(x, lambda y: abs(y)))[1:{INDEX.probes}]) AS n FROM cut),
+    codes AS (SELECT vec_id, v, list_transform(range(1, {INDEX.tables} + 1), lambda t: t || ':' || array_to_string(s[t], '')) AS c,
+      flatten(list_transform(range(1, {INDEX.tables} + 1), lambda t: list_transform(range(0, {INDEX.probes} + 1), lambda k: t || ':' || array_to_string(
+        list_transform(range(1, {INDEX.bits} + 1), lambda i: CASE WHEN k > 0 AND n[t][k] = i THEN 1 - s[t][i] ELSE s[t][i] END), '')))) AS asked FROM near)
     SELECT query_id, rank, id, round(d, 6) AS distance FROM (SELECT query_id, id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM
-      (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_distance(e.v, q.v), 9) AS d FROM codes q, codes e
-       WHERE len(list_filter(range(1, {INDEX.tables} + 1), lambda t: q.c[t] = e.c[t])) > 0)) WHERE rank <= 3""")
+      (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_distance(e.v, q.v), 9) AS d FROM codes q, codes e WHERE list_has_any(q.asked, e.c))) WHERE rank <= 3""")
 def v8(t):
     asked = t.embeddings.select(c("vec_id").alias("query_id"), "embedding")
     return show(vectors.ann_knn(asked, corpus(t), 3))
