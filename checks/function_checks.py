@@ -270,13 +270,16 @@ def q8(t):
     return t.orders.select("o_orderkey", validity.valid_tx_hash(name).alias("ok"))
 
 
-@query("q9_valid_deposit", """SELECT o_orderkey, o_orderkey % 5 IN (0, 4) AS ok FROM orders""")
+@query("q9_valid_deposit", """SELECT o_orderkey, o_orderkey % 8 IN (0, 4, 6) AS ok FROM orders""")
 def q9(t):
     h = F.concat(F.lit("0x"), F.substring(F.sha2(c("o_orderkey").cast("string"), 256), 1, 40))
-    r = c("o_orderkey") % 5
+    r = c("o_orderkey") % 8
+    # second chain: the wrapped coin, a wallet, a derived account beside the curve, another wallet, a point of order two
     address = F.when(r == 0, h).when(r == 1, "0x" + "0" * 40).when(
         r == 2, "0xdac17f958d2ee523a2206206994597c13d831ec7").when(
-        r == 3, "So11111111111111111111111111111111111111112").otherwise("7Np41oeYqPefeNQEHSv1UDhYrehxin3NStELsSKCT4K2")
+        r == 3, "So11111111111111111111111111111111111111112").when(r == 4, "7Np41oeYqPefeNQEHSv1UDhYrehxin3NStELsSKCT4K2").when(
+        r == 5, "7A8QpSaBFfp5oymDuiAYtVRwZacTU63fy1ap9w9bkBc4").when(r == 6, "D5x5wVFxDXgkHGRbJzY3u6PRU8JhBTsMe1cwMr1Q3uES").otherwise(
+        "Gx9dDNxzpALCowVuZb7pBceBLJugLA8sPa6TJDXrpfeW")
     return t.orders.select("o_orderkey", validity.valid_deposit(
         address, F.when(r >= 3, "solana").otherwise("ethereum")).alias("ok"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,18 +47,61 @@ def valid_account(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\A0x[0-9a-f]{40}\z"), F.lit(False))
 
 
-@F.pandas_udf(T.BooleanType())
-def _decodes_to_32_bytes(text: pd.Series) -> pd.Series:
-    def one(value) -> bool:
-        if value is None:
-            return False
-        number = 0
-        for ch in value:
-            number = number * 58 + BASE58.index(ch)
-        zeros = len(value) - len(value.lstrip("1"))
-        return zeros + (number.bit_length() + 7) // 8 == 32
+def _decode(text: str) -> bytes | None:
+    """The 32 bytes of a base58 text, or None if it has another length."""
+    number = 0
+    for ch in text:
+        number = number * 58 + BASE58.index(ch)
+    zeros, size = len(text) - len(text.lstrip("1")), (number.bit_length() + 7) // 8
+    return number.to_bytes(32, "big") if zeros + size == 32 else None
+
+
+def _each_once(test: Callable[[str], bool]):
+    """A test of texts as a column function; a text that stands several times in a batch is tested once, null is False."""
+
+    @F.pandas_udf(T.BooleanType())
+    def run(text: pd.Series) -> pd.Series:
+        place, names = pd.factorize(text)
+        answers = np.array([test(name) for name in names] + [False], dtype=bool)
+        return pd.Series(answers[place])  # null has the place -1: the last
+
+    return run
+
+
+_decodes_to_32_bytes = _each_once(lambda text: _decode(text) is not None)
+
+# fixed values: the prime field and the constant of the twisted Edwards curve -x^2 + y^2 = 1 + d x^2 y^2 (RFC 8032)
+PRIME = 2**255 - 19
+CURVE_D = -121665 * pow(121666, -1, PRIME) % PRIME
 
-    return text.map(one).astype(bool)
+
+def _sqrt_ratio(u: int, v: int) -> int | None:
+    """A square root of u / v in the field, or None; of 0 it is 0."""
+    root = u * pow(v, 3, PRIME) * pow(u * pow(v, 7, PRIME), (PRIME - 5) // 8, PRIME) % PRIME
+    check = v * root * root % PRIME
+    if check == u % PRIME:
+        return root
+    if check == -u % PRIME:
+        return root * pow(2, (PRIME - 1) // 4, PRIME) % PRIME
+    return None
+
+
+def on_curve(key: bytes) -> bool:
+    """Whether 32 bytes (little endian, the top bit is x's sign) are a point of the curve that is not of small order.
+
+    Small order means that three doublings end at the neutral point (0, 1); such a point is nobody's key."""
+    y = (int.from_bytes(key, "little") & (2**255 - 1)) % PRIME
+    x = _sqrt_ratio(y * y - 1, CURVE_D * y * y + 1)
+    if x is None:
+        return False
+    for _ in range(3):
+        xx, yy, xy = x * x % PRIME, y * y % PRIME, x * y % PRIME
+        cross = CURVE_D * xx * yy % PRIME
+        x, y = 2 * xy * pow(1 + cross, -1, PRIME) % PRIME, (yy + xx) * pow(1 - cross, -1, PRIME) % PRIME
+    return (x, y) != (0, 1)
+
+
+_is_wallet_key = _each_once(lambda text: (key := _decode(text)) is not None and on_curve(key))
 
 
 def base58_candidate(text: Column) -> Column:
@@ -67,6 +113,11 @@ def valid_second_chain(text: Column) -> Column:
     return _decodes_to_32_bytes(base58_candidate(text))
 
 
+def valid_wallet(text: Column) -> Column:
+    """Second-chain account that somebody can hold the key of: a point of the curve. Accounts derived from others lie beside it."""
+    return _is_wallet_key(base58_candidate(text))
+
+
 def valid_principal(text: Column) -> Column:
     """Q7: an account name of either chain."""
     return valid_account(text) | valid_second_chain(text)
@@ -78,7 +129,7 @@ def valid_tx_hash(text: Column) -> Column:
 
 
 def valid_deposit(address: Column, chain: Column) -> Column:
-    """Q9: a wallet that may receive deposits (curve membership is not checked)."""
+    """Q9: a wallet that may receive deposits; on the second chain its address has to be a point of the curve."""
     contracts = [a[3].lower() for a in ASSETS if a[3]] + [a[4] for a in ASSETS if a[4]]
     mints = [a[3] for a in ASSETS if a[0] == "solana" and a[3]]
     first = (
@@ -86,7 +137,7 @@ def valid_deposit(address: Column, chain: Column) -> Column:
         & ~address.rlike(r"\A0x0{40}\z")
         & ~F.lower(address).isin(*contracts)
     )
-    second = valid_second_chain(address) & ~address.isin(*CLOSED_RECIPIENTS, *mints)
+    second = valid_wallet(address) & ~address.isin(*CLOSED_RECIPIENTS, *mints)
     return F.coalesce(
         F.when(chain == "ethereum", first).when(chain == "solana", second), F.lit(False)
     )

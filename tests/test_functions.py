@@ -158,3 +158,32 @@ def test_principals(spark):
     assert values(spark, rows, "s string", validity.valid_principal(c("s"))) == [True, False, False, True, True, False, False, False]
     topics = ["0x" + "0" * 24 + "a" * 40, "0x" + "a" * 40, "0x" + "1" * 24 + "a" * 40, "a" * 40]
     assert values(spark, topics, "s string", money.topic_address(c("s"))) == ["a" * 40, "a" * 40, None, None]
+
+
+def test_wallets_are_points_of_the_curve(spark):
+    """Next to the curve's equation: multiples of the base point, their neighbours, points of small order."""
+    p, d = validity.PRIME, validity.CURVE_D
+
+    def add(a, b):
+        (x, y), (u, v) = a, b
+        k = d * x * u * y * v % p
+        return (x * v + u * y) * pow(1 + k, -1, p) % p, (y * v + x * u) * pow(1 - k, -1, p) % p
+
+    base_y = 4 * pow(5, -1, p) % p
+    base_x = validity._sqrt_ratio(base_y * base_y - 1, d * base_y * base_y + 1)
+    point, keys = (base_x, base_y), []
+    for _ in range(20):
+        keys.append((point[1] | (point[0] & 1) << 255).to_bytes(32, "little"))
+        assert (-point[0] ** 2 + point[1] ** 2 - 1 - d * point[0] ** 2 * point[1] ** 2) % p == 0
+        point = add(point, (base_x, base_y))
+    assert all(validity.on_curve(k) for k in keys)
+    for k in range(2, 40):
+        y = base_y + k
+        square = (y * y - 1) * pow(d * y * y + 1, -1, p) % p
+        assert validity.on_curve((y % p).to_bytes(32, "little")) == (pow(square, (p - 1) // 2, p) == 1)
+    assert not any(validity.on_curve(y.to_bytes(32, "little")) for y in (0, 1, p - 1, p, p + 1))
+    texts = ["7Np41oeYqPefeNQEHSv1UDhYrehxin3NStELsSKCT4K2", "7A8QpSaBFfp5oymDuiAYtVRwZacTU63fy1ap9w9bkBc4", "Gx9dDNxzpALCowVuZb7pBceBLJugLA8sPa6TJDXrpfeW", "0O", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 2)], "i int, t string")
+    got = df.select("i", validity.valid_wallet(F.col("t")).alias("wallet"), validity.valid_principal(F.col("t")).alias("known")).orderBy("i").collect()
+    assert [r.wallet for r in got] == [True, False, False, False, False, False] * 2
+    assert [bool(r.known) for r in got] == [True, True, True, False, False, False] * 2
