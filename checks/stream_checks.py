@@ -1,4 +1,4 @@
-"""Streaming jobs over files that Spark writes from the tables: S1, S6, S7, M20, M21, H3, H6, H15."""
+"""Streaming jobs over files that Spark writes from the tables: S1, S6, S7, M20, M21, H3, H6, H15, H16."""
 
 import uuid
 
@@ -55,6 +55,29 @@ def h15(t):
     return sinks.read_likes(t.spark, f"{root}/likes")
 
 
+@query("h16_scoring_rounds", with_cte("images wd_tag_images", """SELECT id, CASE WHEN NOT mine THEN status WHEN id % 8 = 5 THEN 'pending' ELSE 'completed' END AS status,
+    (attempt + CASE WHEN mine THEN 1 ELSE 0 END)::INT AS attempt, CASE WHEN mine AND id % 8 <> 5 THEN (id % 97)::DOUBLE END AS clip,
+    coalesce(n, 0) + CASE WHEN mine AND id % 8 <> 5 THEN 1 ELSE 0 END AS scores
+    FROM (SELECT *, status IN ('pending', 'processing') AND attempt <= 5 AS mine FROM images)
+    LEFT JOIN (SELECT image_id AS id, count(*) AS n FROM wd_tag_images GROUP BY ALL) USING (id)"""))
+def h16(t):
+    """Rounds over all images that wait or have got stuck; those on their last attempt fail."""
+    tables = sinks.ScoringTables(t.spark, folder(t), 16)
+    tables.begin(t.catalog)
+    vector = F.array((c("id") % 97).cast("float"))
+    bad = c("id") % 8 == 5
+
+    def score(rows):
+        tags = F.array(F.struct(F.concat(F.lit("model "), (c("id") % 40).cast("string")).alias("name"), F.lit(0.5).cast("float").alias("score")))
+        return rows.select("id", tags.alias("tags"), vector.alias("clip"), vector.alias("dinov3"), F.when(bad, "device lost").alias("error"))
+
+    waiting = t.catalog.images.where(c("status").isin("pending", "processing")).count()
+    tables.run(score, waiting // 2 + 1)
+    counts = tables.scores.read().groupBy(c("image_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.images().join(counts, "id", "left").select(
+        "id", "status", "attempt", F.get("clip", F.lit(0)).cast("double").alias("clip"), F.coalesce("n", F.lit(0)).cast("bigint").alias("scores"))
+
+
 @query("s6_object_event_stream", f"""SELECT page_id, CASE WHEN action = 'malformed' THEN CASE WHEN attempts >= 3 THEN 'dead letter' ELSE 'retry' END WHEN action = 'convert' THEN 'work' ELSE 'done' END AS route FROM ({pc.H2})""")
 def s6(t):
     root = folder(t)

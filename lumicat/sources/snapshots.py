@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumicat.catalog import DDL, Catalog
 from lumicat.session import checkpoint_dir
@@ -88,6 +89,44 @@ def read_catalog(spark: SparkSession, root: str) -> Catalog:
     })
 
 
+class Buckets:
+    """A stored table cut into ``count`` buckets by the hash of its key. The pointer names the version of each bucket; a write stores new
+    versions of the buckets that it touches and leaves the files of all others where they are. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, root: str, ddl: str, key: list[str], count: int = 64):
+        self.spark, self.root, self.ddl, self.key, self.count = spark, root.rstrip("/"), ddl, key, count
+
+    def of(self, *key: str | Column) -> Column:
+        return F.pmod(F.xxhash64(*(key or self.key)), F.lit(self.count)).cast("int")
+
+    def versions(self) -> dict[str, str]:
+        """``b<bucket>``: version, and what writers have noted."""
+        return read_pointer(self.spark, self.root)
+
+    def touched(self, rows: DataFrame, *key: str | Column) -> list[int]:
+        """The buckets that ``rows`` reach; at most ``count``."""
+        return sorted(r[0] for r in rows.select(self.of(*key).alias("b")).distinct().collect())
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        held = self.versions()
+        wanted = range(self.count) if only is None else only
+        paths = [f"{self.root}/{held[f'b{b}']}/__bucket={b}" for b in wanted if f"b{b}" in held]
+        return self.spark.read.schema(self.ddl).parquet(*paths) if paths else self.spark.createDataFrame([], self.ddl)
+
+    def replace(self, rows: DataFrame, touched: list[int], version: str, **notes: str) -> None:
+        """Make ``rows`` the content of the touched buckets. A version that a dead writer has begun is written over."""
+        where = f"{self.root}/{version}"
+        rows.withColumn("__bucket", self.of()).repartition(max(1, len(touched)), "__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(where)
+        held = self.versions() | notes
+        for b in touched:
+            _, fs, path = _fs(self.spark, f"{where}/__bucket={b}")
+            if fs.exists(path):
+                held[f"b{b}"] = version
+            else:
+                held.pop(f"b{b}", None)  # nothing is left in it
+        swap_pointer(self.spark, self.root, ",".join(f"{k}={v}" for k, v in sorted(held.items())))
+
+
 def write_metas(metas: DataFrame, path: str) -> None:
     """Metadata records as JSON, one record per line."""
     metas.select("title", "authors", "tags", "images").write.mode("errorifexists").json(path)
