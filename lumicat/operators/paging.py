@@ -24,6 +24,35 @@ def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def first_rows(df: DataFrame, major: str, minor: str, n: int, ranges: int = 1_024, small: int = BROADCAST_ROWS) -> DataFrame:
+    """The first ``n`` rows by (major, minor), both whole numbers, without a sort of them: counts per range of ``minor`` find the row that
+    is cut at, narrower ranges following until one holds few rows; then a filter takes the rest. For large ``n``; rows that
+    tie at the cut are taken in any order."""
+    check_page(n, 0)
+    left, done = n, None
+    groups = df.groupBy(major).agg(F.count(F.lit(1)).alias("n"), F.min(minor).alias("low"), F.max(minor).alias("high")).orderBy(major)
+    for g in groups.toLocalIterator():  # one row per value of ``major``
+        if g["n"] <= left:
+            left -= g["n"]
+            done = g[major]
+            continue
+        taken = df.where(F.col(major) <= done) if done is not None else df.limit(0)
+        here, low, high, count = df.where(F.col(major) == g[major]), g["low"], g["high"], g["n"]
+        first = low
+        while count > small and low < high and left:
+            width = (high - low) // ranges + 1
+            place = F.floor((F.col(minor) - F.lit(low)) / F.lit(width))
+            counts = sorted(here.where(F.col(minor).between(low, high)).groupBy(place.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect())
+            for at, count in counts:  # at most ``ranges`` rows
+                if count > left:
+                    low, high = low + at * width, min(high, low + (at + 1) * width - 1)
+                    break
+                left -= count
+        edge = here.where(F.col(minor).between(low, high)).orderBy(minor).limit(left)
+        return taken.unionByName(here.where((F.col(minor) >= first) & (F.col(minor) < low))).unionByName(edge)
+    return df
+
+
 def ranked(rows: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """Number the rows of an already limited page from 1."""
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumicat.catalog import Catalog
 from lumicat.operators.merge import complete_images, merge_names, merge_scores, reset_failed
-from lumicat.operators.paging import bounded, page
+from lumicat.operators.paging import BROADCAST_ROWS, bounded, first_rows, page
 from lumicat.sources.snapshots import stage
 
 c = F.col
@@ -27,7 +27,9 @@ def claim_work(images: DataFrame, n: int, ttl: int, now: Column) -> tuple[DataFr
     stuck = (c("status") == "processing") & (c("claimed_at") < now - F.make_interval(secs=F.lit(float(ttl))))
     priority = F.when(live & (c("status") == "pending"), 0).when(live & stuck, 1)
     ready = images.withColumn("priority", priority).where(c("priority").isNotNull())
-    claimed = page(ready.select("priority", "id", "name"), [c("priority"), c("id")], n)
+    waiting = ready.select("priority", "id", "name")
+    # a large page is cut by a filter, not by a sort of its rows in one task
+    claimed = page(waiting, [c("priority"), c("id")], n) if n <= BROADCAST_ROWS else first_rows(waiting, "priority", "id", n)
     mark = bounded(claimed.select("id", F.lit(True).alias("__mine")), n)
     hit = F.coalesce("__mine", F.lit(False))
     value = {

@@ -1,11 +1,13 @@
 """Stored tables in buckets: what a write touches, repeated batches, scoring rounds that die half way."""
 
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumicat.catalog import empty_catalog
+from lumicat.operators.paging import first_rows
 from lumicat.sources.snapshots import Buckets
 from lumicat.streaming import sinks
 
@@ -81,3 +83,15 @@ def test_scoring_rounds_in_buckets(spark, tmp_path, dies):
     want = {i: ("completed", [9.0]) if i > 20 else ("pending", None) if i % 10 == 0 else ("completed", [float(i)]) for i in range(1, 31)}
     assert got == want
     assert tables.scores.read().count() == 18 and tables.tags.read().count() == 1
+
+
+def test_the_first_rows_without_a_sort(spark):
+    rng = random.Random(4)
+    rows = [(p, i) for p in (0, 1, 2) for i in rng.sample(range(-(10**12), 10**12), 300)] + [(1, k) for k in range(400)]
+    df = spark.createDataFrame(rows, "priority int, id bigint").repartition(7)
+    for n in (0, 1, 299, 300, 301, 500, 777, 999, 1_000, 1_299, 1_300, 5_000):
+        got = sorted((r.priority, r.id) for r in first_rows(df, "priority", "id", n, ranges=8, small=20).collect())
+        assert got == sorted(rows)[:n]
+    assert first_rows(df.limit(0), "priority", "id", 5).count() == 0
+    plan = first_rows(df, "priority", "id", 900, small=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
