@@ -53,10 +53,13 @@ def cuts(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         power, inverse = W._powers(len(part) + 1)
         total = np.zeros(len(part) + 1, W.U64)
         np.cumsum(_code[part] * power[: len(part)], out=total[1:])
-        rolled = W.mix((total[WINDOW:-1] - total[: -WINDOW - 1]) * inverse[: len(part) - WINDOW])
-        at = np.flatnonzero((rolled >> W.U64(64 - CHUNK) == 0) & (part[WINDOW:] & 0xC0 != 0x80))
+        # the bytes' codes are random in all bits, so the top ones of the polynomial can decide; only what is found is mixed
+        rolled = total[WINDOW:-1] - total[: -WINDOW - 1]
+        rolled *= inverse[: len(part) - WINDOW]
+        at = np.flatnonzero(rolled < W.U64(1 << 64 - CHUNK))
+        at = at[part[WINDOW + at] & 0xC0 != 0x80]
         found.append(at + a + WINDOW)
-        hashes.append(rolled[at])
+        hashes.append(W.mix(rolled[at]))
     return np.concatenate(found), np.concatenate(hashes)
 
 
