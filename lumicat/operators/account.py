@@ -1,13 +1,16 @@
-"""The per-account metering machine: one step function for batch and stream.
+"""The account machine (H4-H13) as a transition table, shared by batch and stream.
 
-``step`` takes the account and one event and returns the decision. It is the only
-per-row Python of metering; ordering, policy lookup and pricing happen before it
-as DataFrame operations.
+``TABLE`` gives for each operation its rules in order of precedence. A rule has a
+condition on the situation, an answer and the moves that change the account; the
+first rule that holds decides. A check runs the rules of a charge with their moves
+taken out. Ordering, policy lookup and pricing happen before, as DataFrame
+operations; ``step`` is the only per-row Python of metering.
 """
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
 # fixed values: window, dedupe horizon and plan periods in seconds
 WINDOW = 5 * 3600
@@ -19,11 +22,19 @@ MAX_GRANT_DAYS = 3650
 I64_MAX, I64_MIN = 2**63 - 1, -(2**63)
 VIEW_KINDS = ("image", "video", "similar")  # the others draw from the search quota
 
+VIEWS, SEARCHES = 1, 2  # places of the two quotas in plan terms and in a window
+OPENING = ("charge", "credit", "init")  # grant the signup points if that is still to do
+
 
 def clamp64(value: int) -> int:
     return max(I64_MIN, min(value, I64_MAX))
 
 
+def elapsed(start: int | None, now: int) -> bool:
+    """H5: no window is open at ``now``."""
+    return start is None or now - start >= WINDOW
+
+
 @dataclass
 class Account:
     """Scalar state; the three collections live in a store."""
@@ -45,6 +56,22 @@ class Account:
     def dump(self) -> dict:
         return asdict(self)
 
+    @property
+    def window(self) -> tuple:
+        """(start, views, searches), so that quotas have the places of plan terms."""
+        return self.win_start, self.win_views, self.win_search
+
+    @window.setter
+    def window(self, value: tuple) -> None:
+        self.win_start, self.win_views, self.win_search = value
+
+    def on_plan(self, now: int) -> bool:
+        """A plan ends by its time, nothing has to be written for that."""
+        return self.plan is not None and now < self.period_end
+
+    def move_balance(self, by: int) -> None:
+        self.balance = clamp64(self.balance + by)
+
 
 class MemoryStore:
     """Seen keys, free resources of the day and used tokens, in memory."""
@@ -103,6 +130,8 @@ class Event:
 
 @dataclass
 class Decision:
+    """The answer. ``deducted`` is what the balance really lost."""
+
     status: int
     source: str
     charged: bool = False
@@ -114,214 +143,242 @@ class Decision:
     window_reset: int = 0
 
 
-def refund_of(price: int, remaining: int, period: int = PERIOD) -> int:
-    """C18 on plain numbers."""
-    return 0 if period == 0 else price * max(0, min(remaining, period)) // period
+def figures(a: Account, plans: dict, now: int, window: tuple | None = None) -> dict:
+    """Remaining quotas (NULL: no plan, or no limit) and the end of ``window``;
+    by default of the stored one, which counts as unused once it has elapsed."""
+    out = {"views_remaining": None, "searches_remaining": None, "window_reset": 0}
+    if not a.on_plan(now):
+        return out
+    used = window or ((None, 0, 0) if elapsed(a.win_start, now) else a.window)
+    terms = plans.get(a.plan)
+    for name, quota in (("views_remaining", VIEWS), ("searches_remaining", SEARCHES)):
+        if terms is not None and terms[quota] is not None:
+            out[name] = max(0, terms[quota] - used[quota])
+    if not elapsed(used[0], now):
+        out["window_reset"] = used[0] + WINDOW
+    return out
 
 
-def choose_source(plan, active: bool, kind: str, win_views: int, win_search: int,
-                  balance: int, cost: int) -> str:
-    """H6: where a charge that is not free draws from. ``plan`` is
-    (price, views, searches); views NULL means unlimited."""
-    if active and plan is not None:
-        _, views, searches = plan
-        if kind in VIEW_KINDS:
-            if views is None:
-                return "unlimited"
-            if win_views + cost <= views:
-                return "window"
-        elif win_search < searches:
-            return "window"
-    return "balance" if balance >= cost else "refused"
+def free_place(a: Account, store, e: Event) -> str | None:
+    """H7: ``always``, ``held`` (the resource is one of today's), ``new`` (it would take
+    a place that is left today) or None."""
+    if e.daily_free <= 0:
+        return "always" if e.daily_free < 0 else None
+    today = a.free_day == e.ts // DAY
+    if today and store.has_free(e.kind, e.key):
+        return "held"
+    return "new" if (a.free_used.get(e.kind, 0) if today else 0) < e.daily_free else None
 
 
-def must_roll(start: int | None, now: int) -> bool:
-    return start is None or now >= start + WINDOW
+def take_place(a: Account, store, e: Event) -> None:
+    """Writes down a ``new`` place. Places of an earlier day are forgotten."""
+    if a.free_day != e.ts // DAY:
+        a.free_day, a.free_used = e.ts // DAY, {}
+        store.clear_free()
+    a.free_used[e.kind] = a.free_used.get(e.kind, 0) + 1
+    store.add_free(e.kind, e.key)
 
 
-def is_active(a: Account, now: int) -> bool:
-    return a.plan is not None and a.period_end > now
+class Situation:
+    """An event and the account that it meets; what the conditions ask for."""
 
+    def __init__(self, a: Account, store, e: Event):
+        self.a, self.store, self.e, self.now = a, store, e, e.ts
+        self.before = a.balance
+        unopened = e.op == "check" and not a.init and not a.banned
+        self.funds = clamp64(a.balance + e.signup) if unopened else a.balance
+        self.place = None
 
-def figures(a: Account, plans: dict, now: int, views: int | None = None,
-            searches: int | None = None, start: int | None = None) -> dict:
-    """Remaining quota and reset time. Without explicit counters the stored
-    window is read and an elapsed one counts as fresh."""
-    active = is_active(a, now)
-    plan = plans.get(a.plan) if active else None
-    if views is None:
-        fresh = must_roll(a.win_start, now)
-        views, searches, start = (0, 0, a.win_start) if fresh else (a.win_views, a.win_search, a.win_start)
-    out = {"views_remaining": None, "searches_remaining": None, "window_reset": 0}
-    if active and plan is not None:
-        if plan[1] is not None:
-            out["views_remaining"] = max(0, plan[1] - views)
-        out["searches_remaining"] = max(0, plan[2] - searches)
-    if active and start is not None and now < start + WINDOW:
-        out["window_reset"] = start + WINDOW
-    return out
+    # ---- charges
+    def repeated(self) -> bool:
+        last = self.store.last_seen(self.e.key)
+        return last is not None and last > max(self.now - REPEAT, 0)
 
+    def included(self) -> bool:
+        """Free by its price or by the daily allowance."""
+        if self.e.price and self.e.in_scope:
+            self.place = free_place(self.a, self.store, self.e)
+        return not self.e.price or self.place is not None
 
-def use_free(a: Account, store, e: Event, write: bool) -> bool:
-    """H7: the daily free allowance of one kind."""
-    if e.daily_free == 0:
-        return False
-    if e.daily_free < 0:
-        return True
-    day = e.ts // DAY
-    today = a.free_day == day
-    if today and store.has_free(e.kind, e.key):
-        return True
-    used = a.free_used.get(e.kind, 0) if today else 0
-    if used >= e.daily_free:
-        return False
-    if write:
-        if not today:
-            a.free_day, a.free_used = day, {}
-            store.clear_free()
-        a.free_used[e.kind] = used + 1
-        store.add_free(e.kind, e.key)
+    def window(self) -> tuple:
+        """The window that counts now; it is stored only with an accepted charge."""
+        due = self.a.on_plan(self.now) and elapsed(self.a.win_start, self.now)
+        return (self.now, 0, 0) if due else self.a.window
+
+    def draw(self) -> tuple[int, int]:
+        """The quota that the kind draws from, and how much."""
+        return (VIEWS, self.e.price) if self.e.kind in VIEW_KINDS else (SEARCHES, 1)
+
+    def covered(self, unlimited: bool) -> bool:
+        """The plan pays: without a limit, or from what is left in the window."""
+        terms = self.e.plans.get(self.a.plan) if self.a.on_plan(self.now) else None
+        if terms is None:
+            return False
+        quota, amount = self.draw()
+        if unlimited or terms[quota] is None:
+            return unlimited and terms[quota] is None
+        return self.window()[quota] + amount <= terms[quota]
+
+    # ---- plans and points
+    def refund(self) -> int:
+        """C18 on what was paid for the running period."""
+        if self.a.plan not in DEFAULT_PLAN_PRICE or not self.a.on_plan(self.now):
+            return 0
+        paid = DEFAULT_PLAN_PRICE[self.a.plan] if self.a.plan_paid is None else self.a.plan_paid
+        return paid * min(self.a.period_end - self.now, PERIOD) // PERIOD
+
+    def price(self) -> int:
+        return self.e.plans[self.e.plan][0]
+
+    def net(self) -> int:
+        return self.price() - self.refund()
+
+    def token(self) -> str:
+        return f"{'plan' if self.e.op == 'grant' else self.e.op}:{self.e.token}"
+
+    def used(self) -> bool:
+        return self.store.has_token(self.token())
+
+
+# ------------------------------------------------------------------------ moves
+def _keep_place(s: Situation) -> None:
+    if s.place == "new":
+        take_place(s.a, s.store, s.e)
+
+
+def _keep_window(s: Situation) -> None:
+    s.a.window = s.window()
+
+
+def _draw_quota(s: Situation) -> None:
+    quota, amount = s.draw()
+    s.a.window = tuple(n + amount if i == quota else n for i, n in enumerate(s.window()))
+
+
+def _pay_price(s: Situation) -> None:
+    s.a.move_balance(-s.e.price)
+
+
+def _remember(s: Situation) -> None:
+    s.store.record(s.e.key, s.now)
+    s.a.total_views += 1
+
+
+def _pay_net(s: Situation) -> None:
+    s.a.balance = max(0, clamp64(s.a.balance - s.net()))
+
+
+def _pay_back(s: Situation) -> None:
+    s.a.move_balance(s.refund())
+
+
+def _add_points(s: Situation) -> None:
+    s.a.balance = max(0, clamp64(s.a.balance + s.e.points))
+
+
+def _use_token(s: Situation) -> None:
+    s.store.add_token(s.token())
+
+
+def _start_plan(paid: Callable[[Situation], int], length: Callable[[Situation], int]):
+    def move(s: Situation) -> None:
+        s.a.plan, s.a.plan_paid, s.a.period_end = s.e.plan, paid(s), s.now + length(s)
+        _keep_window(s)
+
+    return move
+
+
+def _stop_plan(s: Situation) -> None:
+    s.a.plan, s.a.plan_paid, s.a.period_end = None, 0, 0
+
+
+def _set_ban(s: Situation) -> None:
+    s.a.banned = s.e.flag
+
+
+# ------------------------------------------------------------------------ table
+def _always(s: Situation) -> bool:
     return True
 
 
-def _initialise(a: Account, signup: int) -> None:
-    if not a.init:
-        a.init, a.balance = True, clamp64(a.balance + signup)
-
-
-def _charge(a: Account, store, e: Event, check_only: bool) -> Decision:
-    now = e.ts
-    if not check_only:
-        _initialise(a, e.signup)
-    if a.banned:
-        return Decision(403, "suspended", balance=a.balance)
-    balance = a.balance
-    if check_only and not a.init:
-        balance = clamp64(balance + e.signup)
-    active = is_active(a, now)
-    plan = e.plans.get(a.plan) if active else None
-    last = store.last_seen(e.key)
-    if last is not None and last > max(now - REPEAT, 0):
-        return Decision(200, "repeat", cost=e.price, balance=balance, **figures(a, e.plans, now))
-
-    start, views, searches, dirty = a.win_start, a.win_views, a.win_search, False
-    if active and must_roll(start, now):
-        start, views, searches, dirty = now, 0, 0, True
-    included = e.price == 0 or (e.in_scope and use_free(a, store, e, not check_only))
-    source = "free" if included else choose_source(
-        plan, active, e.kind, views, searches, balance, e.price
-    )
-    if source == "refused":
-        return Decision(402, source, cost=e.price, balance=balance,
-                        **figures(a, e.plans, now, views, searches, start))
-    if check_only:
-        return Decision(200, "allowed", balance=balance)
-    deducted = 0
-    if source == "window":
-        dirty = True
-        if e.kind in VIEW_KINDS:
-            views += e.price
-        else:
-            searches += 1
-    elif source == "balance":
-        deducted = e.price
-        a.balance = balance - e.price
-    store.record(e.key, now)
-    a.total_views += 1
-    if dirty:
-        a.win_start, a.win_views, a.win_search = start, views, searches
-    return Decision(200, source, not included, 0 if included else e.price, deducted, a.balance,
-                    **figures(a, e.plans, now, views, searches, start))
-
-
-def _store_plan(a: Account, plan: str | None, paid: int, end: int, now: int) -> None:
-    a.plan_paid, a.period_end = paid, end
-    if end > now:
-        a.plan = plan
-        if must_roll(a.win_start, now):
-            a.win_start, a.win_views, a.win_search = now, 0, 0
-    else:
-        a.plan = None
-
-
-def _refund(a: Account, now: int) -> int:
-    if a.plan not in DEFAULT_PLAN_PRICE or a.period_end <= now:
-        return 0
-    paid = DEFAULT_PLAN_PRICE[a.plan] if a.plan_paid is None else a.plan_paid
-    return refund_of(paid, a.period_end - now)
-
-
-def _subscribe(a: Account, e: Event) -> Decision:
-    if a.banned:
-        return Decision(403, "suspended", balance=a.balance)
-    terms = e.plans.get(e.plan)
-    if terms is None:
-        return Decision(400, "unknown plan", balance=a.balance)
-    price = terms[0]
-    if e.expected_price is not None and e.expected_price != price:
-        return Decision(409, "price changed", cost=price, balance=a.balance)
-    net = price - _refund(a, e.ts)
-    if net > 0 and a.balance < net:
-        return Decision(402, "refused", cost=net, balance=a.balance)
-    before, a.balance = a.balance, max(0, clamp64(a.balance - net))
-    _store_plan(a, e.plan, price, e.ts + PERIOD, e.ts)
-    return Decision(200, "subscribed", True, net, before - a.balance, a.balance,
-                    **figures(a, e.plans, e.ts))
-
-
-def _end_plan(a: Account, e: Event) -> Decision:
-    back = _refund(a, e.ts)
-    a.balance = clamp64(a.balance + back)
-    _store_plan(a, None, 0, 0, e.ts)
-    return Decision(200, "unsubscribed", cost=-back, deducted=-back, balance=a.balance)
-
-
-def _grant(a: Account, store, e: Event) -> Decision:
-    mark = f"plan:{e.token}"
-    if store.has_token(mark):
-        return Decision(200, "known", balance=a.balance, **figures(a, e.plans, e.ts))
-    if e.plan == "none":
-        plan, end = None, 0
-    elif e.plan in e.plans and 1 <= e.days <= MAX_GRANT_DAYS:
-        plan, end = e.plan, e.ts + e.days * DAY
-    else:
-        return Decision(400, "unknown plan", balance=a.balance)
-    back = _refund(a, e.ts)
-    a.balance = clamp64(a.balance + back)
-    _store_plan(a, plan, 0, end, e.ts)
-    store.add_token(mark)
-    return Decision(200, "granted", cost=-back, deducted=-back, balance=a.balance,
-                    **figures(a, e.plans, e.ts))
-
-
-def _credit(a: Account, store, e: Event) -> Decision:
-    _initialise(a, e.signup)
-    mark = f"credit:{e.token}"
-    if store.has_token(mark):
-        return Decision(200, "known", balance=a.balance)
-    before, a.balance = a.balance, max(0, clamp64(a.balance + e.points))
-    store.add_token(mark)
-    return Decision(200, "credited", deducted=before - a.balance, balance=a.balance)
+def _nothing(s: Situation) -> int:
+    return 0
+
+
+def _asked(s: Situation) -> int:
+    return s.e.price
+
+
+def _returned(s: Situation) -> int:
+    return -s.refund()
+
+
+@dataclass(frozen=True)
+class Rule:
+    when: Callable[[Situation], bool]
+    status: int
+    source: str
+    cost: Callable[[Situation], int] = _nothing
+    moves: tuple[Callable[[Situation], None], ...] = ()
+    charged: bool = False
+    shows: str | None = None  # figures of the "stored" window or of the one that "counts"
+
+
+SUSPENDED = Rule(lambda s: s.a.banned, 403, "suspended")
+CHARGE = (
+    SUSPENDED,
+    Rule(Situation.repeated, 200, "repeat", _asked, shows="stored"),
+    Rule(Situation.included, 200, "free", moves=(_keep_place, _keep_window, _remember), shows="stored"),
+    Rule(lambda s: s.covered(True), 200, "unlimited", _asked, (_keep_window, _remember), True, "stored"),
+    Rule(lambda s: s.covered(False), 200, "window", _asked, (_draw_quota, _remember), True, "stored"),
+    Rule(lambda s: s.funds >= s.e.price, 200, "balance", _asked, (_keep_window, _pay_price, _remember), True, "stored"),
+    Rule(_always, 402, "refused", _asked, shows="counts"),
+)
+TABLE = {
+    "charge": CHARGE,
+    "check": tuple(Rule(r.when, r.status, "allowed") if r.moves else r for r in CHARGE),
+    "subscribe": (
+        SUSPENDED,
+        Rule(lambda s: s.e.plan not in s.e.plans, 400, "unknown plan"),
+        Rule(lambda s: s.e.expected_price not in (None, s.price()), 409, "price changed", Situation.price),
+        Rule(lambda s: s.net() > 0 and s.funds < s.net(), 402, "refused", Situation.net),
+        Rule(_always, 200, "subscribed", Situation.net,
+             (_pay_net, _start_plan(Situation.price, lambda s: PERIOD)), True, "stored"),
+    ),
+    "unsubscribe": (Rule(_always, 200, "unsubscribed", _returned, (_pay_back, _stop_plan)),),
+    "grant": (
+        Rule(Situation.used, 200, "known", shows="stored"),
+        Rule(lambda s: s.e.plan == "none", 200, "granted", _returned, (_pay_back, _stop_plan, _use_token)),
+        Rule(lambda s: s.e.plan in s.e.plans and 1 <= s.e.days <= MAX_GRANT_DAYS, 200, "granted", _returned,
+             (_pay_back, _start_plan(_nothing, lambda s: s.e.days * DAY), _use_token), shows="stored"),
+        Rule(_always, 400, "unknown plan"),
+    ),
+    "credit": (
+        Rule(Situation.used, 200, "known"),
+        Rule(_always, 200, "credited", moves=(_add_points, _use_token)),
+    ),
+    "ban": (
+        Rule(lambda s: s.e.flag, 200, "banned", moves=(_set_ban,)),
+        Rule(_always, 200, "unbanned", moves=(_set_ban,)),
+    ),
+    "init": (Rule(_always, 200, "initialised", shows="stored"),),
+}
 
 
 def step(a: Account, store, e: Event) -> Decision:
     """Apply one event to the account."""
-    if e.op == "charge":
-        return _charge(a, store, e, False)
-    if e.op == "check":
-        return _charge(a, store, e, True)
-    if e.op == "credit":
-        return _credit(a, store, e)
-    if e.op == "subscribe":
-        return _subscribe(a, e)
-    if e.op == "unsubscribe":
-        return _end_plan(a, e)
-    if e.op == "grant":
-        return _grant(a, store, e)
-    if e.op == "ban":
-        a.banned = e.flag
-        return Decision(200, "banned" if e.flag else "unbanned", balance=a.balance)
-    if e.op == "init":
-        _initialise(a, e.signup)
-        return Decision(200, "initialised", balance=a.balance, **figures(a, e.plans, e.ts))
-    raise ValueError(f"unknown operation {e.op!r}")
+    if e.op not in TABLE:
+        raise ValueError(f"unknown operation {e.op!r}")
+    if e.op in OPENING and not a.init:  # H9
+        a.init = True
+        a.move_balance(e.signup)
+    s = Situation(a, store, e)
+    rule = next(r for r in TABLE[e.op] if r.when(s))
+    cost = rule.cost(s)
+    for move in rule.moves:
+        move(s)
+    made = Decision(rule.status, rule.source, rule.charged, cost, s.before - a.balance,
+                    s.funds if e.op == "check" else a.balance)
+    if rule.shows is None:
+        return made
+    return replace(made, **figures(a, e.plans, s.now, s.window() if rule.shows == "counts" else None))

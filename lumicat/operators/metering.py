@@ -248,7 +248,7 @@ def usage_windows(log: DataFrame) -> DataFrame:
             done = []
             for row in batch.to_pylist():
                 if (open_row is None or open_row["account"] != row["account"]
-                        or machine.must_roll(open_row["win_start"], row["ts"])):
+                        or machine.elapsed(open_row["win_start"], row["ts"])):
                     if open_row:
                         done.append(open_row)
                     open_row = {"account": row["account"], "win_start": row["ts"], "views": 0, "searches": 0}
@@ -507,7 +507,10 @@ def _fold_allowance(items: DataFrame) -> DataFrame:
                 if group != current:
                     current, state, store = group, machine.Account(), machine.MemoryStore()
                 event = machine.Event("charge", row["ts"], row["kind"], row["key"], daily_free=row["daily_free"])
-                free.append(machine.use_free(state, store, event, row["writes"]))
+                place = machine.free_place(state, store, event)
+                if place == "new" and row["writes"]:
+                    machine.take_place(state, store, event)
+                free.append(place is not None)
             yield pa.record_batch(
                 [batch.column("account"), batch.column("event_id"), batch.column("ts"), pa.array(free, pa.bool_())],
                 names=["account", "event_id", "ts", "free"],

@@ -3,7 +3,7 @@
 import pytest
 
 from lumicat.operators.account import (
-    DAY, PERIOD, WINDOW, Account, Event, MemoryStore, choose_source, figures, must_roll, refund_of, step,
+    DAY, PERIOD, TABLE, WINDOW, Account, Event, MemoryStore, elapsed, figures, step,
 )
 
 PLANS = {"basic": (20_000, 2_000, 10), "pro": (50_000, None, 50)}
@@ -34,17 +34,42 @@ def run(events, account=None):
     (None, False, "video", 0, 0, 4, 5, "refused"),
 ])
 def test_source(plan, active, kind, views, searches, balance, cost, want):
-    assert choose_source(PLANS.get(plan), active, kind, views, searches, balance, cost) == want
+    def account():
+        return Account(init=True, balance=balance, plan=plan, period_end=T0 + (DAY if active else 0),
+                       win_start=T0 - 60, win_views=views, win_search=searches)
+
+    after, (got,) = run([charge(T0, kind=kind, price=cost)], account())
+    assert got.source == want and got.cost == cost and got.charged == (want != "refused")
+    assert after.balance == balance - (cost if want == "balance" else 0)
+    drawn = (after.win_views - views, after.win_search - searches)
+    view = kind in ("image", "video", "similar")
+    assert drawn == ((0, 0) if want != "window" else (cost, 0) if view else (0, 1))
+    checked, (may,) = run([Event("check", T0, kind, "k", cost, plans=PLANS)], account())
+    assert may.source == ("refused" if want == "refused" else "allowed") and checked == account()
 
 
 def test_window_edges():
-    assert must_roll(None, T0) and must_roll(T0, T0 + WINDOW) and not must_roll(T0, T0 + WINDOW - 1)
+    assert elapsed(None, T0) and elapsed(T0, T0 + WINDOW) and not elapsed(T0, T0 + WINDOW - 1)
 
 
-def test_refunds():
-    assert refund_of(20_000, 15 * DAY) == 10_000
-    assert refund_of(20_000, 99 * DAY) == 20_000
-    assert refund_of(20_000, 5, 0) == 0 and refund_of(20_000, -5) == 0
+@pytest.mark.parametrize("plan,paid,left,want", [
+    ("basic", 20_000, 15 * DAY, 10_000), ("basic", 20_000, 99 * DAY, 20_000), ("basic", 20_000, 0, 0),
+    ("basic", 20_000, -5, 0), ("basic", 0, DAY, 0), ("pro", None, 15 * DAY, 25_000), ("other", 900, DAY, 0),
+    ("basic", 7, DAY, 0), (None, 20_000, DAY, 0),
+])
+def test_refunds(plan, paid, left, want):
+    account = Account(init=True, plan=plan, plan_paid=paid, period_end=T0 + left)
+    account, (got,) = run([Event("unsubscribe", T0, plans=PLANS)], account)
+    assert account.balance == want and got.cost == got.deducted == -want and account.plan is None
+
+
+def test_every_operation_always_has_an_answer():
+    for op in TABLE:
+        for flag in (False, True):
+            _, got = run([Event(op, T0, "image", "k", 1, plan="x", flag=flag)] * 2)
+            assert all(d.status in (200, 400, 402, 403, 409) for d in got)
+    with pytest.raises(ValueError):
+        run([Event("other", T0)])
 
 
 def test_repeats_end_after_a_day_and_are_not_extended():
