@@ -27,44 +27,58 @@ def address(v):
 
 
 # receipts: each order is a transaction, its lines are logs; 'R' lines go elsewhere,
-# 'A' lines are of another contract, line 1 is written in upper case
+# 'A' lines are of another contract, line 1 is written in upper case; lines 2 and 3
+# move 2^127 more, line 4 moves 2^126 more
+UNIT = f"'{2**126}'::UHUGEINT"
+BIG_LINES = "CASE WHEN l_linenumber IN (2, 3) THEN 2 WHEN l_linenumber = 4 THEN 1 ELSE 0 END"
+
+
 def receipts(t):
     sender = address(c("o_custkey"))
     to = F.when(c("l_returnflag") == "R", address(c("l_suppkey"))).otherwise(F.lit(DEPOSIT))
     topic = lambda a: F.concat(F.lit("0x"), F.lit("0" * 24), F.substring(a, 3, 40))
+    first = F.when(c("l_linenumber").isin(2, 3), "8").when(c("l_linenumber") == 4, "4").otherwise("0")
+    top = F.concat(first, F.lit("0" * 15))
     log = F.struct(
         F.when(c("l_returnflag") == "A", F.lit("0x" + "11" * 20)).when(c("l_linenumber") == 1, F.lit(USDC.upper().replace("0X", "0x"))).otherwise(F.lit(USDC)).alias("address"),
         F.array(F.lit(billing.TRANSFER_SIGNATURE), topic(sender), topic(to)).alias("topics"),
-        F.concat(F.lit("0x"), word((c("l_quantity") * 1000000).cast("bigint"))).alias("data"))
+        F.concat(F.lit("0x" + "0" * 32), top, F.lpad(F.lower(F.hex((c("l_quantity") * 1000000).cast("bigint"))), 16, "0")).alias("data"))
     lines = t.lineitem.join(t.orders, c("l_orderkey") == c("o_orderkey"))
     return lines.select("o_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", log.alias("log"), F.lit(USDC).alias("contract"),
                         sender.alias("sender"), F.lit(DEPOSIT).alias("deposit"))
 
 
-@query("b1_match_transfers", """SELECT o_orderkey, amount, CASE WHEN amount IS NULL THEN 'no matching token transfer' END AS error FROM
-    (SELECT l_orderkey AS o_orderkey, sum(CASE WHEN l_returnflag NOT IN ('R', 'A') THEN (l_quantity * 1000000)::BIGINT END)::VARCHAR AS amount FROM lineitem GROUP BY 1)""")
+@query("b1_match_transfers", f"""SELECT o_orderkey, amount, CASE WHEN amount IS NULL THEN 'no matching token transfer' END AS error FROM
+    (SELECT o_orderkey, CASE WHEN n < 4 THEN (n::UHUGEINT * {UNIT} + small::UHUGEINT)::VARCHAR END AS amount FROM
+    (SELECT l_orderkey AS o_orderkey, sum(CASE WHEN hit THEN (l_quantity * 1000000)::BIGINT END) AS small, sum(CASE WHEN hit THEN {BIG_LINES} END) AS n
+    FROM (SELECT *, l_returnflag NOT IN ('R', 'A') AS hit FROM lineitem) GROUP BY 1))""")
 def b1(t):
     rows = billing.match_transfer_logs(receipts(t), ["o_orderkey"])
-    return rows.select("o_orderkey", c("amount").cast("string").alias("amount"), "error")
+    return rows.select("o_orderkey", "amount", "error")
 
 
-@query("a8_transfer_total", """SELECT l_orderkey, l_suppkey, l_linenumber, l_extendedprice, CASE WHEN l_returnflag NOT IN ('R', 'A') THEN (l_quantity * 1000000)::BIGINT * 2 END::VARCHAR AS amount FROM lineitem""")
+@query("a8_transfer_total", f"""SELECT l_orderkey, l_suppkey, l_linenumber, l_extendedprice, CASE WHEN l_returnflag NOT IN ('R', 'A') AND {BIG_LINES} < 2
+    THEN (2 * ((l_quantity * 1000000)::BIGINT::UHUGEINT + ({BIG_LINES})::UHUGEINT * {UNIT}))::VARCHAR END AS amount FROM lineitem""")
 def a8(t):
     rows = receipts(t).withColumn("logs", F.array("log", "log"))
     amount = billing.transfer_total(c("logs"), c("contract"), c("sender"), c("deposit"))
-    return rows.select(c("o_orderkey").alias("l_orderkey"), "l_suppkey", "l_linenumber", "l_extendedprice", amount.cast("string").alias("amount"))
+    return rows.select(c("o_orderkey").alias("l_orderkey"), "l_suppkey", "l_linenumber", "l_extendedprice", amount.alias("amount"))
 
 
-@query("b2_match_native", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN (o_custkey + 1)::VARCHAR END AS amount,
-    CASE o_orderkey % 5 WHEN 1 THEN 'tx has no recipient' WHEN 2 THEN 'sender and deposit address are the same' WHEN 3 THEN 'tx recipient is not the deposit address' WHEN 4 THEN 'bad tx value' END AS error FROM orders""")
+@query("b2_match_native", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 = 0 THEN ('{2**128 - 2**64}'::UHUGEINT + (o_custkey + 1)::UHUGEINT)::VARCHAR
+    WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 <> 1 THEN (o_custkey + 1)::VARCHAR END AS amount,
+    CASE o_orderkey % 5 WHEN 1 THEN 'tx has no recipient' WHEN 2 THEN 'sender and deposit address are the same' WHEN 3 THEN 'tx recipient is not the deposit address' WHEN 4 THEN 'bad tx value' ELSE CASE WHEN o_orderkey % 7 = 1 THEN 'bad tx value' END END AS error FROM orders""")
 def b2(t):
     r = c("o_orderkey") % 5
+    plain = F.lower(F.hex(c("o_custkey") + 1))
+    value = F.when(c("o_orderkey") % 7 > 1, plain).when(c("o_orderkey") % 7 == 0, F.concat(F.lit("f" * 16), F.lpad(plain, 16, "0")))
+    value = F.coalesce(value, F.concat(F.lit("1"), F.lpad(plain, 32, "0")))
     txs = t.orders.select(
         "o_orderkey", F.when(r == 2, F.lit(DEPOSIT.upper().replace("0X", "0x"))).otherwise(address(c("o_custkey"))).alias("from"),
         F.when(r == 3, address(c("o_orderkey"))).when(r != 1, F.lit(DEPOSIT)).alias("to"),
-        F.when(r == 4, "0xzz").otherwise(F.concat(F.lit("0x"), F.lower(F.hex(c("o_custkey") + 1)))).alias("value"),
+        F.when(r == 4, "0xzz").otherwise(F.concat(F.lit("0x"), value)).alias("value"),
         F.lit(DEPOSIT).alias("deposit"))
-    return billing.match_native(txs).select("o_orderkey", c("amount").cast("string").alias("amount"), "error")
+    return billing.match_native(txs).select("o_orderkey", "amount", "error")
 
 
 @query("b3_confirmed", """SELECT o_orderkey, CASE WHEN 1400 - o_custkey + 1 < 6 OR o_orderkey % 7 = 0 OR c_custkey IS NULL THEN 'too early' WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'confirmed' END AS state,

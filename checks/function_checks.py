@@ -134,14 +134,17 @@ def c15_fast(t):
         c("o_orderkey") * 1000003, F.lit(6), F.lit(None), F.lit(10000)).alias("points"))
 
 
-HEX = "substr(md5(o_orderkey::VARCHAR), 1, (o_orderkey % 31)::INT)"
+# 0 to 33 hex digits: 32 reach the top of 128 bits, 33 are too many unless they begin with 0
+HEX = "substr(md5(o_orderkey::VARCHAR) || '7', 1, (o_orderkey % 34)::INT)"
+WORDS = " + ".join(f"('0x' || substr(p, {i * 8 + 1}, 8))::BIGINT::UHUGEINT * '{2 ** (96 - 32 * i)}'::UHUGEINT" for i in range(4))
 
 
-@query("c16_hex_to_decimal", f"""SELECT o_orderkey, CASE WHEN h <> '' THEN (('0x' || substr(p, 1, 11))::HUGEINT * 281474976710656 + ('0x' || substr(p, 12, 12))::HUGEINT) * 281474976710656 + ('0x' || substr(p, 24, 12))::HUGEINT END::VARCHAR AS v
-    FROM (SELECT o_orderkey, h, lpad(h, 35, '0') AS p FROM (SELECT o_orderkey, {HEX} AS h FROM orders))""")
+@query("c16_hex_to_decimal", f"""SELECT o_orderkey, CASE WHEN h <> '' AND length(s) <= 32 THEN {WORDS} END::VARCHAR AS v
+    FROM (SELECT *, right(lpad(s, 33, '0'), 32) AS p FROM (SELECT o_orderkey, h, ltrim(h, '0') AS s FROM (SELECT o_orderkey, {HEX} AS h FROM orders)))""")
 def c16(t):
-    h = F.concat(F.lit("0x"), F.substring(F.md5(c("o_orderkey").cast("string")), F.lit(1), (c("o_orderkey") % 31).cast("int")))
-    return t.orders.select("o_orderkey", money.hex_to_decimal(h).cast("string").alias("v"))
+    digits = F.concat(F.md5(c("o_orderkey").cast("string")), F.lit("7"))
+    h = F.concat(F.lit("0x"), F.substring(digits, F.lit(1), (c("o_orderkey") % 34).cast("int")))
+    return t.orders.select("o_orderkey", money.hex_to_digits(h).alias("v"))
 
 
 @query("c17_base_units", """SELECT o_orderkey, CASE WHEN round(o_totalprice * 100)::HUGEINT > 0 THEN (round(o_totalprice * 100)::HUGEINT * 10000)::VARCHAR END AS units FROM orders""")
@@ -204,7 +207,7 @@ def c24(t):
     return t.part.select("p_partkey", paths.cover_dims(c("p_size") - 10, (c("p_partkey") % 7).cast("int")).alias("d")).select("p_partkey", "d.*")
 
 
-@query("c25_decode_price", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 90000 > 86400 THEN NULL ELSE (o_custkey + 1)::VARCHAR END AS price,
+@query("c25_decode_price", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 90000 > 86400 THEN NULL WHEN o_orderkey % 7 = 0 THEN ('170141183460469231713240559642174554112'::UHUGEINT + (o_custkey + 1)::UHUGEINT)::VARCHAR ELSE (o_custkey + 1)::VARCHAR END AS price,
     CASE WHEN o_orderkey % 5 = 0 THEN 'price is zero' WHEN o_orderkey % 90000 > 86400 THEN 'price is stale' END AS error FROM orders""")
 def c25(t):
     def word(v):
@@ -213,9 +216,11 @@ def c25(t):
     zero = F.lit(0).cast("bigint")
     answer = F.when(c("o_orderkey") % 5 == 0, zero).otherwise(c("o_custkey") + 1)
     now = F.lit(1_700_000_000).cast("bigint")
-    data = F.concat(F.lit("0x"), word(zero), word(answer), word(zero), word(now - c("o_orderkey") % 90000), word(zero))
+    large = (c("o_orderkey") % 7 == 0) & (c("o_orderkey") % 5 != 0)  # 2^127 - 2^64 more
+    price = F.when(large, F.concat(F.lit("0" * 32 + "7" + "f" * 15), F.lpad(F.hex(answer), 16, "0"))).otherwise(word(answer))
+    data = F.concat(F.lit("0x"), word(zero), price, word(zero), word(now - c("o_orderkey") % 90000), word(zero))
     return t.orders.select("o_orderkey", money.decode_price(data, now).alias("p")).select(
-        "o_orderkey", c("p.price").cast("string").alias("price"), "p.error")
+        "o_orderkey", "p.price", "p.error")
 
 
 @query("c26_usd_price", "SELECT o_orderkey, round(o_custkey / 10000.0, 6)::DOUBLE AS usd FROM orders")

@@ -80,36 +80,67 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def hex_to_decimal(text: Column) -> Column:
-    """A ``0x`` quantity as decimal(38,0); NULL when malformed or not below 1e38."""
+HALF = "decimal(20,0)"
+HALVES = "struct<high: decimal(38,0), low: decimal(38,0)>"
+
 
-    def number(digits: Column) -> Column:
+def hex_halves(text: Column) -> Column:
+    """A ``0x`` quantity as its upper and lower 64 bits; NULL when malformed or
+    above 128 bits. Two halves carry what no decimal can, all built-in."""
+
+    def cut(digits: Column) -> Column:
         def half(start: int) -> Column:
-            return F.conv(F.substring(F.lpad(digits, 32, "0"), start, 16), 16, 10).cast("decimal(20,0)")
+            return F.conv(F.substring(F.lpad(digits, 32, "0"), start, 16), 16, 10).cast(HALF).cast(BIG)
 
-        value = F.try_add(F.try_multiply(half(1), F.lit(str(2**64)).cast("decimal(20,0)")).cast(BIG), half(17)).cast(BIG)
-        return F.when(F.length(digits) <= 32, value)
+        return F.when(F.length(digits) <= 32, F.struct(half(1).alias("high"), half(17).alias("low")))
 
     well_formed = text.rlike(r"^0x\+?[0-9a-fA-F]+$")
     bare = F.when(well_formed, F.regexp_extract(text, r"^0x\+?0*([0-9a-fA-F]*)$", 1))
-    return let(bare, number)
+    return let(bare, cut)
 
 
-@F.pandas_udf(T.StringType())
-def hex_to_digits(text: pd.Series) -> pd.Series:
-    """C16 over the whole 128-bit range, as a digit string."""
+def carried(high: Column, low: Column) -> Column:
+    """Sums of halves as halves again, with the carry moved up; NULL above 128 bits."""
+    base = F.lit(str(2**64)).cast(BIG)
 
-    def one(value):
-        if value is None or not value.startswith("0x"):
-            return None
-        body = value[2:]
-        body = body[1:] if body.startswith("+") else body
-        if not body or any(c not in "0123456789abcdefABCDEF" for c in body):
-            return None
-        number = int(body, 16)
-        return str(number) if number <= U128_MAX else None
+    def settle(parts: Column) -> Column:
+        rest = (parts["low"] % base).cast(BIG)
+        top = F.try_add(parts["high"], ((parts["low"] - rest) / base).cast(BIG)).cast(BIG)
+        return F.when(top < base, F.struct(top.alias("high"), rest.alias("low")))
+
+    return let(F.struct(high.cast(BIG).alias("high"), low.cast(BIG).alias("low")), settle)
+
+
+def halves_to_digits(halves: Column) -> Column:
+    """Halves as a digit string. The number is split at its tenth digit, which keeps
+    every product below 1e30."""
+    base, cut = F.lit(str(2**64)).cast(BIG), F.lit(str(10**10)).cast(BIG)
 
-    return text.map(one)
+    def split(h: Column) -> Column:
+        rest = (h["high"] % cut).cast(BIG)
+        tail = (F.try_multiply(rest.cast("decimal(10,0)"), base.cast(HALF)).cast(BIG) + h["low"]).cast(BIG)
+        last = (tail % cut).cast(BIG)
+        head = F.try_multiply(whole_quotient(h["high"], cut).cast("decimal(10,0)"), base.cast(HALF)).cast(BIG)
+        return F.struct((head + whole_quotient(tail, cut)).cast(BIG).alias("head"), last.alias("last"))
+
+    def text(p: Column) -> Column:
+        last = p["last"].cast("string")
+        return F.when(p["head"] == 0, last).otherwise(F.concat(p["head"].cast("string"), F.lpad(last, 10, "0")))
+
+    return F.when(halves.isNotNull(), let(let(halves, split), text))
+
+
+def hex_to_digits(text: Column) -> Column:
+    """A ``0x`` quantity as a digit string, over all unsigned 128 bits; NULL when
+    malformed or larger."""
+    return let(hex_halves(text), halves_to_digits)
+
+
+def hex_to_decimal(text: Column) -> Column:
+    """C16 for arithmetic: as decimal(38,0); NULL also from 1e38 on."""
+    base = F.lit(str(2**64)).cast(HALF)
+    return let(hex_halves(text), lambda h: F.try_add(
+        F.try_multiply(h["high"].cast(HALF), base).cast(BIG), h["low"]).cast(BIG))
 
 
 def base_units(text: Column, decimals: Column | int) -> Column:
@@ -149,13 +180,13 @@ def day_bucket(epoch: Column) -> Column:
 
 
 def decode_price(result: Column, now: Column) -> Column:
-    """struct(price, error) of a five-word price answer."""
+    """struct(price, error) of a five-word price answer; the price is a digit string."""
     def words(body: Column) -> Column:
-        def value(start: int) -> Column:  # low half of a word; the high half must be zero
-            return hex_to_decimal(F.concat(F.lit("0x"), F.substring(body, start + 32, 32)))
+        def low(start: int) -> Column:  # low half of a word; the high half must be zero
+            return F.concat(F.lit("0x"), F.substring(body, start + 32, 32))
 
         return F.struct(
-            body.alias("body"), value(65).alias("price"), value(193).alias("updated"),
+            body.alias("body"), hex_to_digits(low(65)).alias("price"), hex_to_decimal(low(193)).alias("updated"),
             F.substring(body, 65, 32).alias("price_high"), F.substring(body, 193, 32).alias("updated_high"),
         )
 
@@ -166,7 +197,7 @@ def decode_price(result: Column, now: Column) -> Column:
             .when(w["body"] == "", "result is not 0x + 320 hex chars")
             .when(F.substring(w["price_high"], 1, 1) >= "8", "price is negative")
             .when(w["price_high"] != zeros, "word exceeds u128")
-            .when(w["price"] == 0, "price is zero")
+            .when(w["price"] == "0", "price is zero")
             .when(
                 (w["updated_high"] != zeros) | w["updated"].isNull() | (w["updated"] > newest),
                 "updatedAt exceeds u64",

@@ -1,8 +1,9 @@
 """Input/expected pairs of the scalar functions."""
 
+import base64
 import hashlib
 import hmac
-import base64
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,24 @@ def test_hex_up_to_the_largest_decimal(spark):
     assert values(spark, rows, "s string", money.hex_to_decimal(c("s")).cast("string")) == [str(n) if n < 10**38 else None for n in numbers] + [None]
 
 
+def test_hex_over_all_128_bits(spark):
+    rng = random.Random(5)
+    numbers = [0, 1, 9_999_999_999, 10**10, 10**10 - 1, 10**38, 2**64 - 1, 2**64, 2**64 * 10**10, 2**127, 2**128 - 1]
+    numbers += [rng.getrandbits(rng.randrange(1, 129)) for _ in range(300)]
+    rows = [hex(n) for n in numbers] + ["0x+0f", "0x" + "0" * 8 + "f" * 32, "0x1" + "0" * 32, "0x", "f", None]
+    assert values(spark, rows, "s string", money.hex_to_digits(c("s"))) == [str(n) for n in numbers] + [
+        "15", str(2**128 - 1), None, None, None, None]
+
+
+def test_halves_carry(spark):
+    top = 2**64 - 1
+    rows = [(0, 0), (top, top), (0, 2**64 * 5 + 7), (top, 2**64), (top - 3, 2**64 * 3 + 9), (None, None)]
+    got = values(spark, [(None if h is None else str(h), None if w is None else str(w)) for h, w in rows], "h string, w string",
+                 money.halves_to_digits(money.carried(c("h"), c("w"))))
+    sums = [None if h is None else h * 2**64 + w for h, w in rows]
+    assert got == [str(n) if n is not None and n < 2**128 else None for n in sums]
+
+
 def test_refund_and_minimum(spark):
     rows = [(20000, 30 * 86400, 15 * 86400), (20000, 30 * 86400, 99 * 86400), (20000, 0, 5), (7, 3, 2)]
     assert values(spark, rows, "p bigint, d bigint, r bigint", money.prorated_refund(c("p"), c("d"), c("r"))) == [10000, 20000, 0, 4]
