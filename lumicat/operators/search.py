@@ -6,7 +6,7 @@ page on the link table and read the wide table for the page only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumicat.catalog import Catalog
@@ -350,40 +350,54 @@ def suggest_titles(cat: Catalog, text: str, limit: int = 8) -> DataFrame:
 SUGGEST_LIMITS = {"tag": 10, "author": 10, "title": 8}
 
 
-def _gram_match(queries: DataFrame, names: DataFrame) -> DataFrame:
-    """Pairs of (query, name) where the name matches the query's pattern.
+HOT_GRAM = 100_000  # names of one gram that one task compares
+COUNTED = 16  # one name in so many is counted to find rare grams
 
-    Both sides meet on one gram: the leading one or two characters for a short
-    query, its first three for a longer one. A name that contains the query also
-    contains that gram, so the equi join loses nothing and replaces a theta join.
-    """
-    low = F.lower("name")
-    length = F.char_length(low)
+
+def _grams(low: Column) -> Column:
+    """What a lower-case name is found by: all runs of three characters, and the
+    first one and two."""
     inner = F.transform(
-        F.sequence(F.lit(1), F.greatest(length - 2, F.lit(1))), lambda i: F.substring(low, i, 3)
+        F.sequence(F.lit(1), F.greatest(F.char_length(low) - 2, F.lit(1))),
+        lambda i: F.concat(F.lit("in:"), F.substring(low, i, 3)),
     )
-    grams = F.array_distinct(
-        F.concat(
-            F.transform(inner, lambda g: F.concat(F.lit("in:"), g)),
-            F.array(
-                F.concat(F.lit("at:"), F.substring(low, 1, 1)),
-                F.concat(F.lit("at:"), F.substring(low, 1, 2)),
-            ),
-        )
+    return F.array_distinct(F.concat(inner, F.transform(
+        F.array(F.lit(1), F.lit(2)), lambda n: F.concat(F.lit("at:"), F.substring(low, F.lit(1), n)))))
+
+
+def _gram_match(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of (query, name) of one ``src`` where the name matches the query's pattern.
+
+    A name that contains a query contains all of its grams, so an equi join on any
+    one of them loses nothing. Each query takes the one that is rarest in a part of the
+    names (counts choose the way, not the result), and only names with a taken gram
+    are joined. Names of a gram that stays frequent are dealt over tasks, to which
+    its queries are copied.
+    """
+    offered = names.withColumn("low", F.lower("name"))
+    grams = F.explode(_grams(c("low"))).alias("gram")
+    asked = queries.withColumn("q_low", F.lower("raw")).withColumn("short", F.char_length("raw") < 3)
+    start = F.array(F.concat(F.lit("at:"), F.substring("q_low", 1, 2)))
+    inside = F.filter(_grams(c("q_low")), lambda g: F.startswith(g, F.lit("in:")))
+    wanted = asked.withColumn("gram", F.explode(F.when(c("short"), start).otherwise(inside)))
+    counts = (
+        offered.where(F.pmod(F.xxhash64("id", "name"), F.lit(COUNTED)) == 0).select("src", grams)
+        .join(wanted.select("src", "gram").distinct(), ["src", "gram"], "left_semi")
+        .groupBy("src", "gram").agg(F.count(F.lit(1)).alias("n"))
     )
-    left = names.withColumn("gram", F.explode(grams))
-    q = F.lower("raw")
-    short = F.char_length("raw") < 3
-    right = queries.withColumn(
-        "gram",
-        F.when(short, F.concat(F.lit("at:"), q)).otherwise(
-            F.concat(F.lit("in:"), F.substring(q, 1, 3))
-        ),
-    ).withColumn("q_low", q)
-    same_place = F.when(F.char_length("raw") < 3, F.startswith(low, c("q_low"))).otherwise(
-        F.contains(low, c("q_low"))
+    keys = [*queries.columns, "q_low", "short"]
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
+    taken = stage(
+        wanted.join(counts, ["src", "gram"], "left").groupBy(*keys).agg(rarest).select(
+            *keys, "rarest.gram", (F.floor(c("rarest.n") * COUNTED / HOT_GRAM) + 1).cast("int").alias("parts"))
     )
-    return left.join(right, "gram").where(same_place)
+    # the parts of a gram are the same for all of its queries
+    left = offered.select("*", grams).join(taken.select("src", "gram", "parts").distinct(), ["src", "gram"]).withColumn(
+        "part", F.pmod(F.xxhash64("id", "name"), c("parts")).cast("int")
+    ).drop("parts")
+    right = taken.withColumn("part", F.explode(F.sequence(F.lit(0), c("parts") - 1))).drop("parts")
+    here = F.when(c("short"), F.startswith("low", "q_low")).otherwise(F.contains("low", "q_low"))
+    return left.join(right, ["src", "gram", "part"]).where(here)
 
 
 def suggest(cat: Catalog, queries: DataFrame) -> DataFrame:
@@ -403,31 +417,23 @@ def suggest(cat: Catalog, queries: DataFrame) -> DataFrame:
     aliases = cat.wd_tag_translations.join(cat.wd_tags, c("tag_id") == c("id")).select(
         "id", c("translation").alias("name"), c("name").alias("label")
     )
-    sources = [
-        (spaced.drop("raw").withColumnRenamed("form", "raw"), names),
-        (tags, aliases),
-        (live.where(c("mode") == "author"), cat.authors.select("id", "name", c("name").alias("label"))),
-        (live.where(c("mode") == "title"),
-         cat.posts.select("id", c("title").alias("name"), c("title").alias("label"))),
-    ]
-    rank = (
-        F.when(F.lower("name") == c("q_low"), 0)
-        .when(F.startswith(F.lower("name"), c("q_low")), 1)
-        .otherwise(2)
-    )
-    by_form, by_alias, *rest = [
-        _gram_match(asked.select("mode", "text", "raw"), offered).select(
-            "mode", "text", "id", "label", rank.alias("match")
-        )
-        for asked, offered in sources
-    ]
+    authors = cat.authors.select("id", "name", c("name").alias("label"))
+    posts = cat.posts.select("id", c("title").alias("name"), c("title").alias("label"))
+    asked = lambda rows, src: rows.select(F.lit(src).alias("src"), "mode", "text", "raw")
+    of = lambda rows, src: rows.withColumn("src", F.lit(src))
+    rank = F.when(c("low") == c("q_low"), 0).when(F.startswith("low", "q_low"), 1).otherwise(2)
+
+    hits = _gram_match(
+        asked(spaced.drop("raw").withColumnRenamed("form", "raw"), "tag").unionByName(asked(tags, "alias"))
+        .unionByName(asked(live.where(c("mode") == "author"), "author"))
+        .unionByName(asked(live.where(c("mode") == "title"), "title")),
+        of(names, "tag").unionByName(of(aliases, "alias")).unionByName(of(authors, "author")).unionByName(of(posts, "title")),
+    ).select("src", "mode", "text", "id", "label", rank.alias("match"))
+    by_tag = hits.where(c("src").isin("tag", "alias")).drop("src")
+    by_name = hits.where(c("src").isin("author", "title")).drop("src")
     # a tag may match in several ways; authors and titles match once, so their hits
     # go straight into the top-n, which is cut before its shuffle
-    best = by_form.unionByName(by_alias).groupBy("mode", "text", "id", "label").agg(
-        F.min("match").alias("match")
-    )
-    for part in rest:
-        best = best.unionByName(part)
+    best = by_tag.groupBy("mode", "text", "id", "label").agg(F.min("match").alias("match")).unionByName(by_name)
     titles = c("mode") == "title"
     order = [
         c("match"),

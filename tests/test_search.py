@@ -70,6 +70,15 @@ def test_batch_suggestions_equal_single_ones(spark, cat):
     assert got == want
 
 
+def test_frequent_grams_are_dealt_over_parts(spark, cat, monkeypatch):
+    asked = [(i, m, q) for i, (m, q) in enumerate([("tag", "blue sky"), ("tag", "sky"), ("author", "ann"), ("title", "SKY"), ("title", "e s"), ("tag", "空"), ("title", "nowhere")])]
+    frame = spark.createDataFrame(asked, "query_id int, mode string, q string")
+    plain = sorted(map(tuple, search.suggest(cat, frame).collect()))
+    monkeypatch.setattr(search, "COUNTED", 1)
+    monkeypatch.setattr(search, "HOT_GRAM", 1)
+    assert plain and sorted(map(tuple, search.suggest(cat, frame).collect())) == plain
+
+
 def test_nested_media_is_split_into_parts(spark, cat):
     posts = search.newest_posts(cat, 4)
     whole = {r.id: r for r in search.posts_with_media(cat, posts).collect()}
