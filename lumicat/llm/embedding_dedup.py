@@ -31,10 +31,12 @@ BLOCK = 1_024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Unit vectors of a list column whose rows have one length; doubles."""
+    """Unit vectors of a list column whose rows have one length; doubles. Rows are first scaled by a power of
+    two, which rounds nothing, so that no square leaves the range of doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

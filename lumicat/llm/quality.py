@@ -81,8 +81,9 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_row
         .where("_id IS NOT NULL AND _label IS NOT NULL").where(~held_out(F.col("_id"))).groupBy("_id").agg(F.avg("_label").alias("_label"))
     )
     total = given.count()
-    share = int(min(1.0, max_rows / max(1, total)) * 1_000_000)
-    sample = given.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share)
+    grain = max(1_000_000, total)  # as fine as the table, so that the share never rounds to nothing
+    share = int(min(1.0, max_rows / max(1, total)) * grain)
+    sample = given.where(F.pmod(F.xxhash64("_id"), F.lit(grain)) < share)
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
         .join(F.broadcast(sample), "_id")  # at most max_rows narrow rows, give or take the hash

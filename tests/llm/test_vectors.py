@@ -64,6 +64,15 @@ def test_cells_find_nearly_all(spark, monkeypatch):
     assert all(a[0] == b[0] and a[1] <= b[1] for a, b in zip(got, want))
 
 
+def test_near_copies_of_extreme_doubles(spark):
+    """Parallel vectors link at any length that a double can have."""
+    base = np.array([1.0, 2.0, -3.0, 0.5])
+    scales = [1e300, 1e200, 1.0, 1e-200, 1e-300, -1e250]
+    rows = [(i, (base * f).tolist()) for i, f in enumerate(scales)] + [(9, [0.0, 0.0, 5e-324, 0.0]), (10, [0.0, 0.0, 1e308, 1.0])]
+    got = embedding_dedup.near_copies(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(tuple(r)[:3] for r in got) == [(i, 4, 0) for i in range(5)] + [(5, 0, 5), (9, 1, 9), (10, 1, 9)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     names = list(range(400))
