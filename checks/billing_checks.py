@@ -48,7 +48,7 @@ def receipts(t):
                         sender.alias("sender"), F.lit(DEPOSIT).alias("deposit"))
 
 
-@query("b1_match_transfers", f"""SELECT o_orderkey, amount, CASE WHEN amount IS NULL THEN 'no matching token transfer' END AS error FROM
+@query("b1_match_transfers", f"""SELECT o_orderkey, amount, CASE WHEN amount IS NULL THEN 'no_transfer' END AS error FROM
     (SELECT o_orderkey, CASE WHEN n < 4 THEN (n::UHUGEINT * {UNIT} + small::UHUGEINT)::VARCHAR END AS amount FROM
     (SELECT l_orderkey AS o_orderkey, sum(CASE WHEN hit THEN (l_quantity * 1000000)::BIGINT END) AS small, sum(CASE WHEN hit THEN {BIG_LINES} END) AS n
     FROM (SELECT *, l_returnflag NOT IN ('R', 'A') AS hit FROM lineitem) GROUP BY 1))""")
@@ -67,7 +67,7 @@ def a8(t):
 
 @query("b2_match_native", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 = 0 THEN ('{2**128 - 2**64}'::UHUGEINT + (o_custkey + 1)::UHUGEINT)::VARCHAR
     WHEN o_orderkey % 5 = 0 AND o_orderkey % 7 <> 1 THEN (o_custkey + 1)::VARCHAR END AS amount,
-    CASE o_orderkey % 5 WHEN 1 THEN 'tx has no recipient' WHEN 2 THEN 'sender and deposit address are the same' WHEN 3 THEN 'tx recipient is not the deposit address' WHEN 4 THEN 'bad tx value' ELSE CASE WHEN o_orderkey % 7 = 1 THEN 'bad tx value' END END AS error FROM orders""")
+    CASE o_orderkey % 5 WHEN 1 THEN 'no_recipient' WHEN 2 THEN 'self_transfer' WHEN 3 THEN 'other_recipient' WHEN 4 THEN 'value_malformed' ELSE CASE WHEN o_orderkey % 7 = 1 THEN 'value_malformed' END END AS error FROM orders""")
 def b2(t):
     r = c("o_orderkey") % 5
     plain = F.lower(F.hex(c("o_custkey") + 1))
@@ -141,7 +141,7 @@ def deposits(t):
     micro = F.round(c("value") * 1000000).cast("decimal(38,0)")
     amount = F.when(c("event_type") == "view", micro * 1000000).otherwise(micro).cast("decimal(38,0)").cast("string")
     return t.events.select("event_id", asset(0).alias("chain"), asset(1).alias("token"), amount.alias("amount"),
-                           F.when(k_of(t) % 9 == 0, "no matching token transfer").alias("error"),
+                           F.when(k_of(t) % 9 == 0, "no_transfer").alias("error"),
                            F.lit(10000).cast("bigint").alias("points_per_usd"), F.lit(200000).cast("bigint").alias("minimum_topup"))
 
 
@@ -151,16 +151,16 @@ def prices(t):
         (F.count(F.lit(1)) * 0 + 3000 * 100000000).cast("string").alias("price"))
 
 
-@query("b5_quote_deposits", with_cte("", f"""SELECT event_id, points, CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'unsupported asset'
-      WHEN {K} % 9 = 0 THEN 'no matching token transfer' WHEN points < CASE event_type WHEN 'view' THEN 190000 ELSE 200000 END THEN 'amount below minimum top-up' END AS reason FROM quotes""", quotes=QUOTES))
+@query("b5_quote_deposits", with_cte("", f"""SELECT event_id, points, CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'asset_unknown'
+      WHEN {K} % 9 = 0 THEN 'no_transfer' WHEN points < CASE event_type WHEN 'view' THEN 190000 ELSE 200000 END THEN 'below_minimum' END AS reason FROM quotes""", quotes=QUOTES))
 def b5(t):
     return billing.quote_deposits(deposits(t), prices(t)).select("event_id", "points", "reason")
 
 
 @query("b9_estimate_points", f"""SELECT event_id, CASE WHEN e IS NULL THEN points END AS estimate, e AS error FROM (SELECT event_id, points,
-    CASE WHEN event_type NOT IN ('click', 'purchase', 'view') THEN 'unsupported chain' WHEN round(value * 100) <= 0 THEN 'malformed amount'
-      WHEN event_type = 'click' AND {K} % 2 = 0 THEN 'no linked wallet' WHEN event_type = 'click' THEN 'deposits are closed'
-      WHEN {K} = 7 THEN 'the deposit wallet cannot pay itself' WHEN points < 200000 THEN 'below the minimum' END AS e
+    CASE WHEN event_type NOT IN ('click', 'purchase', 'view') THEN 'chain_unknown' WHEN round(value * 100) <= 0 THEN 'amount_malformed'
+      WHEN event_type = 'click' AND {K} % 2 = 0 THEN 'wallet_missing' WHEN event_type = 'click' THEN 'deposits_closed'
+      WHEN {K} = 7 THEN 'self_transfer' WHEN points < 200000 THEN 'below_minimum' END AS e
     FROM (SELECT *, (round(value * 100)::HUGEINT * CASE event_type WHEN 'view' THEN 3000 ELSE 1 END * 100)::BIGINT AS points FROM events))""")
 def b9(t):
     k = k_of(t)

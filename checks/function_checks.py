@@ -208,7 +208,7 @@ def c24(t):
 
 
 @query("c25_decode_price", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 90000 > 86400 THEN NULL WHEN o_orderkey % 7 = 0 THEN ('170141183460469231713240559642174554112'::UHUGEINT + (o_custkey + 1)::UHUGEINT)::VARCHAR ELSE (o_custkey + 1)::VARCHAR END AS price,
-    CASE WHEN o_orderkey % 5 = 0 THEN 'price is zero' WHEN o_orderkey % 90000 > 86400 THEN 'price is stale' END AS error FROM orders""")
+    CASE WHEN o_orderkey % 5 = 0 THEN 'price_zero' WHEN o_orderkey % 90000 > 86400 THEN 'price_stale' END AS error FROM orders""")
 def c25(t):
     def word(v):
         return F.lpad(F.hex(v), 64, "0")

@@ -121,7 +121,7 @@ def q10(t):
 
 
 @query("q11_parse_policy_rows", """SELECT event_id, CASE WHEN bad THEN NULL ELSE k END::INT AS revision, CASE WHEN bad THEN NULL WHEN k % 2 = 0 THEN NULL ELSE k END AS views,
-    CASE WHEN bad THEN 'image_price must be a whole number between 0 and 1000000000' END AS error FROM (SELECT event_id, k, k % 10 = 3 AS bad FROM (SELECT event_id, """ + K + " AS k FROM events))")
+    CASE WHEN bad THEN 'image_price_out_of_range' END AS error FROM (SELECT event_id, k, k % 10 = 3 AS bad FROM (SELECT event_id, """ + K + " AS k FROM events))")
 def q11(t):
     k = F.get_json_object("props", "$.k")
     n = k.cast("int")

@@ -193,16 +193,16 @@ def decode_price(result: Column, now: Column) -> Column:
     def judged(w: Column) -> Column:
         zeros, newest = "0" * 32, F.lit(str(2**64 - 1)).cast(BIG)
         error = (
-            F.when(~F.startswith(result, F.lit("0x")), "result not 0x-prefixed")
-            .when(w["body"] == "", "result is not 0x + 320 hex chars")
-            .when(F.substring(w["price_high"], 1, 1) >= "8", "price is negative")
-            .when(w["price_high"] != zeros, "word exceeds u128")
-            .when(w["price"] == "0", "price is zero")
+            F.when(~F.startswith(result, F.lit("0x")), "prefix_missing")
+            .when(w["body"] == "", "length_wrong")
+            .when(F.substring(w["price_high"], 1, 1) >= "8", "price_negative")
+            .when(w["price_high"] != zeros, "price_too_large")
+            .when(w["price"] == "0", "price_zero")
             .when(
                 (w["updated_high"] != zeros) | w["updated"].isNull() | (w["updated"] > newest),
-                "updatedAt exceeds u64",
+                "time_too_large",
             )
-            .when(now.cast(BIG) - w["updated"] > MAX_PRICE_AGE, "price is stale")
+            .when(now.cast(BIG) - w["updated"] > MAX_PRICE_AGE, "price_stale")
         )
         return F.struct(w["price"].alias("price"), error.alias("error"))
 

@@ -101,14 +101,14 @@ def convert_objects(df: DataFrame, codec: Codec) -> DataFrame:
     def convert(content: bytes | None) -> dict:
         try:
             if content is None:
-                raise ValueError("source object missing")
+                raise ValueError("source_missing")
             if len(content) > MAX_SOURCE_BYTES:
-                raise ValueError("source exceeds the size limit")
+                raise ValueError("source_too_large")
             data, width, height = codec(content)
             if width <= 0 or height <= 0:
-                raise ValueError("zero image dimensions")
+                raise ValueError("no_pixels")
             if width * height > MAX_PIXELS:
-                raise ValueError(f"image pixel count {width}x{height} exceeds limit")
+                raise ValueError(f"too_many_pixels {width}x{height}")
             return {"outcome": "converted", "content": data, "width": width, "height": height}
         except Exception as exc:  # noqa: BLE001 - any codec error belongs to its row
             return {"outcome": "failed", "error": str(exc)}

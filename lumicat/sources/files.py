@@ -97,7 +97,7 @@ def normalize_prefix(prefix: str) -> str:
         return ""
     folder = prefix.removeprefix("/").removesuffix("/")
     if "\0" in folder or any(s in ("", ".", "..") for s in folder.split("/")):
-        raise ValueError(f'invalid scan prefix {prefix!r} (use "/" for root)')
+        raise ValueError(f"not a folder prefix: {prefix!r}")
     return folder
 
 
